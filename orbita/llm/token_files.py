@@ -1,7 +1,7 @@
 """Token ids as flat binary files: encode, write, read back memory-mapped.
 
-A range of ascending doc_id is one part: ``.u32`` (all ids, little-endian
-unsigned 32-bit), ``.off`` (64-bit document offsets, one more than documents)
+A range of ascending doc_id is one part: ``.ids`` (all ids, little-endian
+unsigned, 16 bits wide where the vocabulary allows it, else 32), ``.off`` (64-bit document offsets, one more than documents)
 and ``.doc`` (64-bit document ids).  A part's base in the whole sequence is the
 prefix sum of the parts before it, taken over one manifest row a part.  Each
 task attempt writes names of its own and the manifest names what counts, so
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MANIFEST = "part int, name string, n_docs long, n_ids long"
+MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
 NULL_ID = -(1 << 63)
 #: The pre-tokenizer's own pattern where letters and digits are of these ranges; elsewhere runs between white space.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -43,7 +43,7 @@ CACHED = 300_000
 
 
 class Encoder:
-    """ids of texts as bytes, by the tokenizers library."""
+    """ids of texts as little-endian bytes, by the tokenizers library."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -59,16 +59,17 @@ class Encoder:
             for byte, char in zip(chr(code).encode(), plain.pre_tokenize_str(chr(code))[0][0], strict=True):
                 seen[byte] = char
         self.shown = {b: c for b, c in enumerate(seen) if c}
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         """One pre-token of the ranges above: the library's merges alone."""
         shown = word.encode().decode("latin-1").translate(self.shown)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(shown)])
 
     def _of(self, cuts: list[str], plain: bool) -> bytes:
         known = self.known
@@ -108,58 +109,58 @@ def encoder(tokenizer_json: str) -> Encoder:
     return _encoders[key]
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, text: str = "text") -> list[tuple[str, int, int, int]]:
-    """Writes the parts; returns (name, documents, ids, base) of each, in order."""
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, text: str = "text") -> list[tuple[str, int, int, int, int]]:
+    """Writes the parts; returns (name, bytes an id, documents, ids, base) of each, in order."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def part(batches):
         enc = encoder(model.value)
+        end = b"" if end_id is None else end_id.to_bytes(enc.width, "little")
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         chunks, offsets, ids, n = [], [np.zeros(1, np.int64)], [], 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
                 codes = [x + end for x in enc.encode([t or "" for t in some.column(1).to_pylist()])]
-                ends = n + np.cumsum([len(x) // 4 for x in codes])
+                ends = n + np.cumsum([len(x) // enc.width for x in codes])
                 n = int(ends[-1])
                 offsets.append(ends)
                 chunks.append(b"".join(codes))
                 ids.append(some.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
         if ids:
-            shared.put(f"{name}.u32", np.frombuffer(b"".join(chunks), "<u4"))
+            shared.put(f"{name}.ids", np.frombuffer(b"".join(chunks), f"<u{enc.width}"))
             shared.put(f"{name}.off", np.concatenate(offsets).astype("<i8"))
             shared.put(f"{name}.doc", np.concatenate(ids).astype("<i8"))
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([sum(map(len, ids))]), pa.array([n])], names=["part", "name", "n_docs", "n_ids"])
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([enc.width], pa.int32()), pa.array([sum(map(len, ids))]), pa.array([n])], names=["part", "name", "width", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = shared.written(rows.mapInArrow(part, MANIFEST), "manifest").orderBy("part").collect()  # a few numbers a part
     out, base = [], 0
     for m in manifest:
-        out.append((m["name"], m["n_docs"], m["n_ids"], base))
+        out.append((m["name"], m["width"], m["n_docs"], m["n_ids"], base))
         base += m["n_ids"]
     return out
 
 
-def read(spark: SparkSession, parts: list[tuple[str, int, int, int]], with_ids: bool = False) -> DataFrame:
+def read(spark: SparkSession, parts: list[tuple[str, int, int, int, int]], with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def documents(batches):
         for b in batches:
-            for name, base in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                codes, offsets, ids = (shared.mapped(f"{name}{x}", t) for x, t in ((".u32", "<u4"), (".off", "<i8"), (".doc", "<i8")))
+            for name, width, base in zip(*(b.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
+                codes, offsets, ids = (shared.mapped(f"{name}{x}", t) for x, t in ((".ids", f"<u{width}"), (".off", "<i8"), (".doc", "<i8")))
                 for at in range(0, len(ids), 4096):
                     cut = np.asarray(offsets[at : at + 4097])
                     some = np.asarray(ids[at : at + 4096])
-                    own = [np.asarray(codes[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                    own = [np.asarray(codes[i:j]).astype("<u4") for i, j in zip(cut[:-1], cut[1:], strict=True)]
                     cols = [pa.array(some, mask=some == NULL_ID), pa.array(base + cut[:-1]), pa.array(np.diff(cut)), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]
                     cols += [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))] * with_ids
                     yield pa.record_batch(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    table = spark.createDataFrame(parts, "name string, n_docs long, n_ids long, base long")
+    table = spark.createDataFrame(parts, "name string, width int, n_docs long, n_ids long, base long")
     return table.repartition(max(1, len(parts))).mapInArrow(documents, schema)
 
 
