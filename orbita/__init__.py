@@ -1,0 +1 @@
+"""Exact half-space range search over vectors, as DataFrames."""
