@@ -43,7 +43,8 @@ class Bloom:
         self.bits = np.zeros(max(64, 1 << int(np.ceil(np.log2(max(1, n) * bits_per_key)))), bool)
 
     def _at(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        words = np.ascontiguousarray(keys).view(np.uint64).reshape(len(keys), -1)
+        raw = np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), keys.dtype.itemsize)
+        words = np.ascontiguousarray(np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8)))).view(np.uint64)
         for k in range(words.shape[1]):
             yield words[:, k] & np.uint64(len(self.bits) - 1)
 
