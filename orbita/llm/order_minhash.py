@@ -36,6 +36,7 @@ from . import shared
 from .components import components
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 5, 20, 0.8
+CHUNK, BINS = 128, 256
 SMALL_IDS = 250_000  # ids broadcast at most (a few MB)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x5851F42D4C957F2D)
@@ -237,6 +238,49 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, near boolean, low long, high long")
 
 
+def fitting(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one block whose texts may be near: by length, label, distance to the pivot and words as bags."""
+    node, n, label, low, high, chunk = (rows[c].to_numpy() for c in ("node", "n_words", "label", "low", "high", "chunk"))
+    bags = np.zeros((len(node), BINS), np.int32)
+    for i, w in enumerate(rows["words"]):
+        bags[i] = np.bincount(w.values.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BINS), minlength=BINS) if len(w) else 0
+    across = rows["i"][0].as_py() != rows["j"][0].as_py()
+    left, right = [], []
+    for i in range(len(node)):
+        longest = np.maximum(n[i], n)
+        most = (1 - similarity) * longest + 1e-6
+        ok = (node > node[i]) & (label != label[i]) & (np.abs(n - n[i]) <= most) & (low[i] - high <= most) & (low - high[i] <= most)
+        if across:
+            ok &= chunk != chunk[i]
+        at = np.flatnonzero(ok)
+        # a substitution moves two words of the bags' difference, an insertion one
+        gap = (np.abs(bags[at] - bags[i]).sum(1) + np.abs(n[at] - n[i])) / 2
+        at = at[gap <= most[at]]
+        left.append(np.full(len(at), i))
+        right.append(at)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def possible(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Members of mixed buckets -> (a, b) pairs of different labels that no cheap bound rules out.
+
+    A bucket is cut into chunks of about ``CHUNK`` members by hash, and each pair
+    of chunks is one block, so no task holds a bucket.
+    """
+    chunks = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    rows = named.join(chunks, "key").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    rows = rows.join(words.withColumnRenamed("doc_id", "node"), "node")
+    rows = rows.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")).drop("chunks")
+    rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
+
+    def block(table: pa.Table) -> pa.Table:
+        left, right = fitting(table, similarity)
+        node = table["node"].to_numpy()
+        return pa.table({"a": pa.array(node[left], pa.int64()), "b": pa.array(node[right], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, h1, h2, node) and (labels: node, label) of near-duplicate texts."""
     rows = shared.written(sketches(docs), "sketches")
@@ -264,11 +308,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
     named = named.join(mixed, "key", "left_semi").join(known, ["least", "node"], "left")
     named = shared.written(named.select("key", "node", "n_words", "label", F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high")), "mixed")
-    one, two = named.toDF("key", "a", "na", "la", "lowa", "higha"), named.toDF("key", "b", "nb", "lb", "lowb", "highb")
-    most = (1 - similarity) * F.greatest("na", "nb") + 1e-6
-    fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
-    fits = fits & (F.col("lowa") - F.col("highb") <= most) & (F.col("lowb") - F.col("higha") <= most)
-    rest = one.join(two, "key").filter(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = shared.written(possible(named, words, similarity), "possible").distinct().join(stars, ["a", "b"], "left_anti")
     rest = shared.written(rest, "pairs")
     if not rest.isEmpty():
         found = shared.written(verified(rest, words, similarity), "links").filter("near").select("a", "b").distinct()
