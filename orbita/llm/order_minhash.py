@@ -244,13 +244,13 @@ def fitting(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     bags = np.zeros((len(node), BINS), np.int32)
     for i, w in enumerate(rows["words"]):
         bags[i] = np.bincount(w.values.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BINS), minlength=BINS) if len(w) else 0
-    across = rows["i"][0].as_py() != rows["j"][0].as_py()
+    two = rows["i"][0].as_py() != rows["j"][0].as_py()
     left, right = [], []
     for i in range(len(node)):
         longest = np.maximum(n[i], n)
         most = (1 - similarity) * longest + 1e-6
         ok = (node > node[i]) & (label != label[i]) & (np.abs(n - n[i]) <= most) & (low[i] - high <= most) & (low - high[i] <= most)
-        if across:
+        if two:
             ok &= chunk != chunk[i]
         at = np.flatnonzero(ok)
         # a substitution moves two words of the bags' difference, an insertion one
@@ -261,8 +261,11 @@ def fitting(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def possible(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Members of mixed buckets -> (a, b) pairs of different labels that no cheap bound rules out.
+def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Members of mixed buckets -> (a, b) links that join different labels.
+
+    Pairs that no cheap bound rules out are aligned, unless a link found before
+    in the block has joined their labels.
 
     A bucket is cut into chunks of about ``CHUNK`` members by hash, and each pair
     of chunks is one block, so no task holds a bucket.
@@ -275,8 +278,23 @@ def possible(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
 
     def block(table: pa.Table) -> pa.Table:
         left, right = fitting(table, similarity)
-        node = table["node"].to_numpy()
-        return pa.table({"a": pa.array(node[left], pa.int64()), "b": pa.array(node[right], pa.int64())})
+        node, label = table["node"].to_pylist(), table["label"].to_pylist()
+        texts = [w.values.to_numpy(zero_copy_only=False) for w in table["words"]] if len(left) else []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                x = y
+            return x
+
+        found = []
+        for at in range(0, len(left), 512):
+            some = [(i, j) for i, j in zip(left[at : at + 512].tolist(), right[at : at + 512].tolist(), strict=True) if find(label[i]) != find(label[j])]
+            for (i, j), near in zip(some, similar([(texts[i], texts[j]) for i, j in some], similarity), strict=True):
+                if near:
+                    found.append((node[i], node[j]))
+                    root[max(find(label[i]), find(label[j]))] = min(find(label[i]), find(label[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
 
@@ -308,12 +326,9 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
     named = named.join(mixed, "key", "left_semi").join(known, ["least", "node"], "left")
     named = shared.written(named.select("key", "node", "n_words", "label", F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high")), "mixed")
-    rest = shared.written(possible(named, words, similarity), "possible").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = shared.written(rest, "pairs")
-    if not rest.isEmpty():
-        found = shared.written(verified(rest, words, similarity), "links").filter("near").select("a", "b").distinct()
-        if not found.isEmpty():
-            labels = components(edges.unionByName(found))
+    found = shared.written(across(named, words, similarity), "links").distinct()
+    if not found.isEmpty():
+        labels = components(edges.unionByName(found))
     return rows.join(texts.select("h1", "h2", "node"), ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), labels
 
 
