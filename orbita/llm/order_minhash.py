@@ -191,7 +191,8 @@ def _words(text: str = "text"):
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, h1, h2 (128 bits of its words), n_words, sketch."""
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("w"))
-    words = words.select("doc_id", F.xxhash64("w").alias("h1"), F.xxhash64("w", F.lit(1)).alias("h2"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
+    # the constant comes first and seeds the hash: after the words it would make h2 follow from h1
+    words = words.select("doc_id", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
 
     def run(batches):
         for b in batches:
