@@ -7,7 +7,7 @@ shape figures -- and a bidirectional LSTM in numpy reads the whole sequence, so
 every block is labelled in the context of its document.  Blocks labelled as
 main text are joined by newlines.
 
-The labeller is trained here, on a bounded sample of ``sample`` pages (first by
+The labeller is trained here, on a bounded sample of ``sample`` different pages (first by
 hash of the html): where a page marks its article, blocks inside are main text
 and others aren't.  To each sampled page come variants, made from a parameterised
 set of page parts -- menus, notices, sidebars, forms, comments, adverts in and
@@ -46,7 +46,7 @@ AWAY = {"nav", "header", "footer", "aside", "form", "title", "button", "select",
 AWAY_NAMES = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|comments?|cookie\w*|footer|header|menu|nav\w*|notice\w*|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe|widget|breadcrumbs?)(?:$|[-_ ])", re.I)
 
 WORDS_, PATHS, SHAPE, HIDDEN_UNITS = 48, 64, 8, 20
-SAMPLE, ROUNDS, SEED = 160, 12, 7
+SAMPLE, SAMPLE_CHARS, ROUNDS, SEED = 160, 200_000, 12, 7
 
 
 class Block:
@@ -333,8 +333,14 @@ def main_texts(pages: list[str], model: Lstm | None) -> list[str]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Lstm | None:
-    """Train on the driver on a bounded sample of pages."""
-    rows = pages.filter("html is not null and html != ''").select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(sample).collect()
+    """Train on the driver on a bounded sample of different pages of at most ``SAMPLE_CHARS`` characters.
+
+    The hashes are ranked first, so no page but the chosen ones leaves its executor,
+    and a page with many copies is one page.
+    """
+    some = pages.filter(f"html != '' and char_length(html) <= {SAMPLE_CHARS}").select("html", F.xxhash64("html").alias("h"))
+    chosen = [r["h"] for r in some.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).select("h").orderBy("h").limit(sample).collect()]
+    rows = some.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).collect()
     return train(sorted(r["html"] for r in rows))
 
 
