@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .components import components
+from .components import components, extended
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 5, 20, 0.8
 CHUNK, BINS = 128, 256
@@ -329,7 +329,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     named = shared.written(named.select("key", "node", "n_words", "label", F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high")), "mixed")
     found = shared.written(across(named, words, similarity), "links").distinct()
     if not found.isEmpty():
-        labels = components(edges.unionByName(found))
+        labels = extended(labels, found)
     return rows.join(texts.select("h1", "h2", "node"), ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), labels
 
 

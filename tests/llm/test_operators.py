@@ -214,7 +214,12 @@ def test_components(spark):
             break
     got = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     looped = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {k: v for k, v in label.items() if k not in looped}
+    want = {k: v for k, v in label.items() if k not in looped}
+    assert got == want
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    for cut in (0, 100, 220):  # first some edges, then the others
+        both = components.extended(components.components(frame(edges[:cut])), frame(edges[cut:])).collect()
+        assert {x["node"]: x["label"] for x in both} == want and len(both) == len(want)
 
 
 def test_toxicity(spark):
