@@ -183,57 +183,74 @@ def lsm_index(entries: DataFrame, width: int = 32, memtable_rows: int = 1 << 16)
     return entries.mapInArrow(memtable, ENTRY).repartition("digest").mapInArrow(compacted, ENTRY)
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=None, width: int = 32) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def _sha256(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
 
-    ``digest`` maps a normalised text column to ``width`` bytes (SHA-256); a
-    weaker one gives the same result, as all hits are verified.
+
+def _sized(docs: DataFrame, text: str, doc_id: str, digest, carried: list[Column]) -> DataFrame:
+    own = F.col(doc_id).cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("id"), normalised(F.col(text)).alias("norm"), *carried).withColumn("digest", digest(F.col("norm")))
+
+
+def _answered(docs: DataFrame, text: str, doc_id: str, digest, width: int, whole: bool = False) -> DataFrame:
+    """Each row beside the index's answer for its digest (keep, n), dealt by digest and salt.
+
+    Hot digests are dealt in shares; each share gets the text that stays, in a row
+    with own = 0.  ``whole`` carries the row itself and takes its text from
+    there after the shuffle, so a text travels once.
     """
-    digest = digest or (lambda x: F.unhex(F.sha2(x, 256)))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sized = rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    sized = _sized(docs, text, doc_id, digest, [F.struct(*docs.columns).alias("row")] if whole else [])
     index = shared.written(lsm_index(sized.select("digest", "id", F.lit(1).cast("long").alias("n")), width), "lsm")
     total = index.agg(F.sum("n")).first()[0] or 0
     most = max(64, total // 4096)  # so at most 4096 digests are hot, which bounds what is broadcast
     hot = index.filter(F.col("n") > most).select("digest", F.col("id").alias("hot_id"), F.ceil(F.col("n") / most).cast("int").alias("salts"))
     salted = sized.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.expr("cast(pmod(xxhash64(id), salts) as int)")))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("hot_id", F.coalesce("doc_id", F.lit(NO_ID)))
     keepers = (
-        rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-        .join(F.broadcast(hot.select(F.col("hot_id").alias("id")).distinct()), "id", "left_semi")
-        .select("doc_id", "id", normalised(F.col("text")).alias("norm"))
-        .withColumn("digest", digest(F.col("norm")))
+        _sized(plain.join(F.broadcast(hot.select("hot_id").distinct()), "hot_id", "left_semi"), "text", "doc_id", digest, [])
         .join(F.broadcast(hot), "digest")
         .filter("id = hot_id")
         .groupBy("digest", "id", "salts")
         .agg(F.min("norm").alias("norm"))
         .select("digest", "id", F.lit(None).cast("long").alias("doc_id"), "norm", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("own"))
     )
-    every = salted.select("digest", "id", "doc_id", "norm", "salt", F.lit(1).alias("own")).unionByName(keepers)
+    carried = [F.lit(None).cast("string").alias("norm"), "row"] if whole else ["norm"]
+    every = salted.select("digest", "id", "doc_id", "salt", F.lit(1).alias("own"), *carried).unionByName(keepers, allowMissingColumns=True)
     entries = index.join(F.broadcast(hot), "digest", "left").select("digest", F.col("id").alias("keep"), "n", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).alias("salt"))
+    out = every.join(entries.hint("merge"), ["digest", "salt"])
+    return out.withColumn("norm", F.coalesce("norm", normalised(F.col("row").getField(text)))) if whole else out
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest=_sha256, width: int = 32) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``digest`` maps a normalised text column to ``width`` bytes (SHA-256); a
+    weaker one gives the same result, as all hits are verified.
+    """
     stays = F.first("norm").over(Window.partitionBy("digest", "salt").orderBy("own", "id", "norm"))
-    out = every.join(entries.hint("merge"), ["digest", "salt"]).withColumn("same", F.col("norm") == stays).filter("own = 1")
+    out = _answered(docs, text, doc_id, digest, width).withColumn("same", F.col("norm") == stays).filter("own = 1")
     shown = out.select("doc_id", F.when(F.col("keep") != NO_ID, F.col("keep")).alias("keep_id"), F.col("n").alias("group_size"), "same", "digest", *([] if width == 32 else [F.sha2("norm", 256).alias("sha")]))
     shown = shared.written(shown, "dedup")
     clash = shown.filter("not same").select("digest").distinct()
     if not clash.isEmpty():  # digests that different texts share: those groups are taken apart by their bytes
         by_text = Window.partitionBy("norm")
-        apart = sized.join(clash, "digest", "left_semi").select("doc_id", F.min("doc_id").over(by_text).alias("keep_id"), F.count(F.lit(1)).over(by_text).alias("group_size"), F.lit(True).alias("same"), "digest", *([] if width == 32 else [F.sha2("norm", 256).alias("sha")]))
+        apart = _sized(docs, text, doc_id, digest, []).join(clash, "digest", "left_semi").select("doc_id", F.min("doc_id").over(by_text).alias("keep_id"), F.count(F.lit(1)).over(by_text).alias("group_size"), F.lit(True).alias("same"), "digest", *([] if width == 32 else [F.sha2("norm", 256).alias("sha")]))
         shown = shown.join(clash, "digest", "left_anti").select(shown.columns).unionByName(apart)
     sha = F.lower(F.hex("digest")) if width == 32 else F.col("sha")
     return shown.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """documents without the rows whose text another row of smaller doc_id has.
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """documents, of equal texts the row of smallest doc_id.
 
-    Of repeated rows with one id and text, one stays.  A row whose digest is
-    its own alone needs no further look; the rest is known by id.
+    Rows come whole through the one shuffle that verifies hits, so nothing is joined back.
+    Equal texts stand side by side there: a row goes if the bytes before it are
+    its own and the index doesn't name it.  Of repeated rows with one id and
+    text one stays, likewise of equal texts without id.  If a digest ever had two
+    texts, each stays (the second of a hot digest once a share).
     """
-    gone = exact_dedup(docs).filter("group_size > 1")
-    drop = gone.filter("not kept").select("doc_id").distinct()
-    twice = gone.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(drop, docs.doc_id.eqNullSafe(drop.doc_id), "left_anti")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, kept.doc_id.eqNullSafe(twice.doc_id), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, kept.doc_id.eqNullSafe(twice.doc_id), "left_anti").unionByName(again)
+    order = Window.partitionBy("digest", "salt").orderBy("norm", "own", "id", F.col("row").getField(text))
+    before, given = F.lag("norm").over(order), F.lag("own").over(order) == 0
+    named = F.col("id") == F.col("keep")
+    stays = F.when(before == F.col("norm"), named & given).otherwise(True)
+    return _answered(docs, text, doc_id, _sha256, 32, whole=True).withColumn("stays", stays).filter("own = 1 and stays").select("row.*")

@@ -82,6 +82,11 @@ def test_exact_dedup(spark, rows, weak):
         left = exact_dedup.deduplicated(frame(spark, many))
         assert left.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == sorted([(False, min(g)) for g in groups.values()] + [(True, 0)])
+        # one id with a copy and a text of its own; copies without id, few and many; a hot text whose first row is repeated
+        odd = [(1, "first", "a"), (2, "first ", "a"), (2, "first", "a"), (2, "own", "b"), (None, "n  n", "a"), (None, "n n", "b"), (1, "first", "a")] + [(None, "m m", "a")] * 200 + [(7 + i // 2, "hot\ttext" if i % 3 else "hot text", "a") for i in range(300)]
+        stay = sorted((norm(r["text"]), r["doc_id"]) for r in exact_dedup.deduplicated(frame(spark, odd)).collect())
+        assert stay == [("first", 1), ("first ", 2), ("hot text", 7), ("m m", None), ("n n", None), ("own", 2)]
+        assert exact_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
 def test_lsm_shard():
