@@ -15,7 +15,7 @@ around articles of several markups, and with marks left out.
 
 Block rules: character references are decoded, white space inside a block is
 one space, blocks are trimmed, empty ones go; scripts, styles, templates and
-comments have no text; ``br`` is white space; an open ``p`` or ``li`` ends where
+comments have no text, and what stands in a script or style is no markup; ``br`` is white space; an open ``p`` or ``li`` ends where
 the next begins.
 
 Defined results: null or empty html gives empty text; pages without blocks
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in ("script", "style")}
 HIDDEN = {"script", "style", "template", "noscript", "svg", "iframe", "object", "canvas"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -72,7 +73,9 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         links = 0
 
-    for m in TOKEN.finditer(page):
+    at = 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
         _, close, tag, rest, text = m.groups()
         if text is not None:
             if not hidden:
@@ -83,6 +86,9 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in RAW and not close and not rest.endswith("/"):  # no markup inside: on to its closing tag
+            at = RAW[tag].search(page, at).end()
+            continue
         if hidden:
             if close and tag == hidden:
                 hidden = ""

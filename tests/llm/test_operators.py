@@ -134,6 +134,13 @@ def test_html_blocks():
     assert html_blocks.train([]) is None and html_blocks.main_texts(["<p>x</p>"], None) == [""]
 
 
+def test_html_scripts_and_styles_are_no_markup():
+    article = "<article><p>One text.</p></article>"
+    for raw in ("<script>for(i=0;i<n;i++){f()}</script>", '<script>var a="<!--";</script>', "<SCRIPT>if(a<b&&c=='x){}</ScRiPt >", "<style>a:before{content:'<p'}</style>", "<template><script>x<y</script></template>", "<script>'</scripts>' <t</script\n>"):
+        assert [b.text for b in html_blocks.blocks(f"<body>{raw}{article}<p>After.</p></body>")] == ["One text.", "After."], raw
+    assert [b.text for b in html_blocks.blocks("<p>Before</p><script>a<b")] == ["Before"]
+
+
 def test_lstm_gradient():
     r = np.random.default_rng(0)
     net = html_blocks.Lstm(3, 2, 1)
