@@ -1,6 +1,6 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A document is its lower-cased words.  Its k-mers are runs of five words, each
+A document is its lower-cased words.  Its k-mers are runs of two words, each
 labelled with its occurrence number.  For each of ``SKETCHES`` hash functions the
 ``LEAST`` smallest labelled k-mers are taken and put back into text order; the
 hash of that tuple is one sketch.  Two texts share a sketch if the same k-mers
@@ -16,10 +16,12 @@ of the links between candidates none is lost; the triangle inequality over the
 distances to the smallest member, which are known by then, spares most of it.
 
 Chance of missing a link between texts whose k-mers have Jaccard similarity j:
-about (1 - j ** LEAST) ** SKETCHES: 0.0002 at 0.8, less above.
+about (1 - j ** LEAST) ** SKETCHES.  Words changed all over a text leave
+j = e ** K / (2 - e ** K) at edit similarity e: 0.0014 are missed at 0.8, less
+above.
 
-Defined results: null text is empty; texts without words are equal; texts of
-fewer than five words are one k-mer, so only equal ones meet; a row without
+Defined results: null text is empty; texts without words are equal; of texts of
+fewer than five words only equal ones are links; a row without
 doc_id is its own class, with null class_id, and stays; rows that share an id
 are one node, whose links are those of all their texts; empty tables give no
 rows; other columns are ignored.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .components import components, extended
 
-K, LEAST, SKETCHES, SIMILARITY = 5, 5, 20, 0.8
+K, LEAST, SKETCHES, SIMILARITY = 2, 3, 60, 0.8
 CHUNK, BINS = 128, 256
 SMALL_IDS = 250_000  # ids broadcast at most (a few MB)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -67,7 +69,8 @@ def labelled(found: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(new)
     nth = np.arange(len(found)) - np.repeat(starts, np.diff(np.r_[starts, len(found)]))
     out = found.copy()
-    out[order] = _mixed(ordered + nth.astype(np.uint64) * _A)
+    # a first occurrence is the k-mer itself, so that texts with and without repeats agree
+    out[order] = np.where(nth == 0, ordered, _mixed(ordered + nth.astype(np.uint64) * _A))
     return out
 
 

@@ -185,6 +185,23 @@ def test_near_dedup(spark):
     assert order_minhash.near_classes(frame(spark, [])).count() == 0
 
 
+def test_sketches_meet_at_the_stated_similarity():
+    r = np.random.default_rng(4)
+    for every in (20, 10, 5):  # every so many words one is another: edit similarity 0.95, 0.9 and 0.8
+        met = 0
+        for _ in range(200):
+            a = r.integers(0, 1 << 62, 120).astype(np.uint64)
+            b = a.copy()
+            b[::every] = r.integers(0, 1 << 62, len(b[::every]))
+            met += bool(np.intersect1d(order_minhash.sketch(a), order_minhash.sketch(b)).size)
+        assert met >= 196, every
+
+
+def test_k_mers_with_and_without_repeats_agree():
+    once = np.arange(5, dtype=np.uint64)
+    assert order_minhash.labelled(np.r_[once, once[:1]])[:5].tolist() == order_minhash.labelled(once).tolist()
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
