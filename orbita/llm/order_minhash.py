@@ -18,7 +18,8 @@ distances to the smallest member, which are known by then, spares most of it.
 Chance of missing a link between texts whose k-mers have Jaccard similarity j:
 about (1 - j ** LEAST) ** SKETCHES.  Words changed all over a text leave
 j = e ** K / (2 - e ** K) at edit similarity e: 0.0014 are missed at 0.8, less
-above.
+above.  Links between texts of at most ``SHORT`` words are all found, by keys of
+their own (``short_keys``).
 
 Defined results: null text is empty; texts without words are equal; of texts of
 fewer than five words only equal ones are links; a row without
@@ -29,6 +30,9 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +42,7 @@ from . import shared
 from .components import components, extended
 
 K, LEAST, SKETCHES, SIMILARITY = 2, 3, 60, 0.8
+SHORT, DELETED = 20, 14  # words of texts whose links are all found; of those found by deleting words
 CHUNK, BINS = 128, 256
 SMALL_IDS = 250_000  # ids broadcast at most (a few MB)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -93,6 +98,36 @@ def sketch(words: np.ndarray, k: int = K, least: int = LEAST, count: int = SKETC
     return out
 
 
+def most_edits(n: int, similarity: float = SIMILARITY) -> int:
+    return int((1 - similarity) * n + 1e-9)
+
+
+@lru_cache(100)
+def _left(n: int) -> list[np.ndarray]:
+    """Positions that are left of n words, for each number of words that may be common with a text of up to ``DELETED``."""
+    sizes = {m - most_edits(m) for m in range(n, DELETED + 1) if m - most_edits(m) <= n}
+    return [np.array(list(combinations(range(n), size))) for size in sorted(sizes)]
+
+
+def short_keys(words: np.ndarray) -> np.ndarray:
+    """Values of which two texts of at most ``SHORT`` words have one in common if they are a link.
+
+    Where the longer one has up to ``DELETED`` words, both are the same text after
+    some words are deleted.  Beyond, the longer one falls into one piece more than
+    there are edits, so one of three words or more stands in both.
+    """
+    n, out = len(words), []
+    if 0 < n <= DELETED:
+        for at in _left(n):
+            h = np.full(len(at), at.shape[1], np.uint64)
+            for j in range(at.shape[1]):
+                h = _mixed(h * _A + words[at[:, j]])
+            out.append(_mixed(h ^ _B))
+    if DELETED + 1 - most_edits(DELETED + 1) <= n <= SHORT:
+        out.append(_mixed(kmers(words, 3) ^ _A))
+    return np.unique(np.concatenate([*out, np.empty(0, np.uint64)]))
+
+
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Edit distances within a band of diagonals: exact up to ``band``, else upper bounds (or 1 << 30)."""
     size, width = len(pairs), 2 * band + 1
@@ -192,7 +227,7 @@ def _words(text: str = "text"):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, h1, h2 (128 bits of its words), n_words, sketch."""
+    """Per row: doc_id, h1, h2 (128 bits of its words), n_words, sketch (and the keys of short texts)."""
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("w"))
     # the constant comes first and seeds the hash: after the words it would make h2 follow from h1
     words = words.select("doc_id", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
@@ -201,7 +236,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in batches:
             column = b.column(3)
             flat, cuts = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *column.value_lengths().to_pylist()])
-            own = [sketch(flat[i:j]) if j > i else np.empty(0, np.uint64) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            own = [np.r_[sketch(flat[i:j]), short_keys(flat[i:j])] if j > i else np.empty(0, np.uint64) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64)))
             yield pa.record_batch([*b.columns[:3], pa.array(np.diff(cuts), pa.int64()), lists], names=["doc_id", "h1", "h2", "n_words", "sketch"])
 

@@ -197,6 +197,29 @@ def test_sketches_meet_at_the_stated_similarity():
         assert met >= 196, every
 
 
+def test_short_links_always_meet():
+    r = random.Random(8)
+    links = 0
+    for _ in range(6000):
+        a = [r.randrange(1 << 60) for _ in range(r.randrange(1, 21))]
+        b = list(a)
+        for _ in range(r.randrange(1, 5)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = [r.randrange(1 << 60)] * r.randrange(2)
+        if not 0 < len(b) <= 20 or distance(a, b) > int(0.2 * max(len(a), len(b)) + 1e-9):
+            continue
+        links += 1
+        x, y = (order_minhash.short_keys(np.array(t, np.uint64)) for t in (a, b))
+        assert np.intersect1d(x, y).size, (len(a), len(b))
+    assert links > 1000
+
+
+def test_short_near_dedup(spark):
+    texts = ["a b c d e f g h", "x a b c d e f g h", "a b c d e", "a b q d e", "one two three four", "one two three five"]
+    got = {x["doc_id"]: x["class_id"] for x in order_minhash.near_classes(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
 def test_k_mers_with_and_without_repeats_agree():
     once = np.arange(5, dtype=np.uint64)
     assert order_minhash.labelled(np.r_[once, once[:1]])[:5].tolist() == order_minhash.labelled(once).tolist()
