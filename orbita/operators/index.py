@@ -12,8 +12,6 @@ from ..plans import tables
 from . import clustering
 
 HEAD = ["kv_head"]
-#: Keys of one head from which assignment is done inside coarse cells.
-CELL_ROWS = 65_536
 
 
 @dataclass(frozen=True)
@@ -38,21 +36,10 @@ def radius(children: DataFrame, centers: DataFrame) -> DataFrame:
     return centers.join(top.withColumnRenamed("parent_id", "node_id"), ["kv_head", "node_id"]).select("kv_head", "node_id", "center", "radius")
 
 
-def _cells(points: DataFrame, seed: int) -> DataFrame:
-    """Adds cell: 0 for small heads; else the nearest of a bounded number of coarse seeds, so that no later group grows with the data."""
-    most = points.groupBy("kv_head").count().agg(F.max("count")).first()[0] or 0
-    if most <= CELL_ROWS:
-        return points.withColumn("cell", F.lit(0).cast("long"))
-    coarse = points.orderBy(*clustering.seed_order(seed + 17)).limit(min(4096, most // 8192))
-    coarse = coarse.select("kv_head", F.col("key_id").alias("node_id"), F.transform("key", lambda x: x.cast("double")).alias("center"))
-    near = clustering.nearest_assign(points, coarse, HEAD, arrow=True).select("kv_head", "key_id", F.col("node_id").alias("cell"))
-    return points.join(near, [*HEAD, "key_id"], "left").withColumn("cell", F.coalesce("cell", F.lit(-1)))
-
-
 def one_level(points: DataFrame, bf: int, seed: int, iterations: int, balanced: bool, arrow: bool) -> tuple[DataFrame, DataFrame]:
     """points (kv_head, key_id, key) -> (assignment: kv_head, key_id, node_id), (centers)."""
-    by = ["kv_head", "cell"]
-    points = tables.saved(_cells(points.select("kv_head", "key_id", "key"), seed), "points")
+    by = HEAD
+    points = tables.saved(points.select("kv_head", "key_id", "key"), "points")
     count = (lambda n: F.ceil(n / bf)) if balanced else (lambda n: F.greatest(F.lit(1), F.floor(n / bf)))
     centers = tables.saved(clustering.seeds(points, count, seed, by), "seeds")
     if balanced:

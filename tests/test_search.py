@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,17 @@ def test_sources_and_config(spark, tmp_path):
     with pytest.raises(ValueError):
         Config.from_dict({"nope": 1})
     assert auto_depth(1000, 10) == math.ceil(math.log(1000) / math.log(10))
+
+
+def test_large_heads_are_assigned_to_the_nearest_center(spark):
+    n, bf = 66_000, 4096
+    keys = spark.range(n).selectExpr("cast(if(id < 20, 1, 0) as int) kv_head", "id key_id", "array(cast(pmod(xxhash64(id), 1000) as double), cast(pmod(xxhash64(id, 1), 1000) as double)) key").localCheckpoint()
+    tree = index.build(keys, 2, bf, arrow=True)
+    center = {(r["kv_head"], r["node_id"]): np.array(r["center"]) for r in tree.level(1).collect()}
+    rows = keys.join(tree.leaf, ["kv_head", "key_id"]).collect()
+    assert len(rows) == n and sum(h == 0 for h, _ in center) == (n - 20) // bf and sum(h == 1 for h, _ in center) == 1
+    for head in (0, 1):
+        some = [r for r in rows if r["kv_head"] == head]
+        x, c = np.array([r["key"] for r in some]), np.array([v for (h, _), v in center.items() if h == head])
+        own = np.array([center[head, r["parent_id"]] for r in some])
+        assert np.allclose(((x - own) ** 2).sum(1), ((x[:, None] - c[None]) ** 2).sum(2).min(1))
