@@ -6,6 +6,8 @@ structural ones against the same construction in SQL.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .sources import generators, tables
 from .streaming.cache import Cache
 
 HEADS, BF = 8, 4
+FEW, WHOLE = "vec_id < 5", "vec_id % 50 = 0"
+ASKED = ContextVar("asked", default=FEW)  # which vectors are queries
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -33,13 +37,13 @@ def _keys(spark, sf):
 
 
 def _wide_queries(spark, sf, threshold=0.3, **how):
-    return search.queries(_embeddings(spark, sf).filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_head"), F.col("embedding").alias("q")), threshold, **how)
+    return search.queries(_embeddings(spark, sf).filter(ASKED.get()).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_head"), F.col("embedding").alias("q")), threshold, **how)
 
 
-def _head_queries(spark, sf, threshold=0.15, q_heads=HEADS, mapping=None, few=5, **how):
+def _head_queries(spark, sf, threshold=0.15, q_heads=HEADS, mapping=None, **how):
     """Slices of the first vectors; several query heads may look at one kv head."""
     mapping = mapping or search.head_map(q_heads, HEADS)
-    rows = _embeddings(spark, sf).filter(F.col("vec_id") < few).select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(q_heads - 1))).alias("q_head"), "embedding")
+    rows = _embeddings(spark, sf).filter(ASKED.get()).select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(q_heads - 1))).alias("q_head"), "embedding")
     rows = rows.withColumn("kv_head", F.element_at(F.array(*map(F.lit, mapping)), F.col("q_head") + 1))
     return search.queries(rows.select("query_id", "q_head", "kv_head", F.slice("embedding", F.col("kv_head") * 8 + 1, 8).alias("q")), threshold, **how)
 
@@ -497,3 +501,23 @@ for _name, _make in {
     "zipf_clusters": lambda s: generators.zipf_clusters(s, 2000, 16), "zipf_scaled": lambda s: generators.zipf_scaled(s, 2000, 16), "low_rank": lambda s: generators.low_rank(s, 2000, 16),
 }.items():
     Q[f"generate_{_name}"] = _generated(_make)
+
+
+def _whole(f):
+    """The same query with every 50th vector as query."""
+
+    def run(spark, sf):
+        before = ASKED.set(WHOLE)
+        try:
+            return f(spark, sf)
+        finally:
+            ASKED.reset(before)
+
+    return run
+
+
+# The queries above keep their five vectors, as their SQL does; beside each stands one over the whole query set.
+for _name in [n for n in Q if FEW in SQL.get(n, "") or (n not in SQL and n.endswith("_pct"))]:
+    Q[f"{_name}_whole"] = _whole(Q[_name])
+    if _name in SQL:
+        SQL[f"{_name}_whole"] = SQL[_name].replace(FEW, WHOLE)

@@ -183,6 +183,16 @@ def test_sources_and_config(spark, tmp_path):
     assert auto_depth(1000, 10) == math.ceil(math.log(1000) / math.log(10))
 
 
+def test_whole_query_set(spark):
+    from orbita import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id % 50 = 0")
+    want = {r["vec_id"] for r in rows.select("vec_id").collect()}
+    for name in ("all_scores", "threshold_topk", "knn_radius"):
+        assert {r["query_id"] for r in queries.Q[f"{name}_whole"](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()} == want
+        assert queries.WHOLE in queries.SQL[f"{name}_whole"] and queries.FEW in queries.SQL[name]
+
+
 def test_large_heads_are_assigned_to_the_nearest_center(spark):
     n, bf = 66_000, 4096
     keys = spark.range(n).selectExpr("cast(if(id < 20, 1, 0) as int) kv_head", "id key_id", "array(cast(pmod(xxhash64(id), 1000) as double), cast(pmod(xxhash64(id, 1), 1000) as double)) key").localCheckpoint()
