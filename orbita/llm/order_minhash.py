@@ -1,31 +1,42 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A document is its lower-cased words.  Its k-mers are runs of two words, each
+A document is its lower-cased words.  Its k-mers are runs of five words, each
 labelled with its occurrence number.  For each of ``SKETCHES`` hash functions the
 ``LEAST`` smallest labelled k-mers are taken and put back into text order; the
 hash of that tuple is one sketch.  Two texts share a sketch if the same k-mers
 are least in both *and* stand in the same order, which follows edit similarity
 rather than mere overlap.  Texts that share a sketch are candidates; they are a
-link if the word edit distance is at most 20% of the longer one.
+link if their word edit similarity (1 - distance / words of the longer) is
+``SIMILARITY`` or more.  Below 0.83 or so links need not share a run of five words
+at all, so no method on five-word runs could find them.
 
 No bucket is gathered or expanded into pairs.  Equal texts are one node before
 that.  First each bucket's members are compared with its smallest member, and
 components are formed; a bucket whose members all have one label is done.  In the
-others, members of different labels and of fitting length are compared, so that
-of the links between candidates none is lost; the triangle inequality over the
-distances to the smallest member, which are known by then, spares most of it.
-
-Chance of missing a link between texts whose k-mers have Jaccard similarity j:
-about (1 - j ** LEAST) ** SKETCHES.  Words changed all over a text leave
-j = e ** K / (2 - e ** K) at edit similarity e: 0.0014 are missed at 0.8, less
-above.  Links between texts of at most ``SHORT`` words are all found, by keys of
-their own (``short_keys``).
+others, members whose label isn't that of the smallest member are compared with
+all members of other labels and fitting length, so that of the links between
+candidates none is lost; the triangle inequality over the distances to the
+smallest member, which are known by then, and the words as bags spare most
+alignments.  Joins on pairs and words are dealt at every size; keys that very
+many texts share are found in a sample and summed before they are dealt, which
+changes the plan's work, never its result.
+
+Chance of missing a link whose k-mers have Jaccard similarity j: about
+(1 - j ** LEAST) ** SKETCHES.  Random edits leave j = e ** K / (2 - e ** K) on
+average at edit similarity e; measured recall is in the README.  Links between
+texts of at most ``SHORT`` words are all found, by keys of their own (``short_keys``).
+
+Words are aligned by 32-bit hashes: two words of one pair of texts are taken for
+the same by mistake with a chance of 2 ** -32.
 
 Defined results: null text is empty; texts without words are equal; of texts of
-fewer than five words only equal ones are links; a row without
+fewer than seven words only equal ones are links; a row without
 doc_id is its own class, with null class_id, and stays; rows that share an id
-are one node, whose links are those of all their texts; empty tables give no
-rows; other columns are ignored.
+are one node, whose links are those of all their texts; of equal texts the
+smallest doc_id names the class; empty tables give no rows; very long texts are
+read whole, a pair of texts of n words that can't be ruled out costs up to
+(1 - SIMILARITY) * n * n cells in one task; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,16 +46,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 from .components import components, extended
 
-K, LEAST, SKETCHES, SIMILARITY = 2, 3, 60, 0.8
-SHORT, DELETED = 20, 14  # words of texts whose links are all found; of those found by deleting words
+K, LEAST, SKETCHES, SIMILARITY = 5, 2, 64, 0.85
+SHORT, DELETED = 30, 14  # words of texts whose links are all found; of those found by deleting words
 CHUNK, BINS = 128, 256
-SMALL_IDS = 250_000  # ids broadcast at most (a few MB)
+SAMPLED, OFTEN = 50_000, 64  # texts sampled for keys that very many share; how often such a key stands in the sample
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x5851F42D4C957F2D)
 
@@ -243,82 +254,100 @@ def sketches(docs: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "doc_id long, h1 long, h2 long, n_words long, sketch array<long>")
 
 
-def semi(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """df with (or without) the ids: these broadcast if few, else dealt."""
-    return df.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "doc_id", how)
-
-
-def _salted(pairs: DataFrame, words: DataFrame, side: str) -> DataFrame:
-    """pairs with the words of one side; a node in very many pairs has its words given in several copies, one for each share."""
-    total = pairs.count()
-    share = max(64, total // 4096)
-    hot = F.broadcast(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares")).filter("shares > 1"))  # 4096 rows at most
-    other = "b" if side == "a" else "a"
-    dealt = pairs.join(hot, side, "left").withColumn("salt", F.expr(f"cast(if(shares is null, 0, pmod(xxhash64({other}), shares)) as int)")).drop("shares")
-    given = words.select(F.col("doc_id").alias(side), F.col("words").alias(f"w{side}")).join(hot, side, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(shares, 1) - 1)"))).drop("shares")
-    return dealt.join(given, [side, "salt"]).drop("salt")
-
-
 def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) pairs -> also near (the alignment is good enough), low and high (bounds of the edit distance)."""
+    """(a, b) pairs -> also near (the alignment is good enough), low and high (bounds of the edit distance).
+
+    The words of b travel to a, whose own come first there, so a task holds one a
+    and a few hundred b.  An a of very many pairs is dealt in shares, each with its
+    words; a b has at most one pair for each of its keys.
+    """
+    share = max(64, pairs.count() // 4096)
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
+    hot = F.broadcast(shares.filter("shares > 1"))  # 4096 rows at most
+    given = pairs.join(words.withColumnRenamed("doc_id", "b").hint("merge"), "b").join(hot, "a", "left")
+    given = given.select("a", "b", "words", F.expr("cast(if(shares is null, 0, pmod(xxhash64(b), shares)) as int)").alias("salt"))
+    own = shares.join(words.withColumnRenamed("doc_id", "a").hint("merge"), "a").select("a", F.lit(None).cast("long").alias("b"), "words", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"))
+    dealt = given.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
+        first, held, asked = None, [], True
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                sides = []
-                for c in (b.column(2), b.column(3)):
-                    cuts = np.cumsum([0, *c.value_lengths().to_pylist()])
-                    sides.append(np.split(c.flatten().to_numpy(zero_copy_only=False), cuts[1:-1]))
-                found = bounds(list(zip(*sides, strict=True)), similarity)
-                yield pa.record_batch([b.column(0), b.column(1), *map(pa.array, found)], names=["a", "b", "near", "low", "high"])
-
-    both = _salted(_salted(pairs, words, "a"), words, "b")
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, near boolean, low long, high long")
-
-
-def fitting(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one block whose texts may be near: by length, label, distance to the pivot and words as bags."""
-    node, n, label, low, high, chunk = (rows[c].to_numpy() for c in ("node", "n_words", "label", "low", "high", "chunk"))
+                part = batch.slice(at, 512)
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                ends, sides = [], []
+                for x, y, w in zip(a, b, _lists(part.column(2)), strict=True):
+                    if y is None:  # one of the texts of this a
+                        if first != x or asked:
+                            first, held, asked = x, [], False
+                        held.append(w.copy())
+                    else:
+                        asked = True
+                        ends += [(x, y)] * len(held)
+                        sides += [(h, w) for h in held]
+                if sides:
+                    yield pa.record_batch([*(pa.array(e, pa.int64()) for e in zip(*ends, strict=True)), *map(pa.array, bounds(sides, similarity))], names=["a", "b", "near", "low", "high"])
+
+    return dealt.select("a", "b", "words").mapInArrow(run, "a long, b long, near boolean, low long, high long")
+
+
+def _lists(column) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays."""
+    cuts = np.cumsum([0, *column.value_lengths().to_pylist()])
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), cuts[1:-1])
+
+
+def fitting(rows: pa.Table, similarity: float, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (left, right) of one block whose texts may be near: by length, label, distance to the pivot and words as bags."""
+    node, n, label, low, high, left, foreign = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "n_words", "label", "low", "high", "left", "foreign"))
     bags = np.zeros((len(node), BINS), np.int32)
-    for i, w in enumerate(rows["words"]):
-        bags[i] = np.bincount(w.values.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BINS), minlength=BINS) if len(w) else 0
-    two = rows["i"][0].as_py() != rows["j"][0].as_py()
-    left, right = [], []
-    for i in range(len(node)):
-        longest = np.maximum(n[i], n)
-        most = (1 - similarity) * longest + 1e-6
-        ok = (node > node[i]) & (label != label[i]) & (np.abs(n - n[i]) <= most) & (low[i] - high <= most) & (low - high[i] <= most)
-        if two:
-            ok &= chunk != chunk[i]
-        at = np.flatnonzero(ok)
+    for i, w in enumerate(texts):
+        bags[i] = np.bincount(w.view(np.uint32) % np.uint32(BINS), minlength=BINS) if len(w) else 0
+    other = np.flatnonzero(~left)
+    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in np.flatnonzero(left):
+        most = (1 - similarity) * np.maximum(n[i], n[other]) + 1e-6
+        # of two members of foreign labels the smaller asks
+        ok = (label[other] != label[i]) & (~foreign[other] | (node[other] > node[i])) & (np.abs(n[other] - n[i]) <= most) & (low[i] - high[other] <= most) & (low[other] - high[i] <= most)
+        at = other[ok]
         # a substitution moves two words of the bags' difference, an insertion one
         gap = (np.abs(bags[at] - bags[i]).sum(1) + np.abs(n[at] - n[i])) / 2
-        at = at[gap <= most[at]]
-        left.append(np.full(len(at), i))
-        right.append(at)
-    return np.concatenate(left), np.concatenate(right)
+        at = at[gap <= most[ok]]
+        one.append(np.full(len(at), i))
+        two.append(at)
+    return np.concatenate(one), np.concatenate(two)
 
 
 def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Members of mixed buckets -> (a, b) links that join different labels.
 
+    Lengths fall into classes, each ``1 / similarity`` times the one below, so a link's
+    ends are in one class or in neighbours.  A member of foreign label (not that of
+    the bucket's smallest member) meets the members of its class and both
+    neighbours.  Both sides are cut into chunks of about ``CHUNK`` by hash and each
+    pair of chunks is one block, so no task holds a bucket, and its rows grow with
+    foreign members times members, not with the bucket's square.
+
     Pairs that no cheap bound rules out are aligned, unless a link found before
     in the block has joined their labels.
-
-    A bucket is cut into chunks of about ``CHUNK`` members by hash, and each pair
-    of chunks is one block, so no task holds a bucket.
     """
-    chunks = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    rows = named.join(chunks, "key").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    rows = rows.join(words.withColumnRenamed("doc_id", "node"), "node")
-    rows = rows.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")).drop("chunks")
-    rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
+    step = float(-np.log(similarity)) if 0 < similarity < 1 else 1e-9
+    sized = named.withColumn("class", F.floor(F.log(F.greatest("n_words", F.lit(1))) / step).cast("int")) if 0 < similarity < 1 else named.withColumn("class", F.lit(0))
+    left = sized.filter("foreign").select("*", F.lit(True).alias("left"))
+    right = sized.select(*[c for c in sized.columns if c != "class"], F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.lit(False).alias("left"))
+    counts = left.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("lefts"))
+    rights = right.join(counts.select("key", "class").hint("merge"), ["key", "class"], "left_semi")
+    counts = counts.join(rights.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("rights")).hint("merge"), ["key", "class"])
+    every = left.unionByName(rights).join(counts.hint("merge"), ["key", "class"])
+    every = every.withColumn("chunk", F.expr("cast(pmod(xxhash64(node), if(left, lefts, rights)) as int)"))
+    every = every.select("key", "class", "node", "n_words", "label", "low", "high", "foreign", "left", "chunk", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("rights")).otherwise(F.col("lefts")) - 1)).alias("other"))
+    every = every.select("*", F.when(F.col("left"), F.col("chunk")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("chunk")).alias("j")).drop("chunk", "other")
+    every = every.join(words.withColumnRenamed("doc_id", "node").hint("merge"), "node")
 
     def block(table: pa.Table) -> pa.Table:
-        left, right = fitting(table, similarity)
+        texts = _lists(table["words"].combine_chunks())
+        one, two = fitting(table, similarity, texts)
         node, label = table["node"].to_pylist(), table["label"].to_pylist()
-        texts = [w.values.to_numpy(zero_copy_only=False) for w in table["words"]] if len(left) else []
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -327,33 +356,45 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -
             return x
 
         found = []
-        for at in range(0, len(left), 512):
-            some = [(i, j) for i, j in zip(left[at : at + 512].tolist(), right[at : at + 512].tolist(), strict=True) if find(label[i]) != find(label[j])]
+        for at in range(0, len(one), 512):
+            some = [(i, j) for i, j in zip(one[at : at + 512].tolist(), two[at : at + 512].tolist(), strict=True) if find(label[i]) != find(label[j])]
             for (i, j), near in zip(some, similar([(texts[i], texts[j]) for i, j in some], similarity), strict=True):
                 if near:
                     found.append((node[i], node[j]))
                     root[max(find(label[i]), find(label[j]))] = min(find(label[i]), find(label[j]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
+    return every.groupBy("key", "class", "i", "j").applyInArrow(block, "a long, b long")
+
+
+def shared_keys(texts: DataFrame) -> DataFrame:
+    """(node, n_words, sketch) -> members of keys that two texts or more share: key, node, n_words, least (the key's smallest node).
+
+    Keys are dealt once and looked at in order.  Those that stand ``OFTEN`` times in a
+    sample of about ``SAMPLED`` texts would make a long task; they are summed before
+    they are dealt instead.
+    """
+    each = lambda some: some.select("node", "n_words", F.explode("sketch").alias("key"))
+    step = max(1, texts.count() // SAMPLED)
+    hot = each(texts.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN).select("key")
+    hot = F.broadcast(shared.written(hot, "hot-keys"))  # SAMPLED * keys of a text / OFTEN rows at most
+    by_key = Window.partitionBy("key")
+    cold = each(texts).join(hot, "key", "left_anti").select("key", "node", "n_words", F.count(F.lit(1)).over(by_key).alias("members"), F.min("node").over(by_key).alias("least"))
+    often = each(texts).join(hot, "key", "left_semi")
+    least = often.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"))
+    often = often.join(F.broadcast(least), "key").select("key", "node", "n_words", "members", "least")
+    return cold.unionByName(often).filter("members > 1").drop("members")
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, h1, h2, node) and (labels: node, label) of near-duplicate texts."""
     rows = shared.written(sketches(docs), "sketches")
     texts = shared.written(rows.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_words", "sketch")).alias("t")).select("h1", "h2", F.col("t.doc_id").alias("node"), "t.n_words", "t.sketch"), "texts")
-    buckets = texts.select("node", "n_words", F.explode("sketch").alias("key"))
-    many = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least")).filter("members > 1")
-    many = shared.written(many, "buckets")
-    share = max(64, (many.agg(F.sum("members")).first()[0] or 0) // 20_000)
-    hot = many.filter(F.col("members") > share)  # 20000 rows at most
-    cold = many.filter(F.col("members") <= share)
-    in_hot = buckets.join(F.broadcast(hot), "key")
-    members = shared.written(in_hot.unionByName(buckets.join(cold, "key")), "members")
+    members = shared.written(shared_keys(texts), "members")
     stars = shared.written(members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     more = members.select(F.col("node").alias("doc_id")).distinct()  # every node that a second round may ask for
-    words = semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), more).select("doc_id", F.transform(_words(), lambda w: F.xxhash64(w)).alias("words"))
-    words = shared.written(words, "words")
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(_words(), lambda w: F.shiftright(F.xxhash64(w), 32).cast("int")).alias("words"))
+    words = shared.written(words.join(more.hint("merge"), "doc_id", "left_semi"), "words")
     tested = shared.written(verified(stars, words, similarity), "links")
     edges = tested.filter("near").select("a", "b").distinct()
     labels = components(edges)
@@ -361,14 +402,15 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     # bucket's smallest member are known within bounds, so by the triangle inequality most
     # of them can't be near; only the others are aligned.
     known = tested.groupBy("a", "b").agg(F.max("low").alias("low"), F.min("high").alias("high")).toDF("least", "node", "low", "high")
-    named = members.join(labels, "node", "left").select("key", "least", "node", "n_words", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
-    named = named.join(mixed, "key", "left_semi").join(known, ["least", "node"], "left")
-    named = shared.written(named.select("key", "node", "n_words", "label", F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(F.col("node") == F.col("least"), 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high")), "mixed")
-    found = shared.written(across(named, words, similarity), "links").distinct()
+    named = members.join(labels.hint("merge"), "node", "left").select("key", "least", "node", "n_words", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min_by("label", "node").alias("main")).filter("x != y").select("key", "main")
+    named = named.join(mixed.hint("merge"), "key").join(known.hint("merge"), ["least", "node"], "left")
+    own = F.col("node") == F.col("least")
+    named = named.select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), F.when(own, 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(own, 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high"))
+    found = shared.written(across(shared.written(named, "mixed"), words, similarity), "links").distinct()
     if not found.isEmpty():
         labels = extended(labels, found)
-    return rows.join(texts.select("h1", "h2", "node"), ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), labels
+    return rows.join(texts.select("h1", "h2", "node").hint("merge"), ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), labels
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -380,5 +422,5 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """documents, one of each class: the one with the smallest doc_id."""
-    drop = shared.written(near_classes(docs, similarity).filter("not kept").select("doc_id").distinct(), "dropped")
-    return semi(docs, drop, "left_anti")
+    drop = near_classes(docs, similarity).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(shared.written(drop, "dropped").hint("merge"), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
