@@ -7,7 +7,7 @@ hash of that tuple is one sketch.  Two texts share a sketch if the same k-mers
 are least in both *and* stand in the same order, which follows edit similarity
 rather than mere overlap.  Texts that share a sketch are candidates; they are a
 link if their word edit similarity (1 - distance / words of the longer) is
-``SIMILARITY`` or more.  Below 0.83 or so links need not share a run of five words
+``SIMILARITY`` or more.  It is 0.9: at 0.8 links need not share a run of five words
 at all, so no method on five-word runs could find them.
 
 No bucket is gathered or expanded into pairs.  Equal texts are one node before
@@ -16,7 +16,7 @@ components are formed; a bucket whose members all have one label is done.  In th
 others, members whose label isn't that of the smallest member are compared with
 all members of other labels and fitting length, so that of the links between
 candidates none is lost; the triangle inequality over the distances to the
-smallest member, which are known by then, and the words as bags spare most
+smallest member, which are known by then, and couples of words as bags spare most
 alignments.  Joins on pairs and words are dealt at every size; keys that very
 many texts share are found in a sample and summed before they are dealt, which
 changes the plan's work, never its result.
@@ -30,7 +30,7 @@ Words are aligned by 32-bit hashes: two words of one pair of texts are taken for
 the same by mistake with a chance of 2 ** -32.
 
 Defined results: null text is empty; texts without words are equal; of texts of
-fewer than seven words only equal ones are links; a row without
+fewer than ten words only equal ones are links; a row without
 doc_id is its own class, with null class_id, and stays; rows that share an id
 are one node, whose links are those of all their texts; of equal texts the
 smallest doc_id names the class; empty tables give no rows; very long texts are
@@ -52,9 +52,9 @@ from pyspark.sql import functions as F
 from . import shared
 from .components import components, extended
 
-K, LEAST, SKETCHES, SIMILARITY = 5, 2, 64, 0.85
+K, LEAST, SKETCHES, SIMILARITY = 5, 3, 48, 0.9
 SHORT, DELETED = 30, 14  # words of texts whose links are all found; of those found by deleting words
-CHUNK, BINS = 128, 256
+CHUNK, CHUNK_WORDS, MOST_BINS, LEVELS = 512, 1 << 16, 4096, 4  # rows and words of a side of a block at most; of bags
 SAMPLED, OFTEN = 50_000, 64  # texts sampled for keys that very many share; how often such a key stands in the sample
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x5851F42D4C957F2D)
@@ -184,19 +184,25 @@ def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[: len(a) - tail], b[: len(b) - tail]
 
 
+def couples(words: np.ndarray) -> np.ndarray:
+    """Hashes of adjacent words."""
+    w = words.astype(np.uint32 if words.dtype.itemsize == 4 else np.uint64)
+    return w[:-1] * w.dtype.type(0x9E3779B1) + (w[1:] ^ w[1:] >> w.dtype.type(15)) * w.dtype.type(0x85EBCA6B)
+
+
 def least_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the edit distance: from the words as bags."""
-    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    """A lower bound of the edit distance: an edit takes two couples of adjacent words from a text at most."""
+    (x, n), (y, m) = np.unique(couples(a), return_counts=True), np.unique(couples(b), return_counts=True)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return max(len(a), len(b)) - int(np.minimum(n[i], m[j]).sum())
+    return max(0, -(-(max(len(a), len(b)) - 1 - int(np.minimum(n[i], m[j]).sum())) // 2))
 
 
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> np.ndarray:
     """For each pair of word sequences whether its edit similarity is enough."""
-    return bounds(pairs, similarity)[0]
+    return bounds(pairs, similarity, False)[0]
 
 
-def bounds(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounds(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY, below: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each pair: similar enough, and bounds of its edit distance from below and above."""
     out = np.zeros(len(pairs), bool)
     low = np.zeros(len(pairs), np.int64)
@@ -227,7 +233,7 @@ def bounds(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMIL
                     again.append((i, a, b))
             at += n
         left, band = again, min(band * 6, max((most[i] for i, *_ in again), default=band))
-    for i in np.flatnonzero(~out):
+    for i in np.flatnonzero(~out) if below else ():
         low[i] = max(most[i] + 1, least_distance(*pairs[i]))
     return out, low, high
 
@@ -297,48 +303,74 @@ def _lists(column) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(zero_copy_only=False), cuts[1:-1])
 
 
+def _levels(texts: list[np.ndarray], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words as bags: one column for each bin and count up to ``LEVELS``, so that a product of rows sums their common counts; and what lies above."""
+    bags = np.array([np.bincount(w.view(np.uint32) & np.uint32(bins - 1), minlength=bins) for w in texts]).reshape(len(texts), bins)
+    return np.concatenate([bags > k for k in range(LEVELS)], 1).astype(np.float32), np.maximum(bags - LEVELS, 0).sum(1)
+
+
+def alike(texts: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs whose couples of adjacent words allow that they are near: an edit takes two couples at most."""
+    held: dict[int, np.ndarray] = {}
+    for k in np.unique(np.r_[i, j]).tolist():
+        c = couples(texts[k]).astype(np.uint64)
+        held[k] = labelled(c) if len(c) else c
+    out = np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        n = max(len(texts[a]), len(texts[b]))
+        out[k] = n - 1 - np.intersect1d(held[a], held[b], assume_unique=True).size <= 2 * most_edits(n, similarity)
+    return out
+
+
 def fitting(rows: pa.Table, similarity: float, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (left, right) of one block whose texts may be near: by length, label, distance to the pivot and words as bags."""
+    """Index pairs (left, right) of one block whose texts may be near, likely ones first: by length, label, distance to the pivot and words as bags."""
     node, n, label, low, high, left, foreign = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "n_words", "label", "low", "high", "left", "foreign"))
-    bags = np.zeros((len(node), BINS), np.int32)
-    for i, w in enumerate(texts):
-        bags[i] = np.bincount(w.view(np.uint32) % np.uint32(BINS), minlength=BINS) if len(w) else 0
-    other = np.flatnonzero(~left)
-    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in np.flatnonzero(left):
-        most = (1 - similarity) * np.maximum(n[i], n[other]) + 1e-6
-        # of two members of foreign labels the smaller asks
-        ok = (label[other] != label[i]) & (~foreign[other] | (node[other] > node[i])) & (np.abs(n[other] - n[i]) <= most) & (low[i] - high[other] <= most) & (low[other] - high[i] <= most)
-        at = other[ok]
-        # a substitution moves two words of the bags' difference, an insertion one
-        gap = (np.abs(bags[at] - bags[i]).sum(1) + np.abs(n[at] - n[i])) / 2
-        at = at[gap <= most[ok]]
-        one.append(np.full(len(at), i))
-        two.append(at)
-    return np.concatenate(one), np.concatenate(two)
-
-
-def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    one, two = np.flatnonzero(left), np.flatnonzero(~left)
+    across = lambda x: (x[one][:, None], x[two][None, :])
+    longest = np.maximum(*across(n))
+    most = (1 - similarity) * longest + 1e-6
+    (la, lb), (na, nb), (wa, wb), (ha, hb) = across(label), across(node), across(low), across(high)
+    # of two members of foreign labels the smaller asks
+    ok = (la != lb) & (~foreign[two][None, :] | (nb > na)) & (longest - np.minimum(*across(n)) <= most) & (wa - hb <= most) & (wb - ha <= most)
+    some, others = ok.any(1), ok.any(0)
+    one, two, ok, longest, most = one[some], two[others], ok[some][:, others], longest[some][:, others], most[some][:, others]
+    if not len(one):
+        return one, two[:0]
+    bins = min(MOST_BINS, 1 << int(np.ceil(np.log2(2 + n[np.r_[one, two]].max()))))
+    (x, more), (y, rest) = (_levels([texts[i] for i in side], bins) for side in (one, two))
+    # no more words than these can be common, and each of the others is an edit
+    least = longest - x @ y.T - np.minimum(more[:, None], rest[None, :])
+    i, j = np.nonzero(ok & (least <= most))
+    order = np.argsort((least / longest.clip(1))[i, j], kind="stable")
+    return one[i[order]], two[j[order]]
+
+
+def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY, keys: int | None = None) -> DataFrame:
     """Members of mixed buckets -> (a, b) links that join different labels.
 
     Lengths fall into classes, each ``1 / similarity`` times the one below, so a link's
     ends are in one class or in neighbours.  A member of foreign label (not that of
     the bucket's smallest member) meets the members of its class and both
-    neighbours.  Both sides are cut into chunks of about ``CHUNK`` by hash and each
-    pair of chunks is one block, so no task holds a bucket, and its rows grow with
-    foreign members times members, not with the bucket's square.
+    neighbours.  Both sides are cut into chunks by hash, of about ``CHUNK_WORDS`` words,
+    and each pair of chunks is one block, so no task holds a bucket, and its rows grow
+    with foreign members times members, not with the bucket's square.
 
-    Pairs that no cheap bound rules out are aligned, unless a link found before
-    in the block has joined their labels.
+    Pairs that no cheap bound rules out are aligned, the likely ones first, unless a
+    link found before in the block has joined their labels.  With ``keys`` a foreign member
+    asks in so many of its buckets only, those whose smallest member is the likest.
     """
-    step = float(-np.log(similarity)) if 0 < similarity < 1 else 1e-9
-    sized = named.withColumn("class", F.floor(F.log(F.greatest("n_words", F.lit(1))) / step).cast("int")) if 0 < similarity < 1 else named.withColumn("class", F.lit(0))
-    left = sized.filter("foreign").select("*", F.lit(True).alias("left"))
+    step = float(-np.log(min(max(similarity, 0.01), 0.99)))
+    chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step})))"
+    sized = named.withColumn("class", F.floor(F.log(F.greatest("n_words", F.lit(1)).cast("double")) / step).cast("int"))
+    left = sized.filter("foreign")
+    if keys:
+        left = left.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("low", "key"))).filter(F.col("nth") <= keys).drop("nth")
+    left = left.withColumn("left", F.lit(True))
     right = sized.select(*[c for c in sized.columns if c != "class"], F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.lit(False).alias("left"))
-    counts = left.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("lefts"))
+    counts = left.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).select("key", "class", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("lefts"))
     rights = right.join(counts.select("key", "class").hint("merge"), ["key", "class"], "left_semi")
-    counts = counts.join(rights.groupBy("key", "class").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("rights")).hint("merge"), ["key", "class"])
-    every = left.unionByName(rights).join(counts.hint("merge"), ["key", "class"])
+    sides = rights.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).select("key", "class", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("rights"))
+    every = left.unionByName(rights).join(counts.join(sides.hint("merge"), ["key", "class"]).hint("merge"), ["key", "class"])
     every = every.withColumn("chunk", F.expr("cast(pmod(xxhash64(node), if(left, lefts, rights)) as int)"))
     every = every.select("key", "class", "node", "n_words", "label", "low", "high", "foreign", "left", "chunk", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("rights")).otherwise(F.col("lefts")) - 1)).alias("other"))
     every = every.select("*", F.when(F.col("left"), F.col("chunk")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("chunk")).alias("j")).drop("chunk", "other")
@@ -347,21 +379,26 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -
     def block(table: pa.Table) -> pa.Table:
         texts = _lists(table["words"].combine_chunks())
         one, two = fitting(table, similarity, texts)
-        node, label = table["node"].to_pylist(), table["label"].to_pylist()
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                x = y
-            return x
-
-        found = []
-        for at in range(0, len(one), 512):
-            some = [(i, j) for i, j in zip(one[at : at + 512].tolist(), two[at : at + 512].tolist(), strict=True) if find(label[i]) != find(label[j])]
-            for (i, j), near in zip(some, similar([(texts[i], texts[j]) for i, j in some], similarity), strict=True):
-                if near:
-                    found.append((node[i], node[j]))
-                    root[max(find(label[i]), find(label[j]))] = min(find(label[i]), find(label[j]))
+        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        names, at = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
+        found, turn = [], 1
+        while len(one):  # each turn aligns the next few pairs of every left text whose labels are still apart
+            order = np.argsort(one, kind="stable")
+            begins = np.flatnonzero(np.r_[True, np.diff(one[order]) != 0])
+            nth = np.empty(len(one), np.int64)
+            nth[order] = np.arange(len(one)) - np.repeat(begins, np.diff(np.r_[begins, len(one)]))
+            now = nth < turn
+            i, j = one[now], two[now]
+            may = alike(texts, i, j, similarity)
+            i, j = i[may], j[may]
+            near = similar([(texts[x], texts[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], similarity)
+            for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                if root[at[x]] != root[at[y]]:
+                    found.append((int(node[x]), int(node[y])))
+                    root[root == max(root[at[x]], root[at[y]])] = min(root[at[x]], root[at[y]])
+            apart = ~now & (root[at[one]] != root[at[two]])
+            one, two, turn = one[apart], two[apart], turn * 4
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return every.groupBy("key", "class", "i", "j").applyInArrow(block, "a long, b long")
@@ -386,6 +423,19 @@ def shared_keys(texts: DataFrame) -> DataFrame:
     return cold.unionByName(often).filter("members > 1").drop("members")
 
 
+def _apart(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of buckets in which labels differ: key, node, n_words, label, foreign, low, high.
+
+    Their distances to the bucket's smallest member are known within bounds, so by the
+    triangle inequality most of them can't be near; only the others are aligned.
+    """
+    named = members.join(labels.hint("merge"), "node", "left").select("key", "least", "node", "n_words", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min_by("label", "node").alias("main")).filter("x != y").select("key", "main")
+    named = named.join(mixed.hint("merge"), "key").join(known.hint("merge"), ["least", "node"], "left")
+    own = F.col("node") == F.col("least")
+    return named.select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), F.when(own, 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(own, 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high"))
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, h1, h2, node) and (labels: node, label) of near-duplicate texts."""
     rows = shared.written(sketches(docs), "sketches")
@@ -398,18 +448,12 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     tested = shared.written(verified(stars, words, similarity), "links")
     edges = tested.filter("near").select("a", "b").distinct()
     labels = components(edges)
-    # what is left: members of one bucket with different labels.  Their distances to the
-    # bucket's smallest member are known within bounds, so by the triangle inequality most
-    # of them can't be near; only the others are aligned.
     known = tested.groupBy("a", "b").agg(F.max("low").alias("low"), F.min("high").alias("high")).toDF("least", "node", "low", "high")
-    named = members.join(labels.hint("merge"), "node", "left").select("key", "least", "node", "n_words", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min_by("label", "node").alias("main")).filter("x != y").select("key", "main")
-    named = named.join(mixed.hint("merge"), "key").join(known.hint("merge"), ["least", "node"], "left")
-    own = F.col("node") == F.col("least")
-    named = named.select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), F.when(own, 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(own, 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high"))
-    found = shared.written(across(shared.written(named, "mixed"), words, similarity), "links").distinct()
-    if not found.isEmpty():
-        labels = extended(labels, found)
+    # first each node asks in one bucket, which joins most of what belongs together; then what is still apart in all
+    for keys in (1, None):
+        found = shared.written(across(shared.written(_apart(members, labels, known), "mixed"), words, similarity, keys), "links").distinct()
+        if not found.isEmpty():
+            labels = extended(labels, found)
     return rows.join(texts.select("h1", "h2", "node").hint("merge"), ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), labels
 
 

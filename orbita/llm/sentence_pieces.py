@@ -1,20 +1,30 @@
-"""SentencePiece encoding and decoding, batched in numpy.
+"""SentencePiece encoding and decoding: Viterbi, batched in numpy.
 
 Distinct words of equal length advance together.  Hashes of all their
 substrings (from prefix hashes) probe the sorted hashes of the pieces at once.
+Then, position by position, a vectorised maximum over the lengths of the last
+piece finds the best way to each position and stores its back-pointer.
 
-* Unigram models: Viterbi.  ``best[:, j]`` is the maximum over piece lengths of
-  ``best[:, j - n] + score``; argmax stores the back-pointers.
-* BPE models: the maximum of summed scores is not what the merges give, so
-  for them each round takes, in every word, the adjacent pair whose piece scores
-  best (the first of equals) and merges it, till no pair is a piece.  Both give
-  the ids that the sentencepiece library gives.
+* Unigram models: a piece adds its score.
+* BPE models: a step from one piece to the next is worth 0 if both stay side by
+  side when the two are merged from characters, and minus infinity if a merge
+  would cross between them.  Whether one does is read from the pieces' own
+  histories (``_apart``).  Merges work locally, so the ids of the whole are the one
+  way whose steps are all possible: the maximum has no ties, and it is what the
+  merges give.  This needs pieces that are made of better ones, which is checked;
+  for other models the merges themselves are made, round by round.
+
+Both give the ids that the sentencepiece library gives.  Time and memory are
+linear in the length of a word, for models of the first two kinds.
 
 Texts are cut into words where no piece can cross: before a run of spaces and
 around newlines (checked against the pieces).  A bounded dictionary in each
 worker keeps words that were seen.
 
-Defined results: null or empty text has no ids and decodes to the empty string.
+Defined results: null or empty text has no ids and decodes to the empty string;
+of ways of equal score the one whose last piece starts first wins (unigram);
+repeated rows are encoded each; empty tables give no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +41,7 @@ SPACE = "▁"
 #: Candidates for marks before which no piece goes on.
 MARKS = ".,;:!?%#$&*|\"()"
 CACHED = 300_000
+MEMO = 20  # bits of a place in the table of pairs of pieces
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,6 +82,7 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words = self._cuts([p for p, _ in texts])
+        self.chained = not unigram and self._histories([texts[i][0] for i in order])
 
     @classmethod
     def load(cls, model: bytes) -> Pieces:
@@ -129,6 +141,113 @@ class Pieces:
             found = best[:, j - n] + score[:, j - n, n - 1]
             pick = found.argmax(1)
             best[:, j], back[:, j] = found[np.arange(count), pick], n[pick]
+        return self._back(back)
+
+    def _histories(self, texts: list[str]) -> bool:
+        """How each piece is merged from characters; False if a piece is made of worse ones.
+
+        Kept are both edges: the symbols that stand at the piece's end (side 0) or at its start
+        (side 1), from a character up to the piece, as (hash, length, score).
+        """
+        count, deep = len(texts), self.longest + 1
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(deep, _BASE)])
+        self.edge_hash, self.edge_length, self.edge_score = np.zeros((2, count, deep), np.uint64), np.ones((2, count, deep), np.int64), np.full((2, count, deep), -np.inf)
+        self.depth = np.ones((2, count), np.int64)
+        self.reached = np.array([len(t) == 1 for t in texts], bool)
+        self.memo_pair, self.memo_apart = np.full(1 << MEMO, -1, np.int64), np.zeros(1 << MEMO, bool)
+        slot = {t: i for i, t in enumerate(texts)}
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for i, t in enumerate(texts):
+            by_size[len(t)].append(i)
+        for size in sorted(by_size):
+            if size == 1:
+                continue
+            rows = [(i, x, y, ord(t[k - 1]), ord(t[k])) for i in by_size[size] for t in (texts[i],) for k in range(1, size) for x, y in ((slot.get(t[:k], -1), slot.get(t[k:], -1)),) if (k == 1 or x >= 0 and self.reached[x]) and (k == size - 1 or y >= 0 and self.reached[y])]
+            if not rows:
+                continue
+            own, left, right, last, first = np.array(rows).T
+            ok = self._apart(left, right, last, first, False)
+            own, left, right = own[ok], left[ok], right[ok]
+            for part in (left, right):
+                if (self.scores[part[(part >= 0) & self._long(part)]] < self.scores[own[(part >= 0) & self._long(part)]]).any():
+                    return False
+            self.reached[own] = True
+            for side, part in enumerate((right, left)):
+                known = part >= 0
+                depth = np.where(known, self.depth[side, part], 1)
+                for held in (self.edge_hash, self.edge_length, self.edge_score):
+                    held[side, own[known]] = held[side, part[known]]
+                self.depth[side, own] = depth + 1
+                self.edge_hash[side, own, depth] = self.keys[own]
+                self.edge_length[side, own, depth] = size
+                self.edge_score[side, own, depth] = self.scores[own]
+        return True
+
+    def _long(self, slots: np.ndarray) -> np.ndarray:
+        """Pieces of more than one character (only these are merged)."""
+        return self.depth[0, slots] > 1
+
+    def _apart(self, left: np.ndarray, right: np.ndarray, last: np.ndarray, first: np.ndarray, whole: bool = True) -> np.ndarray:
+        """Whether no merge crosses between two pieces (slots; -1: a lone character) while they are made.
+
+        ``last`` and ``first`` are the characters that meet.  Merges are made from the best score down, the
+        left one of equals first.  With ``whole`` the two finished pieces must not merge either.
+        """
+        out, live = np.ones(len(left), bool), np.arange(len(left))
+        at = [np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)]
+        depth = [np.where(s >= 0, self.depth[k, s], 1) for k, s in enumerate((left, right))]
+        slots, base = [left, right], [_mixed(last), _mixed(first)]
+        while len(live):
+            hashes = [np.where(at[k] == 0, base[k], self.edge_hash[k, slots[k], at[k]]) for k in (0, 1)]
+            both = hashes[0] * self.power[np.where(at[1] == 0, 1, self.edge_length[1, slots[1], at[1]])] + hashes[1]
+            where = np.minimum(np.searchsorted(self.keys, both), len(self.keys) - 1)
+            cross = np.where(self.keys[where] == both, self.scores[where], -np.inf)
+            more = [at[k] + 1 < depth[k] for k in (0, 1)]
+            own = [np.where(more[k], self.edge_score[k, slots[k], np.minimum(at[k] + 1, depth[k] - 1)], -np.inf) for k in (0, 1)]
+            done = ~more[0] & ~more[1]
+            joined = (cross > own[0]) & (cross >= own[1]) & (whole | ~done)
+            out[live[joined]] = False
+            go = ~(joined | done)
+            ahead = own[0] >= own[1]
+            at = [(at[0] + ahead)[go], (at[1] + ~ahead)[go]]
+            live, depth, slots, base = live[go], [d[go] for d in depth], [s[go] for s in slots], [b[go] for b in base]
+        return out
+
+    def _steps(self, left: np.ndarray, right: np.ndarray, last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """``_apart``, for pairs of pieces seen lately from a table of fixed size."""
+        pair = left * len(self.keys) + right
+        at = (pair.astype(np.uint64) * _MIX >> np.uint64(64 - MEMO)).astype(np.int64)
+        lone = (left < 0) | (right < 0)
+        out = self.memo_apart[at]
+        new = np.flatnonzero((self.memo_pair[at] != pair) | lone)
+        if len(new):
+            out[new] = self._apart(left[new], right[new], last[new], first[new])
+            kept = new[~lone[new]]
+            self.memo_pair[at[kept]], self.memo_apart[at[kept]] = pair[kept], out[kept]
+        return out
+
+    def _chain(self, codes: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """ends[w, i], as of ``_viterbi``, where steps between pieces are possible or not."""
+        count, size = codes.shape
+        longest = where.shape[2]
+        usable = (where >= 0) & self.reached[where]
+        usable[:, :, 0] = True
+        back, slot = np.zeros((count, size + 1), np.int64), np.full((count, size + 1), -1, np.int64)
+        for j in range(1, size + 1):
+            n = np.arange(min(longest, j), 0, -1)
+            found = np.where(usable[:, j - n, n - 1], 0.0, -np.inf)
+            rows, cols = np.nonzero((found == 0) & (j - n > 0)[None, :])
+            i = j - n[cols]
+            step = self._steps(slot[rows, i], where[rows, i, n[cols] - 1].astype(np.int64), codes[rows, i - 1], codes[rows, i])
+            found[rows[~step], cols[~step]] = -np.inf
+            pick = found.argmax(1)
+            back[:, j], slot[:, j] = n[pick], where[np.arange(count), j - n[pick], n[pick] - 1]
+        return self._back(back)
+
+    @staticmethod
+    def _back(back: np.ndarray) -> np.ndarray:
+        """Back-pointers (length of the last piece up to each position) -> ends[w, i]."""
+        count, size = back.shape[0], back.shape[1] - 1
         ends = np.zeros((count, size), np.int32)
         at, rows = np.full(count, size), np.arange(count)
         while (at > 0).any():
@@ -166,12 +285,12 @@ class Pieces:
             by_size[len(w)].append(i)
         out: list = [b""] * len(words)
         for size, members in by_size.items():
-            block = max(1, 60_000 // (size * min(size, self.longest)))
+            block = max(1, 200_000 // (size * min(size, self.longest)))
             for at in range(0, len(members), block):
                 some = members[at : at + block]
                 codes = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), size)
                 where, score = self._probe(codes)
-                ends = self._viterbi(score) if self.unigram else self._merges(score)
+                ends = self._viterbi(score) if self.unigram else self._chain(codes, where) if self.chained else self._merges(score)
                 rows, begins = np.nonzero(ends)
                 slots = where[rows, begins, ends[rows, begins] - begins - 1]
                 ids = np.where(slots >= 0, self.ids[slots] if len(self.ids) else -1, -1)

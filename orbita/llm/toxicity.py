@@ -17,18 +17,26 @@ Logistic regression on the margins of a text's four worst words, wherever
 they stand, gives its score.
 
 Labels are learnt only from rows with crc32(doc_id) mod 5 != 0, of these a
-bounded sample: ``most_toxic`` and ``most_clean`` texts, first by hash of id.
+bounded sample: ``most_toxic`` and ``most_clean`` texts of at most ``most_chars``
+characters, first by hash of id, read in one task that returns the model.
 Labels, language, source and id are no inputs of a score.
 
+The labels are labels of texts, so what the SVM is fitted on are the words of
+labelled texts, not sentences as they stand; a sentence counts by its worst words.
+
 Defined results: null text is empty; a text without words scores as the least
 toxic; without labels of both kinds every score is 0; null or repeated labels:
-nulls are ignored, any 1 counts as toxic; rows repeated are scored each.
+nulls are ignored, any 1 counts as toxic; rows repeated are scored each; equal
+texts score alike; texts of any length are scored whole, a word of more than
+``LONGEST`` letters by overlapping parts; empty tables give no rows; other columns
+are ignored (or kept as they are, by the filter), whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
+from collections.abc import Iterable
 from heapq import nlargest
 
 import numpy as np
@@ -37,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN, DECAY, LONGEST = 7, 0.6, 24
-FOLDS, MOST_TOXIC, MOST_CLEAN = 5, 1500, 3000
+FOLDS, MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 5, 1500, 3000, 50_000
 LANDMARKS, CACHED, LOW, WORST = 96, 300_000, -9.0, 4
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíîïñóòôöõøœúùûüýÿßœ"
 SIZE = 64  # alphabet: end marks, the letters above, the rest hashed
@@ -167,51 +175,61 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], labels: list[int]) -> dict | None:
-    """The folded weights, bias and logistic map; None without both labels."""
-    y = np.array(labels)
+def train(rows: Iterable[tuple[str, int]]) -> dict | None:
+    """(text, label) rows -> the folded weights, bias and logistic map; None without both labels.
+
+    Texts are read once, one after the other; what stays of each is the numbers of its words.
+    """
+    number: dict[str, int] = {}
+    bags, labels = [], []
+    for text, label in rows:
+        own = sorted({w for t in tokens(text) for w in windows(plain(t)) if w})
+        bags.append(np.array(sorted(number.setdefault(w, len(number)) for w in own), np.int32))
+        labels.append(label)
+    y = np.array(labels, int)
     if len(set(labels)) < 2:
         return None
-    bags = [{w for t in tokens(text) for w in windows(plain(t)) if w} for text in texts]
-    good, bad = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        (bad if label else good).update(bag)
-    n_bad, n_good = int(y.sum()), int(len(y) - y.sum())
-
-    def typical(w: str) -> float:
-        """Signed log-likelihood ratio of a word's documents."""
-        a, b = bad[w], good[w]
-        p = (a + b) / (n_bad + n_good)
-        part = lambda k, n, q: (k * np.log(max(k, 1e-9) / n / q) if k else 0) + ((n - k) * np.log((n - k) / n / (1 - q)) if n > k and q < 1 else 0)
-        return (part(a, n_bad, p) + part(b, n_good, p)) * (1 if a / n_bad > b / n_good else -1)
-
-    rank = {w: typical(w) for w in bad}
-    top = sorted((w for w in rank if rank[w] > 2 and bad[w] / n_bad > 4 * good[w] / n_good), key=lambda w: (-rank[w], w))
+    words = list(number)
+    count = lambda some: np.bincount(np.concatenate([np.empty(0, np.int32), *some]), minlength=len(words)).astype(float)
+    bad, good = count([b for b, lab in zip(bags, labels, strict=True) if lab]), count([b for b, lab in zip(bags, labels, strict=True) if not lab])
+    n_bad, n_good = float(y.sum()), float(len(y) - y.sum())
+    share_bad, share_good = bad / n_bad, good / n_good
+    p = (bad + good) / (n_bad + n_good)
+
+    def part(k: np.ndarray, n: float) -> np.ndarray:
+        """Log-likelihood ratio of k of n texts against the common share p."""
+        rest = np.where((k < n) & (p < 1), (n - k) * np.log(np.maximum(n - k, 1e-9) / n / np.maximum(1 - p, 1e-12)), 0)
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / n / np.maximum(p, 1e-12)), 0) + rest
+
+    rank = (part(bad, n_bad) + part(good, n_good)) * np.where(share_bad > share_good, 1, -1)
+    name = {i: w for w, i in number.items()}
+    top = sorted(np.flatnonzero((bad > 0) & (rank > 2) & (share_bad > 4 * share_good)).tolist(), key=lambda i: (-rank[i], name[i]))
     if not top:
         return None
-    usual = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))]
+    usual = sorted(np.flatnonzero(good > 0).tolist(), key=lambda i: (-good[i], name[i]))
     step = max(1, len(usual) // (LANDMARKS * 20))
     marks = list(dict.fromkeys(top[:LANDMARKS] + usual[: LANDMARKS // 3] + usual[LANDMARKS // 3 :: step * 30][: LANDMARKS - LANDMARKS // 3]))
-    space = Nystrom(marks)
+    space = Nystrom([name[i] for i in marks])
     positive = set(top[: 4 * LANDMARKS])
     negative = usual[:2000] + usual[2000 :: max(1, len(usual) // 8000)]
-    vocabulary = list(rank) + [w for w in good if w not in rank]
     for _ in range(4):
-        some = [w for w in positive] + [w for w in negative if w not in positive]
-        x = space.features(some)
+        some = sorted(positive) + [i for i in negative if i not in positive]
+        x = space.features([name[i] for i in some])
         sign = np.array([1.0] * len(positive) + [-1.0] * (len(some) - len(positive)))
-        size = 10 * np.sqrt(np.array([1.0 + (bad[w] if s > 0 else good[w]) for w, s in zip(some, sign, strict=True)]))
+        size = 10 * np.sqrt(1 + np.where(sign > 0, bad[some], good[some]))
         size[sign > 0] *= size[sign < 0].sum() / size[sign > 0].sum() / 2
         w = svm(x, sign, size)
         folded, bias = space.folded(w[:-1]), float(w[-1])
-        found = dict(zip(vocabulary, margins(vocabulary, folded, bias), strict=True))
+        found = margins(words, folded, bias)
         # each toxic text shows its worst words; words of clean texts are innocent, the worst ones are added
-        limit = np.quantile([max((found[x] for x in b), default=LOW) for b, lab in zip(bags, labels, strict=True) if not lab], 0.98)
-        likely = {x for b, lab in zip(bags, labels, strict=True) if lab for x in b if found[x] > max(limit, 0.0) and bad[x] / n_bad > 4 * good[x] / n_good}
-        positive = likely | set(top[: 4 * LANDMARKS])
-        hard = sorted((x for x in good if found[x] > -0.5 and x not in positive), key=lambda x: (-found[x], x))[:3000]
+        limit = np.quantile([found[b].max(initial=LOW) for b, lab in zip(bags, labels, strict=True) if not lab], 0.98)
+        seen = np.zeros(len(words), bool)
+        seen[np.concatenate([b for b, lab in zip(bags, labels, strict=True) if lab])] = True
+        likely = np.flatnonzero(seen & (found > max(limit, 0.0)) & (share_bad > 4 * share_good)).tolist()
+        positive = set(likely) | set(top[: 4 * LANDMARKS])
+        hard = sorted((i for i in np.flatnonzero((good > 0) & (found > -0.5)).tolist() if i not in positive), key=lambda i: (-found[i], name[i]))[:3000]
         negative = list(dict.fromkeys(negative + hard))
-    worst = np.array([worst_words([found[x] for x in b]) for b in bags])
+    worst = np.array([worst_words(found[b].tolist()) for b in bags])
     return {"folded": folded, "bias": bias, "map": logistic(worst, y.astype(float))}
 
 
@@ -250,14 +268,26 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> dict | None:
-    """Train on the driver on a bounded sample of labelled, not held-out rows."""
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> dict | None:
+    """Train in one task on a bounded sample of labelled, not held-out rows: the first by hash of id.
+
+    Of these ids, each gives one text (the least in order, if it has several) of at
+    most ``most_chars`` characters; longer ones are not learnt from.  What comes back
+    to the driver is the model, about one MB.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     pick = lambda toxic, most: known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     some = pick(1, most_toxic).unionByName(pick(0, most_clean))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("text", "toxic").collect()
-    rows = sorted((r["text"], int(r["toxic"])) for r in rows)
-    return train([t for t, _ in rows], [x for _, x in rows])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.char_length("text") <= most_chars).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+
+    def run(batches):
+        model = train((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("text", "toxic").select("text", "toxic")
+    row = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
