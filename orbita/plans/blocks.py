@@ -45,7 +45,7 @@ def scan(keys: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
-    """points (by, key_id, key) -> by, key_id, node_id, dist2; centers are collected, so callers bound them; ties to the smaller node_id."""
+    """points (by, key_id, key) -> by, key_id, node_id, dist2; centers are collected, so callers bound them; ties to the smaller node_id; points of groups without centers have no row."""
     groups: dict[tuple, list] = {}
     for r in centers.select(*by, "node_id", "center").orderBy("node_id").collect():
         groups.setdefault(tuple(r[c] for c in by), []).append(r)
@@ -55,18 +55,25 @@ def nearest(points: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
         for b in batches:
             names = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True))
             ids, vectors = b.column(len(by)).to_numpy(), _matrix(b.column(len(by) + 1), b.num_rows)
-            node, dist = np.zeros(len(ids), np.int64), np.full(len(ids), np.nan)
+            node, dist, kept = np.zeros(len(ids), np.int64), np.full(len(ids), np.nan), np.zeros(len(ids), bool)
             at: dict[tuple, list[int]] = {}
             for i, g in enumerate(names):
-                at.setdefault(g, []).append(i)
+                if g in sides.value:
+                    at.setdefault(g, []).append(i)
             for g, own in at.items():
                 n, c = sides.value[g]
+                kept[own] = True
                 for k in range(0, len(own), 1024):
                     some = np.array(own[k : k + 1024])
                     rough = (c * c).sum(1) - 2 * vectors[some] @ c.T
                     pick = rough.argmin(1)
+                    # centers too close to tell apart by the expanded square are measured again, the smaller id first
+                    close = rough <= rough.min(1, keepdims=True) + 1e-9 * (1 + (vectors[some] ** 2).sum(1, keepdims=True))
+                    for i in np.flatnonzero(close.sum(1) > 1):
+                        same = np.flatnonzero(close[i])
+                        pick[i] = same[((vectors[some[i]] - c[same]) ** 2).sum(1).argmin()]
                     node[some], dist[some] = n[pick], ((vectors[some] - c[pick]) ** 2).sum(1)
-            yield pa.record_batch([*b.columns[: len(by) + 1], pa.array(node), pa.array(dist)], names=[*by, "key_id", "node_id", "dist2"])
+            yield pa.record_batch([*b.columns[: len(by) + 1], pa.array(node), pa.array(dist)], names=[*by, "key_id", "node_id", "dist2"]).filter(pa.array(kept))
 
     types = {f.name: f.dataType.simpleString() for f in points.schema}
     return points.select(*by, "key_id", "key").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in by) + ", key_id long, node_id long, dist2 double")

@@ -300,11 +300,13 @@ def slot_fill_counts(spark, sf):
 
 
 def _flat_queries(spark, sf, threshold):
-    return _head_queries(spark, sf, threshold).filter("q_head = 0")
+    q = _head_queries(spark, sf, threshold)
+    return q.withColumn("query_id", F.col("query_id") * HEADS + F.col("q_head")).withColumn("q_head", F.lit(0))
 
 
 def _flat_keys(spark, sf):
-    return _keys(spark, sf).filter("kv_head = 0").select("key_id", "key")
+    """The slices of all heads, as one set of vectors."""
+    return _keys(spark, sf).select((F.col("key_id") * HEADS + F.col("kv_head")).alias("key_id"), "key")
 
 
 def _pct(spark, sf, kind, clusters, threshold=0.1):
@@ -312,7 +314,7 @@ def _pct(spark, sf, kind, clusters, threshold=0.1):
     return _rounded(shapes.intersecting(kind, shapes.MAKE[kind](members, centers), _flat_queries(spark, sf, threshold)), "pct")
 
 
-_FLAT = f"{_K8}, f AS (SELECT 0 AS one, key_id, key FROM k8 WHERE kv_head = 0), {_seeds('f', '100', 42, 'c', 'one')}, {_near('f', 'c', 'm', 'one')}, mm AS (SELECT f.key_id, key, node_id AS cluster_id FROM m JOIN f USING (key_id)), {_q8()}, q AS (SELECT query_id, q FROM q8 WHERE q_head = 0)"
+_FLAT = f"{_K8}, f AS (SELECT 0 AS one, key_id * 8 + kv_head AS key_id, key FROM k8), {_seeds('f', '100', 42, 'c', 'one')}, {_near('f', 'c', 'm', 'one')}, mm AS (SELECT f.key_id, key, node_id AS cluster_id FROM m JOIN f USING (key_id)), {_q8()}, q AS (SELECT query_id * 8 + q_head AS query_id, q FROM q8)"
 _PCT = "SELECT query_id, count(*) AS clusters, CAST(sum(CASE WHEN bound >= 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS hit, round(100.0::DOUBLE * sum(CASE WHEN bound >= 0.1 THEN 1 ELSE 0 END) / count(*), 6) AS pct FROM b GROUP BY ALL"
 _BOX = "x AS (SELECT cluster_id, i, min(key[i]) AS lo, max(key[i]) AS hi FROM mm, range(1, 9) t(i) GROUP BY ALL), b AS (SELECT query_id, cluster_id, sum(CASE WHEN q[i] >= 0 THEN hi ELSE lo END * q[i]) AS bound FROM x, q GROUP BY ALL)"
 _HULL = f"b AS (SELECT query_id, cluster_id, max({_DOT.format('q', 'key')}) AS bound FROM mm, q GROUP BY ALL)"
@@ -336,13 +338,13 @@ def random_hull_pct(spark, sf):
 for _kind in ("exact_ball", "ellipsoid"):
     Q[f"random_{_kind}_pct"] = lambda spark, sf, k=_kind: _pct(spark, sf, k, shapes.random_clusters(_flat_keys(spark, sf)))
 for _kind in ("ball", "box", "hull", "ellipsoid"):
-    Q[f"kmeans_{_kind}_pct"] = lambda spark, sf, k=_kind: _pct(spark, sf, k, shapes.kmeans_clusters(_flat_keys(spark, sf), 50, 2))
+    Q[f"kmeans_{_kind}_pct"] = lambda spark, sf, k=_kind: _pct(spark, sf, k, shapes.kmeans_clusters(_flat_keys(spark, sf), 100, 5))
 
-_PARTS = "f AS (SELECT key_id, key FROM k8 WHERE kv_head = 0), parts AS (SELECT s::INT AS sub, key_id, list_slice(key, s * 2 + 1, s * 2 + 2) AS key FROM f, range(4) t(s))"
+_PARTS = "f AS (SELECT key_id * 8 + kv_head AS key_id, key FROM k8), parts AS (SELECT s::INT AS sub, key_id, list_slice(key, s * 2 + 1, s * 2 + 2) AS key FROM f, range(4) t(s))"
 _PQ = (
     f"{_K8}, {_PARTS}, {_seeds('parts', '8', 42, 'w', 'sub')}, "
     "book AS (SELECT sub, row_number() OVER (PARTITION BY sub ORDER BY md5('42:' || node_id), node_id) - 1 AS node_id, center FROM w), "
-    f"{_near('parts', 'book', 'e', 'sub')}, codes AS (SELECT key_id, list(node_id ORDER BY sub) AS codes FROM e GROUP BY ALL), ids AS (SELECT codes, min(key_id) AS cluster_id FROM codes GROUP BY ALL), mm AS (SELECT key_id, key, cluster_id FROM codes JOIN ids USING (codes) JOIN f USING (key_id)), {_q8()}, q AS (SELECT query_id, q FROM q8 WHERE q_head = 0)"
+    f"{_near('parts', 'book', 'e', 'sub')}, codes AS (SELECT key_id, list(node_id ORDER BY sub) AS codes FROM e GROUP BY ALL), ids AS (SELECT codes, min(key_id) AS cluster_id FROM codes GROUP BY ALL), mm AS (SELECT key_id, key, cluster_id FROM codes JOIN ids USING (codes) JOIN f USING (key_id)), {_q8()}, q AS (SELECT query_id * 8 + q_head AS query_id, q FROM q8)"
 )
 
 
@@ -383,7 +385,7 @@ def ball_class(spark, sf):
     return metrics.ball_classes(shapes.balls(*shapes.random_clusters(_flat_keys(spark, sf))), _flat_queries(spark, sf, 0.1))
 
 
-@query(f"WITH {_K8}, {_q8()}, d AS (SELECT query_id, {_D2.replace('center', 'q')} AS d, key_id FROM q8 JOIN k8 USING (kv_head) WHERE kv_head = 0) SELECT query_id, round(sqrt(d), 6) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, key_id) AS k FROM d) WHERE k = 6")
+@query(f"WITH {_K8}, {_q8()}, q AS (SELECT query_id * 8 + q_head AS query_id, q FROM q8), f AS (SELECT key_id * 8 + kv_head AS key_id, key FROM k8), d AS (SELECT query_id, {_D2.replace('center', 'q')} AS d, key_id FROM q, f) SELECT query_id, round(sqrt(d), 6) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, key_id) AS k FROM d) WHERE k = 6")
 def knn_radius(spark, sf):
     return _rounded(metrics.knn_radius(_flat_keys(spark, sf), _flat_queries(spark, sf, 0.1), 5), "radius")
 
@@ -420,9 +422,9 @@ def norm_stats(spark, sf):
     return _rounded(metrics.norm_stats(_keys(spark, sf), ["kv_head"]), "mean", "std", "low", "high")
 
 
-@query("WITH v AS (SELECT embedding[1]::DOUBLE AS v FROM embeddings), s AS (SELECT count(*) AS n, avg(v) AS mu, var_pop(v) AS var, min(v) AS lo, max(v) AS hi FROM v), f AS (SELECT 'normal' AS name, mu AS a, sqrt(var) AS b, -n / 2.0::DOUBLE * (ln(2 * pi() * var) + 1) AS loglik, n FROM s UNION ALL SELECT 'uniform', lo, hi, -n * ln(hi - lo), n FROM s) SELECT name, round(a, 6) AS a, round(b, 6) AS b, round(loglik, 4) AS loglik, round(4 - 2 * loglik, 4) AS aic, round(2 * ln(n) - 2 * loglik, 4) AS bic FROM f")
+@query("WITH v AS (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT count(*) AS n, avg(v) AS mu, var_pop(v) AS var, min(v) AS lo, max(v) AS hi FROM v), f AS (SELECT 'normal' AS name, mu AS a, sqrt(var) AS b, -n / 2.0::DOUBLE * (ln(2 * pi() * var) + 1) AS loglik, n FROM s UNION ALL SELECT 'uniform', lo, hi, -n * ln(hi - lo), n FROM s) SELECT name, round(a, 6) AS a, round(b, 6) AS b, round(loglik, 4) AS loglik, round(4 - 2 * loglik, 4) AS aic, round(2 * ln(n) - 2 * loglik, 4) AS bic FROM f")
 def distribution_fits(spark, sf):
-    got = metrics.normal_fit(_wide(spark, sf).select(F.element_at("key", 1).cast("double").alias("v")))
+    got = metrics.normal_fit(_wide(spark, sf).select(F.explode("key").alias("v")).select(F.col("v").cast("double").alias("v")))
     return got.select("name", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), *(F.round(c, 4).alias(c) for c in ("loglik", "aic", "bic")))
 
 
