@@ -7,8 +7,9 @@ shape figures -- and a bidirectional LSTM in numpy reads the whole sequence, so
 every block is labelled in the context of its document.  Blocks labelled as
 main text are joined by newlines.
 
-The labeller is trained here, on a bounded sample of ``sample`` different pages (first by
-hash of the html): where a page marks its article, blocks inside are main text
+The labeller is trained here, on a bounded sample of ``sample`` different pages (those with
+an article or main element first, then by hash of the html; of each the first 200 blocks, of
+variants 40 article blocks): where a page marks its article, blocks inside are main text
 and others aren't.  To each sampled page come variants, made from a parameterised
 set of page parts -- menus, notices, sidebars, forms, comments, adverts in and
 around articles of several markups, and with marks left out.
@@ -19,7 +20,11 @@ comments have no text, and what stands in a script or style is no markup; ``br``
 the next begins.
 
 Defined results: null or empty html gives empty text; pages without blocks
-too; broken markup is read as far as it goes; repeated pages are read each.
+too; broken markup is read as far as it goes, in time linear in its length; a ``<`` after the
+last ``>`` is text; where no page marks its article, the variants are made of blocks that
+look like text, and where there are none of these nothing is main text; repeated pages
+are read each, equal pages alike; pages of any length are read whole, in bounded
+batches of blocks; empty tables give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>|([^<]+|<)", re.S)
+REST = re.compile(r"(?:<!--.*|()()()()(.+))\Z", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in ("script", "style")}
 HIDDEN = {"script", "style", "template", "noscript", "svg", "iframe", "object", "canvas"}
@@ -48,6 +54,7 @@ AWAY_NAMES = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|comments?|cookie
 
 WORDS_, PATHS, SHAPE, HIDDEN_UNITS = 48, 64, 8, 20
 SAMPLE, SAMPLE_CHARS, ROUNDS, SEED = 160, 200_000, 12, 7
+PART, CELLS, DEPTH = 4096, 16_384, 64  # blocks that are made vectors of at once; blocks of a batch; elements of a path
 
 
 class Block:
@@ -69,14 +76,16 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, links / max(1, len(text))))
+                path = stack if len(stack) <= DEPTH else stack[: DEPTH // 4] + stack[-(DEPTH - DEPTH // 4) :]
+                out.append(Block(tuple(path), text, links / max(1, len(text))))
             parts.clear()
         links = 0
 
-    at = 0
-    while m := TOKEN.match(page, at):
+    at, last = 0, page.rfind(">")
+    while m := TOKEN.match(page, at) if at <= last else REST.match(page, at):  # no tag begins after the last >
         at = m.end()
         _, close, tag, rest, text = m.groups()
+        tag = tag or None
         if text is not None:
             if not hidden:
                 parts.append(text)
@@ -113,12 +122,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if ends := CLOSES.get(tag, {"p"} if tag not in VOID else set()):
             bound = BOUNDS.get(tag, set()) | {"article", "section", "div", "main", "body", "aside", "nav"}
+            cut = len(stack)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in bound:
                     break
                 if stack[i][0] in ends:
-                    del stack[i:]
-                    break
+                    cut = i
+            del stack[cut:]
         if tag not in VOID and not rest.endswith("/"):
             names = " ".join(a or b or c for a, b, c in NAMED.findall(rest)) if rest else ""
             stack.append((tag, names.lower()))
@@ -165,6 +175,13 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     every = [b for page in pages for b in page]
     if not every:
         return [np.zeros((0, PATHS + WORDS_ + SHAPE), np.float32) for _ in pages]
+    place = np.concatenate([np.arange(len(p)) for p in pages]).astype(np.float32)
+    long = np.concatenate([np.full(len(p), len(p)) for p in pages]).astype(np.float32)
+    parts = [_vectors(every[at : at + PART], place[at : at + PART], long[at : at + PART]) for at in range(0, len(every), PART)]
+    return np.split(np.concatenate(parts), np.cumsum([len(p) for p in pages])[:-1])
+
+
+def _vectors(every: list[Block], place: np.ndarray, long: np.ndarray) -> np.ndarray:
     codes, uses, sizes = [], [], []
     for b in every:
         words = b.text.lower().split()
@@ -175,11 +192,8 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     rows = np.repeat(np.arange(len(every)), uses)
     votes = np.bincount(rows * 2 * WORDS_ + np.array(codes), minlength=len(every) * 2 * WORDS_).reshape(-1, 2 * WORDS_)
     n, chars, links, stops, depth = np.array(sizes, np.float32).T
-    place = np.concatenate([np.arange(len(p)) for p in pages]).astype(np.float32)
-    long = np.concatenate([np.full(len(p), len(p)) for p in pages]).astype(np.float32)
     shape = np.stack([np.log1p(n) / 5, np.log1p(chars) / 7, np.minimum(1, links), stops / (1 + n), depth / 8, place / long, 1 / (1 + place), 1 / (long - place)], 1)
-    x = np.concatenate([np.stack([_path(b.path) for b in every]), (votes[:, :WORDS_] - votes[:, WORDS_:]) / np.sqrt(1 + n)[:, None], shape], 1).astype(np.float32)
-    return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
+    return np.concatenate([np.stack([_path(b.path) for b in every]), (votes[:, :WORDS_] - votes[:, WORDS_:]) / np.sqrt(1 + n)[:, None], shape], 1).astype(np.float32)
 
 
 class Lstm:
@@ -201,11 +215,15 @@ class Lstm:
         u = self.units
         steps, batch, _ = x.shape
         h, c = np.zeros((batch, u), x.dtype), np.zeros((batch, u), x.dtype)
-        pre = x @ self.w[f"x{d}"].astype(x.dtype) + self.w[f"c{d}"].astype(x.dtype)
+        wx, wc = self.w[f"x{d}"].astype(x.dtype), self.w[f"c{d}"].astype(x.dtype)
+        pre, low = None, 0  # of some steps at a time
         wh = self.w[f"h{d}"].astype(x.dtype)
         out, kept = np.zeros((steps, batch, u), x.dtype), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = pre[t] + h @ wh
+            if pre is None or not low <= t < low + len(pre):
+                low = t - t % PART
+                pre = x[low : low + PART] @ wx + wc
+            g = pre[t - low] + h @ wh
             s = 1 / (1 + np.exp(-np.clip(g[:, : 3 * u], -30, 30)))
             i, f, o, n = s[:, :u], s[:, u : 2 * u], s[:, 2 * u :], np.tanh(g[:, 3 * u :])
             m = mask[t][:, None]
@@ -235,6 +253,9 @@ class Lstm:
     def _margins(self, x, mask, keep=False):
         f, kf = self._pass(x, mask, "f", keep)
         b, kb = self._pass(x, mask, "b", keep)
+        if not keep:
+            o, u = self.w["o"].astype(x.dtype), self.units
+            return f @ o[:u] + b @ o[u : 2 * u] + x @ o[2 * u :] + self.w["ob"].astype(x.dtype), None, None, None
         every = np.concatenate([f, b, x], 2)
         return every @ self.w["o"].astype(x.dtype) + self.w["ob"].astype(x.dtype), every, kf, kb
 
@@ -266,8 +287,11 @@ class Lstm:
         """For each page whether its blocks are main text; pages of like length advance together."""
         out: list = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
+        while order:  # a batch holds CELLS blocks at most, padding included, or one page
+            take = 1
+            while take < min(64, len(order)) and (take + 1) * len(pages[order[take]]) <= CELLS:
+                take += 1
+            some, order = order[:take], order[take:]
             x, mask = padded([pages[i] for i in some])
             z = self._margins(x, mask)[0]
             for k, i in enumerate(some):
@@ -318,34 +342,55 @@ def variant(page: list[Block], label: list[int], texts: list[str], rng: random.R
     return [b for b, _ in out], [y for _, y in out]
 
 
+def plausible(page: list[Block]) -> list[int]:
+    """Labels where nothing is marked: blocks of eight words or more, hardly linked, that aren't under another part's name."""
+    return [int(len(b.text.split()) >= 8 and b.links < 0.3 and not any(t in AWAY or (n and AWAY_NAMES.search(n)) for t, n in b.path)) for b in page]
+
+
 def train(pages: list[str], variants: int = 3) -> Lstm | None:
-    """None where no page marks its article."""
+    """None where no page has any text to learn from."""
     rng = random.Random(SEED)
-    read = [(b, y) for b in map(blocks, pages) if b and (y := marked(b)) and any(y)]
+    split = [b for b in map(blocks, pages) if b]
+    read = [(b, y) for b in split if (y := marked(b)) and any(y)]
+    own = [(b[:200], y[:200]) for b, y in read]
+    if not read:  # no page marks its article: only variants, of what looks like text
+        read = [(b, y) for b in split if any(y := plausible(b))]
     if not read:
         return None
     texts = [x.text for b, _ in read for x in b]
-    some = [(b[:200], y[:200]) for b, y in read] + [variant(b, y, texts, rng) for b, y in read for _ in range(variants)]
+    some = own + [variant(b, y, texts, rng) for b, y in read for _ in range(variants)]
     xs, ys = vectors([b for b, _ in some]), [np.array(y, np.float32) for _, y in some]
     return Lstm(PATHS + WORDS_ + SHAPE, HIDDEN_UNITS, SEED).fit(xs, ys, max(ROUNDS, ROUNDS * SAMPLE // (2 * len(read))) if len(read) < SAMPLE // 2 else ROUNDS, SEED)
 
 
 def main_texts(pages: list[str], model: Lstm | None) -> list[str]:
-    if model is None:
-        return ["" for _ in pages]
-    read = [blocks(p) if p else [] for p in pages]
-    kept = model.label(vectors(read))
-    return ["\n".join(b.text for b, k in zip(page, keep, strict=True) if k) for page, keep in zip(read, kept, strict=True)]
+    out: list[str] = []
+    held: list[list[Block]] = []
+
+    def label() -> None:
+        kept = model.label(vectors(held)) if model else [np.array(plausible(b), bool) for b in held]
+        out.extend("\n".join(b.text for b, k in zip(page, keep, strict=True) if k) for page, keep in zip(held, kept, strict=True))
+        held.clear()
+
+    for page in pages:
+        held.append(blocks(page) if page else [])
+        if sum(map(len, held)) >= CELLS:
+            label()
+    label()
+    return out
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Lstm | None:
     """Train on the driver on a bounded sample of different pages of at most ``SAMPLE_CHARS`` characters.
 
-    The hashes are ranked first, so no page but the chosen ones leaves its executor,
-    and a page with many copies is one page.
+    Pages with an article or main element come first, then the others, each by hash of
+    the html.  The hashes are ranked first, so no page but the chosen ones leaves its
+    executor, and a page with many copies is one page.
     """
     some = pages.filter(f"html != '' and char_length(html) <= {SAMPLE_CHARS}").select("html", F.xxhash64("html").alias("h"))
-    chosen = [r["h"] for r in some.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).select("h").orderBy("h").limit(sample).collect()]
+    unmarked = (~F.col("html").rlike(r"(?i)<(?:article|main)[\s>]")).cast("int")
+    ranked = some.groupBy("h").agg(F.min(unmarked).alias("unmarked")).orderBy("unmarked", "h").limit(sample)
+    chosen = [r["h"] for r in ranked.collect()]
     rows = some.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).collect()
     return train(sorted(r["html"] for r in rows))
 

@@ -4,15 +4,18 @@ A source with r = target / size words gets floor(r) whole copies of each
 document for certain; for the rest, p = r - floor(r), documents are ranked by
 random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that
 order until the words wanted are reached (the last one if that comes nearer).
-u comes from the MD5 of the id, so reruns agree on any cluster.
+u comes from the MD5 of the id, so reruns agree on any cluster.  p is one number a
+source: sources are what has unequal odds here, and what is fixed is the words taken
+from each.
 
 The order is never gathered: words are summed by rank bin, a running sum over
 the bins of a source finds the bin where its target falls, and only that bin's
 rows are ranked.  What results is one cut for each source.
 
 Defined results: null text has size 0; null source is a source of its own and
-comes last; null ids share one draw; documents that tie in rank, id and size
-enter or stay out together; empty tables give no rows; other columns are ignored.
+comes last; rows without id are drawn by their text; documents that tie in rank, id and size
+enter or stay out together; texts of any length count whole; empty tables give no rows;
+other columns are ignored (kept by ``mixed``), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 WEIGHTS = (3, 1, 2)
-SHARE, MOST, BINS, BROADCAST_SOURCES = 1.5, 2, 1024, 50_000
+SHARE, MOST, BINS, BROADCAST_SOURCES = 1.5, 2, 1 << 16, 50_000
 
 
 def words(text: Column) -> Column:
@@ -52,8 +55,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    """Adds u, q (null where nothing is drawn) and bin; needs doc_id, whole and p."""
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(2.0**52)
+    """Adds u, q (null where nothing is drawn) and bin; needs doc_id, draw, whole and p."""
+    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("draw"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(2.0**52)
     df = df.withColumn("u", u)
     q = F.when((F.col("p") > 0) & (F.col("p") < 1), (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
     return df.withColumn("q", q).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int")).withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-1)))
@@ -88,17 +91,22 @@ def copies(docs: DataFrame, per_source: DataFrame) -> DataFrame:
     per = per_source.withColumnRenamed("source", "cut_source")
     df = _ranked(docs.join(_small(per), docs.source.eqNullSafe(per.cut_source)))
     more = F.col("q").isNotNull() & ((F.col("bin") < F.col("cut")) | ((F.col("bin") == F.col("cut")) & F.col("last").isNotNull() & (F.struct("q", "key", "size") <= F.col("last"))))
-    return df.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).drop("cut_source", "whole", "p", "cut", "last", "u", "q", "bin", "key")
+    return df.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).drop("cut_source", "whole", "p", "cut", "last", "u", "q", "bin", "key", "draw")
+
+
+def draw(text: Column) -> Column:
+    """What a row without doc_id is drawn by."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("draw")
 
 
 def mix(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
-    sizes = shared.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words(F.col(text)).alias("size")), "sizes")
+    sizes = shared.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words(F.col(text)).alias("size"), draw(F.col(text))), "sizes")
     return copies(sizes, cuts(sizes, **how)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """documents as the mix takes them: each row as often as it has copies."""
-    sizes = shared.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size")), "sizes")
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), words(F.col("text")).alias("size"))
+    sizes = shared.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), draw(F.col("text"))), "sizes")
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), words(F.col("text")).alias("size"), draw(F.col("text")))
     return copies(named, cuts(sizes, **how)).filter("copies > 0").select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")

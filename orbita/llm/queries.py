@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-TOKENIZERS = os.environ.get("ORBITA_TOKENIZERS", "/opt/tokenizers")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import fingerprint_report
+    from .simhash import fingerprint_report, with_neighbours
 
-    return fingerprint_report(table(spark, sf_dir, "documents"))
+    return with_neighbours(fingerprint_report(table(spark, sf_dir, "documents")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +61,13 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentence_pieces import encoded
 
-    return encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +94,7 @@ ORACLE_SQL = {
               FROM p LEFT JOIN rules ON ('.' || host) LIKE ('%.' || split_part(r, '/', 1)) AND starts_with(path, substr(r, strpos(r, '/'))))
         SELECT page_id, host, path, r AS "rule", coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
     "op7_source_mixing": r"""
-        WITH d AS (SELECT doc_id, source, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS size FROM documents),
+        WITH d AS (SELECT doc_id, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS draw, source, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS size FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
         w AS (SELECT *, CAST([3, 1, 2][k % 3 + 1] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS cap FROM r),
@@ -105,7 +102,7 @@ ORACLE_SQL = {
               FROM w WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * ((CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / (sum(w) OVER () - coalesce(sum(w) FILTER (capped) OVER (), 0))) END AS target FROM l),
         f AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole, coalesce(target / nullif(source_size, 0), 0) - coalesce(floor(target / nullif(source_size, 0)), 0) AS p FROM t),
-        u AS (SELECT d.*, f.source_size, f.target, whole, p, target - whole * f.source_size AS need, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+        u AS (SELECT d.*, f.source_size, f.target, whole, p, target - whole * f.source_size AS need, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), draw, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
               FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
         q AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u),
         c AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, coalesce(doc_id, -1), size) AS had, sum(size) OVER (PARTITION BY source, q, doc_id, size) AS own FROM q)

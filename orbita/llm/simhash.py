@@ -17,6 +17,7 @@ are ignored; empty tables give no rows.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 BITS, LANES = 64, 32
+RADIUS, LEAD = 3, 3
 ROWS_PER_BUCKET, MOST_BUCKETS = 512, 100_000
 LEAST_ID = -(1 << 63)
 
@@ -69,7 +71,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     count = max(1, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // count))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)).cast("int")))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.floor((F.col("id").cast("double") - F.lit(float(low or 0))) / F.lit(float(width))).cast("int")))
     heads = rows.groupBy("bucket").agg(F.max("id").alias("id"))
     first = F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy()))
     # the head of a range is a guest in the next higher one; the highest's in the lowest
@@ -95,27 +97,46 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), shown(F.col("fp")).alias("fingerprint"), shown(F.col("e")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("e")).alias("near_edited"), likeness(F.col("fp"), F.coalesce("x", "fp")).alias("near_next"))
 
 
-def permuted_blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks: within the radius, one block at least is equal."""
-    n = radius + 1
+def permuted_blocks(radius: int, lead: int = LEAD) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(shift, width) of radius + lead blocks, and the tables: the blocks that lead in each.
+
+    Within the radius at most ``radius`` blocks differ, so ``lead`` of them at least are equal.
+    """
+    n = radius + lead
     edges = [BITS * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], list(combinations(range(n), lead))
 
 
-def within_radius(fps: DataFrame, radius: int = 3) -> DataFrame:
+def within_radius(fps: DataFrame, radius: int = RADIUS, lead: int = LEAD) -> DataFrame:
     """(fp) -> all pairs (a, b, distance), a < b, of distinct fingerprints within a Hamming radius.
 
-    One table for each block: fingerprints rotated so that this block leads,
-    joined on it.  A pair is given by its first common block alone, so none comes
-    twice.  Equal fingerprints meet before: they are one row here.
+    One table for each choice of ``lead`` blocks: fingerprints permuted so that these
+    blocks lead, joined on them.  A pair is given by its first common table alone, so none
+    comes twice.  Equal fingerprints meet before: they are one row here.  The leading bits
+    (32 of 64 for a radius of 3 and 3 blocks of 6) are what keeps buckets small; a larger
+    ``lead`` makes more tables with smaller buckets.
     """
-    if not 0 <= radius < 16:
-        raise ValueError("radius is 0 to 15")
+    if not 0 <= radius < 16 or lead < 1:
+        raise ValueError("radius is 0 to 15, lead 1 or more")
     distinct = fps.select("fp").filter("fp is not null").distinct()
-    blocks = permuted_blocks(radius)
+    blocks, chosen = permuted_blocks(radius, lead)
     value = lambda fp, s, w: F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) if w < 64 else fp
-    tables = distinct.select("fp", F.posexplode(F.array(*(value(F.col("fp"), s, w) for s, w in blocks))).alias("block", "lead"))
-    a, b = tables.select(F.col("fp").alias("a"), "block", "lead"), tables.select(F.col("fp").alias("b"), "block", "lead")
-    earlier = reduce(lambda x, y: x & y, [(F.col("block") <= k) | (value(F.col("a"), s, w) != value(F.col("b"), s, w)) for k, (s, w) in enumerate(blocks)])
-    near = a.join(b, ["block", "lead"]).filter("a < b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int"))
-    return near.filter((F.col("distance") <= radius) & earlier).select("a", "b", "distance")
+    bits = lambda k: (((1 << blocks[k][1]) - 1) << blocks[k][0]) & ((1 << 64) - 1)
+    masks = [sum(bits(k) for k in c) for c in chosen]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    tables = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(signed(m)) for m in masks))).alias("number", "lead"))
+    a, b = tables.select(F.col("fp").alias("a"), "number", "lead"), tables.select(F.col("fp").alias("b"), "number", "lead")
+    near = a.join(b, ["number", "lead"]).filter("a < b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int")).filter(F.col("distance") <= radius)
+    equal = F.array(*(F.when(value(F.col("a"), s, w) == value(F.col("b"), s, w), k) for k, (s, w) in enumerate(blocks)))
+    first = F.slice(F.array_compact(equal), 1, lead)
+    return near.filter(first == F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in chosen)), F.col("number") + 1)).select("a", "b", "distance")
+
+
+def with_neighbours(report: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The report, and n_within: how many other fingerprints lie within the radius of a document's."""
+    report = shared.written(report, "fingerprints")
+    fp = lambda c: F.conv(c, 16, -10).cast("long")
+    pairs = within_radius(report.select(fp(F.col("fingerprint")).alias("fp")), radius)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_within"))
+    ends = ends.select(shown(F.col("fp")).alias("fingerprint"), "n_within")
+    return report.join(ends, "fingerprint", "left").select(*report.columns, F.coalesce("n_within", F.lit(0)).alias("n_within"))

@@ -10,7 +10,9 @@ import pytest
 
 from orbita.llm import components, exact_dedup, html_blocks, mixing, order_minhash, secret_scan, sentence_pieces, shared, simhash, token_files, toxicity, url_filter
 
-TOKENIZERS = "/opt/tokenizers"
+import public_tokenizers
+
+TOKENIZERS = public_tokenizers.path("byte_bpe_50k.json").rpartition("/")[0]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -49,6 +51,18 @@ def test_simhash(spark, rows):
     assert got[100]["fingerprint"] == got[102]["fingerprint"]
     assert got[103]["fingerprint"] == got[104]["fingerprint"] == "0" * 16
     assert simhash.fingerprint_report(frame(spark, [])).count() == 0
+    for text, fp in ((t or "", got[i]["fingerprint"]) for i, t, _ in some[:20]):
+        words = text.split()
+        pairs = list(zip(words, words[1:], strict=False)) or [(w, "") for w in words]
+        votes = [0] * 64
+        for r in spark.createDataFrame(pairs, "a string, b string").selectExpr("xxhash64(a, b) as h").collect() if pairs else []:
+            votes = [v + (1 if r["h"] >> k & 1 else -1) for k, v in enumerate(votes)]
+        assert fp == f"{sum(1 << k for k, v in enumerate(votes) if v > 0):016x}"
+    near = {r["doc_id"]: r["n_within"] for r in simhash.with_neighbours(simhash.fingerprint_report(frame(spark, some))).collect()}
+    every = {x["fingerprint"] for x in got.values()}
+    assert near == {i: sum(0 < bin(int(f, 16) ^ int(x["fingerprint"], 16)).count("1") <= 3 for f in every) for i, x in got.items()}
+    far = frame(spark, [(-(1 << 63), "a b", "a"), ((1 << 63) - 1, "c d", "a"), (0, "e f", "a")])
+    assert simhash.fingerprint_report(far).count() == 3
 
 
 @pytest.mark.parametrize("radius", [0, 3, 6])
@@ -141,6 +155,23 @@ def test_html_scripts_and_styles_are_no_markup():
     assert [b.text for b in html_blocks.blocks("<p>Before</p><script>a<b")] == ["Before"]
 
 
+def test_html_in_bounds(spark):
+    article = "<article>" + "".join(f"<p>{' '.join(WORDS[k:k + 9])} and so on.</p>" for k in range(6)) + "</article>"
+    pages = [f"<body><nav><li>Home<li>News</nav>{article}<footer><p>me</p></footer></body>"] * 2
+    odd = ["<a " * 20000, '<a "' * 20001 + ">", "<b>x" * 20000 + "<a", "<table>" + "<tr><td>c d" * 20000 + "</table>", "5 < 6 and a<b", "<div>" * 3000 + "deep text", None, ""]
+    rows = [(i, "u", p, "x") for i, p in enumerate(pages + odd)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, score string")
+    got = {x["page_id"]: x for x in html_blocks.extracted(table).collect()}
+    assert len(got) == len(rows) and got[0]["text"] == got[1]["text"] == "\n".join(f"{' '.join(WORDS[k:k + 9])} and so on." for k in range(6))
+    assert all(x["n_chars"] == len(x["text"]) for x in got.values()) and got[8]["text"] == got[9]["text"] == ""
+    assert [b.text for b in html_blocks.blocks(odd[4])] == ["5 < 6 and a<b"]
+    assert len(html_blocks.blocks(odd[3])) == 20000 and max(len(b.path) for b in html_blocks.blocks(odd[5])) == html_blocks.DEPTH
+    assert html_blocks.extracted(table.limit(0)).count() == 0
+    # no page marks its article: blocks that look like text teach the labeller
+    plain = [p.replace("article", "section") for p in pages] * 10
+    assert html_blocks.main_texts(plain[:1], html_blocks.train(plain))[0].count("and so on.") >= 5
+
+
 def test_lstm_gradient():
     r = np.random.default_rng(0)
     net = html_blocks.Lstm(3, 2, 1)
@@ -319,6 +350,8 @@ def test_mixing(spark, rows):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == sum(x["taken"] // x["size"] for x in got if x["size"]) + out.filter("not text rlike '[^\\\\s]' or text is null").count()
     assert mixing.mix(frame(spark, [])).count() == 0
+    nameless = mixing.mix(frame(spark, [(None, f"w{i} x", "n") for i in range(400)] + [(i, "y z", "m") for i in range(100)])).filter("doc_id is null").collect()
+    assert abs(sum(x["taken"] for x in nameless) - nameless[0]["target"]) <= 2
 
 
 def test_secrets(spark):
@@ -339,6 +372,18 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_random_strings_are_found_and_words_are_not(spark):
+    r = random.Random(21)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    secrets = ["".join(r.choice(alphabets[i % 3]) for _ in range((24, 28, 31)[i % 3] if i % 3 == 0 else r.randrange(24, 80))) for i in range(300)]
+    words = ["-".join(r.choice(WORDS) for _ in range(r.randrange(6, 12))) + str(i % 10) for i in range(300)]
+    texts = [f"see {x} there" for x in secrets + words]
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.scan(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    candidates = [i for i in range(300) if re.search("[0-9]", secrets[i]) and re.search("[A-Za-z]", secrets[i])]
+    caught, wrong = sum("random" in got[i] for i in candidates), sum("random" in got[300 + i] for i in range(300))
+    assert caught >= 0.9 * len(candidates) and wrong <= 0.1 * caught, (caught, len(candidates), wrong)
+
+
 def test_token_files(spark, rows):
     from tokenizers import Tokenizer
 
@@ -366,6 +411,13 @@ def test_sentence_pieces(spark, rows):
     for i, t in texts.items():
         assert got[i]["ids"] == lib.encode(t) and got[i]["decoded_same"] and got[i]["n_pieces"] == len(got[i]["ids"])
     assert sentence_pieces.encoded(frame(spark, []), f"{TOKENIZERS}/piece_bpe_32k.model").count() == 0
+    model, r = sentence_pieces.pieces(open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb").read()), random.Random(2)
+    assert model.chained  # so ids come from the Viterbi over merge histories
+    kinds = ["abcdefghijklmnopqrstuvwxyz ", "aA bB.,;", "éàüñ çß ", "漢字かな交じり文 ", "0123456789 .,-", "ab", " \n\t!?", "🙂é a", "()[]{}<>=;\"' x", "лорем ипсум "]
+    fuzz = ["".join(r.choice(r.choice(kinds) if k % 2 else kinds[k // 2 % len(kinds)]) for _ in range(r.randrange(1, 60))) for k in range(3000)] + ["".join(r.choice("abcde漢") for _ in range(5000))]
+    for t, ids in zip(fuzz, model.encode(fuzz), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t), t
+        assert model.decode(ids) == lib.decode(lib.encode(t))
 
 
 def test_viterbi():
