@@ -13,7 +13,7 @@ at all, so no method on five-word runs could find them.
 No bucket is gathered or expanded into pairs.  Equal texts are one node before
 that.  First each bucket's members are compared with its smallest member, and
 components are formed; a bucket whose members all have one label is done.  In the
-others, members whose label isn't that of the smallest member are compared with
+others, members whose label isn't the commonest there are compared with
 all members of other labels and fitting length, so that of the links between
 candidates none is lost; the triangle inequality over the distances to the
 smallest member, which are known by then, and couples of words as bags spare most
@@ -54,7 +54,8 @@ from .components import components, extended
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 3, 48, 0.9
 SHORT, DELETED = 30, 14  # words of texts whose links are all found; of those found by deleting words
-CHUNK, CHUNK_WORDS, MOST_BINS, LEVELS = 512, 1 << 16, 4096, 4  # rows and words of a side of a block at most; of bags
+CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 512, 1 << 18, 3, 4096, 4  # rows and words of a side of a block at most; of classes of length; of bags
+MEMBER = ("node", "n_words", "label", "low", "high", "foreign")
 SAMPLED, OFTEN = 50_000, 64  # texts sampled for keys that very many share; how often such a key stands in the sample
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x5851F42D4C957F2D)
@@ -325,7 +326,7 @@ def alike(texts: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: flo
 def fitting(rows: pa.Table, similarity: float, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (left, right) of one block whose texts may be near, likely ones first: by length, label, distance to the pivot and words as bags."""
     node, n, label, low, high, left, foreign = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "n_words", "label", "low", "high", "left", "foreign"))
-    one, two = np.flatnonzero(left), np.flatnonzero(~left)
+    one, two = np.flatnonzero(left), np.flatnonzero(rows["right"].to_numpy(zero_copy_only=False))
     across = lambda x: (x[one][:, None], x[two][None, :])
     longest = np.maximum(*across(n))
     most = (1 - similarity) * longest + 1e-6
@@ -348,11 +349,12 @@ def fitting(rows: pa.Table, similarity: float, texts: list[np.ndarray]) -> tuple
 def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY, keys: int | None = None) -> DataFrame:
     """Members of mixed buckets -> (a, b) links that join different labels.
 
-    Lengths fall into classes, each ``1 / similarity`` times the one below, so a link's
-    ends are in one class or in neighbours.  A member of foreign label (not that of
-    the bucket's smallest member) meets the members of its class and both
-    neighbours.  Both sides are cut into chunks by hash, of about ``CHUNK_WORDS`` words,
-    and each pair of chunks is one block, so no task holds a bucket, and its rows grow
+    A member of foreign label (not the bucket's commonest) meets the members of other
+    labels.  A bucket of up to ``CHUNK`` members and ``CHUNK_WORDS`` words is one block.  In
+    larger ones lengths fall into classes, each ``similarity ** -STEPS`` times the one below,
+    and a foreign member meets those of its class, with those of both neighbours that are
+    near enough to its edge to be of fitting length.  Both sides are then cut into chunks by
+    hash and each pair of chunks is one block, so no task holds a bucket, and its rows grow
     with foreign members times members, not with the bucket's square.
 
     Pairs that no cheap bound rules out are aligned, the likely ones first, unless a
@@ -360,21 +362,28 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY, k
     asks in so many of its buckets only, those whose smallest member is the likest.
     """
     step = float(-np.log(min(max(similarity, 0.01), 0.99)))
-    chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step})))"
-    sized = named.withColumn("class", F.floor(F.log(F.greatest("n_words", F.lit(1)).cast("double")) / step).cast("int"))
-    left = sized.filter("foreign")
+    chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step * STEPS})))"
+    asks = F.col("foreign")
     if keys:
-        left = left.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("low", "key"))).filter(F.col("nth") <= keys).drop("nth")
-    left = left.withColumn("left", F.lit(True))
-    right = sized.select(*[c for c in sized.columns if c != "class"], F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.lit(False).alias("left"))
+        asks = asks & (F.row_number().over(Window.partitionBy("node", "foreign").orderBy("low", "key")) <= keys)
+    named = named.withColumn("asks", asks)
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("asks").alias("any")).filter("any")
+    sized = named.join(sizes.select("key", F.expr(f"n <= {CHUNK} and words <= {CHUNK_WORDS}").alias("small")).hint("merge"), "key")
+    zero = F.lit(0)
+    one = sized.filter("small").select("key", F.lit(-1).alias("class"), zero.alias("i"), zero.alias("j"), F.col("asks").alias("left"), F.lit(True).alias("right"), *MEMBER)
+    large = sized.filter("not small").withColumn("at", F.ln(F.greatest("n_words", F.lit(1)).cast("double")) / step)
+    cell = lambda x: F.floor(x / STEPS).cast("int")
+    left = large.filter("asks").select("key", cell(F.col("at")).alias("class"), F.lit(True).alias("left"), F.lit(False).alias("right"), *MEMBER)
+    # a little more than one step to each side: lengths and their logarithms are rounded
+    right = large.select("key", F.explode(F.array_distinct(F.array(cell(F.col("at") - 1.01), cell(F.col("at")), cell(F.col("at") + 1.01)))).alias("class"), F.lit(False).alias("left"), F.lit(True).alias("right"), *MEMBER)
     counts = left.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).select("key", "class", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("lefts"))
     rights = right.join(counts.select("key", "class").hint("merge"), ["key", "class"], "left_semi")
     sides = rights.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).select("key", "class", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("rights"))
-    every = left.unionByName(rights).join(counts.join(sides.hint("merge"), ["key", "class"]).hint("merge"), ["key", "class"])
-    every = every.withColumn("chunk", F.expr("cast(pmod(xxhash64(node), if(left, lefts, rights)) as int)"))
-    every = every.select("key", "class", "node", "n_words", "label", "low", "high", "foreign", "left", "chunk", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("rights")).otherwise(F.col("lefts")) - 1)).alias("other"))
-    every = every.select("*", F.when(F.col("left"), F.col("chunk")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("chunk")).alias("j")).drop("chunk", "other")
-    every = every.join(words.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    dealt = left.unionByName(rights).join(counts.join(sides.hint("merge"), ["key", "class"]).hint("merge"), ["key", "class"])
+    dealt = dealt.withColumn("chunk", F.expr("cast(pmod(xxhash64(node), if(left, lefts, rights)) as int)"))
+    dealt = dealt.select("*", F.explode(F.sequence(zero, F.when(F.col("left"), F.col("rights")).otherwise(F.col("lefts")) - 1)).alias("other"))
+    dealt = dealt.select("key", "class", F.when(F.col("left"), F.col("chunk")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("chunk")).alias("j"), "left", "right", *MEMBER)
+    every = one.unionByName(dealt).join(words.withColumnRenamed("doc_id", "node").hint("merge"), "node")
 
     def block(table: pa.Table) -> pa.Table:
         texts = _lists(table["words"].combine_chunks())
@@ -430,7 +439,8 @@ def _apart(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame
     triangle inequality most of them can't be near; only the others are aligned.
     """
     named = members.join(labels.hint("merge"), "node", "left").select("key", "least", "node", "n_words", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min_by("label", "node").alias("main")).filter("x != y").select("key", "main")
+    by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("labels > 1").select("key", "main")
     named = named.join(mixed.hint("merge"), "key").join(known.hint("merge"), ["least", "node"], "left")
     own = F.col("node") == F.col("least")
     return named.select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), F.when(own, 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(own, 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high"))
