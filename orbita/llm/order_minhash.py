@@ -15,9 +15,8 @@ that.  First each bucket's members are compared with its smallest member, and
 components are formed; a bucket whose members all have one label is done.  In the
 others, members whose label isn't the commonest there are compared with
 all members of other labels and fitting length, so that of the links between
-candidates none is lost; the triangle inequality over the distances to the
-smallest member, which are known by then, and couples of words as bags spare most
-alignments.  Joins on pairs and words are dealt at every size; keys that very
+candidates none is lost; words, and couples of adjacent words, as bags bound the
+distance from below and spare most alignments.  Joins on pairs and words are dealt at every size; keys that very
 many texts share are found in a sample and summed before they are dealt, which
 changes the plan's work, never its result.
 
@@ -54,8 +53,8 @@ from .components import components, extended
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 3, 48, 0.9
 SHORT, DELETED = 30, 14  # words of texts whose links are all found; of those found by deleting words
-CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 512, 1 << 18, 3, 4096, 4  # rows and words of a side of a block at most; of classes of length; of bags
-MEMBER = ("node", "n_words", "label", "low", "high", "foreign")
+CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 1024, 1 << 19, 3, 4096, 4  # rows and words of a side of a block at most; of classes of length; of bags
+MEMBER = ("node", "n_words", "label", "foreign")
 SAMPLED, OFTEN = 50_000, 64  # texts sampled for keys that very many share; how often such a key stands in the sample
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x5851F42D4C957F2D)
@@ -306,8 +305,8 @@ def _lists(column) -> list[np.ndarray]:
 
 def _levels(texts: list[np.ndarray], bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Words as bags: one column for each bin and count up to ``LEVELS``, so that a product of rows sums their common counts; and what lies above."""
-    bags = np.array([np.bincount(w.view(np.uint32) & np.uint32(bins - 1), minlength=bins) for w in texts]).reshape(len(texts), bins)
-    return np.concatenate([bags > k for k in range(LEVELS)], 1).astype(np.float32), np.maximum(bags - LEVELS, 0).sum(1)
+    bags = np.array([np.bincount(w.view(np.uint32) & np.uint32(bins - 1), minlength=bins).astype(np.int32) for w in texts]).reshape(len(texts), bins)
+    return np.concatenate([(bags > k).astype(np.float32) for k in range(LEVELS)], 1), np.maximum(bags - LEVELS, 0).sum(1).astype(np.float32)
 
 
 def alike(texts: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -324,15 +323,16 @@ def alike(texts: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: flo
 
 
 def fitting(rows: pa.Table, similarity: float, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (left, right) of one block whose texts may be near, likely ones first: by length, label, distance to the pivot and words as bags."""
-    node, n, label, low, high, left, foreign = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "n_words", "label", "low", "high", "left", "foreign"))
+    """Index pairs (left, right) of one block whose texts may be near, likely ones first: by length, label and words as bags."""
+    node, n, label, left, foreign = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "n_words", "label", "left", "foreign"))
     one, two = np.flatnonzero(left), np.flatnonzero(rows["right"].to_numpy(zero_copy_only=False))
+    n = n.astype(np.float32)
     across = lambda x: (x[one][:, None], x[two][None, :])
     longest = np.maximum(*across(n))
-    most = (1 - similarity) * longest + 1e-6
-    (la, lb), (na, nb), (wa, wb), (ha, hb) = across(label), across(node), across(low), across(high)
+    most = longest * np.float32(1 - similarity + 1e-5) + np.float32(0.01)  # rounding only lets more pairs through
+    (la, lb), (na, nb) = across(label), across(node)
     # of two members of foreign labels the smaller asks
-    ok = (la != lb) & (~foreign[two][None, :] | (nb > na)) & (longest - np.minimum(*across(n)) <= most) & (wa - hb <= most) & (wb - ha <= most)
+    ok = (la != lb) & (~foreign[two][None, :] | (nb > na)) & (longest - np.minimum(*across(n)) <= most)
     some, others = ok.any(1), ok.any(0)
     one, two, ok, longest, most = one[some], two[others], ok[some][:, others], longest[some][:, others], most[some][:, others]
     if not len(one):
@@ -359,13 +359,13 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY, k
 
     Pairs that no cheap bound rules out are aligned, the likely ones first, unless a
     link found before in the block has joined their labels.  With ``keys`` a foreign member
-    asks in so many of its buckets only, those whose smallest member is the likest.
+    asks in so many of its buckets only, those with most members of one label.
     """
     step = float(-np.log(min(max(similarity, 0.01), 0.99)))
     chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step * STEPS})))"
     asks = F.col("foreign")
     if keys:
-        asks = asks & (F.row_number().over(Window.partitionBy("node", "foreign").orderBy("low", "key")) <= keys)
+        asks = asks & (F.row_number().over(Window.partitionBy("node", "foreign").orderBy(F.col("others").desc(), "key")) <= keys)
     named = named.withColumn("asks", asks)
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("asks").alias("any")).filter("any")
     sized = named.join(sizes.select("key", F.expr(f"n <= {CHUNK} and words <= {CHUNK_WORDS}").alias("small")).hint("merge"), "key")
@@ -432,18 +432,12 @@ def shared_keys(texts: DataFrame) -> DataFrame:
     return cold.unionByName(often).filter("members > 1").drop("members")
 
 
-def _apart(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """Members of buckets in which labels differ: key, node, n_words, label, foreign, low, high.
-
-    Their distances to the bucket's smallest member are known within bounds, so by the
-    triangle inequality most of them can't be near; only the others are aligned.
-    """
-    named = members.join(labels.hint("merge"), "node", "left").select("key", "least", "node", "n_words", F.coalesce("label", "node").alias("label"))
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets in which labels differ: key, node, n_words, label, foreign, others (how many have the commonest label)."""
+    named = members.join(labels.hint("merge"), "node", "left").select("key", "node", "n_words", F.coalesce("label", "node").alias("label"))
     by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", -F.col("label"))).alias("main")).filter("labels > 1").select("key", "main")
-    named = named.join(mixed.hint("merge"), "key").join(known.hint("merge"), ["least", "node"], "left")
-    own = F.col("node") == F.col("least")
-    return named.select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), F.when(own, 0).otherwise(F.coalesce("low", F.lit(0))).alias("low"), F.when(own, 0).otherwise(F.coalesce("high", F.lit(1 << 40))).alias("high"))
+    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", -F.col("label"))).alias("most")).filter("labels > 1").select("key", F.col("most.n").alias("others"), (-F.col("most.col2")).alias("main"))
+    return named.join(mixed.hint("merge"), "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), "others")
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -458,10 +452,10 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     tested = shared.written(verified(stars, words, similarity), "links")
     edges = tested.filter("near").select("a", "b").distinct()
     labels = components(edges)
-    known = tested.groupBy("a", "b").agg(F.max("low").alias("low"), F.min("high").alias("high")).toDF("least", "node", "low", "high")
-    # first each node asks in one bucket, which joins most of what belongs together; then what is still apart in all
+    # what is left: members of one bucket with different labels.
+    # First each node asks in one bucket, which joins most of what belongs together; then what is still apart in all
     for keys in (1, None):
-        found = shared.written(across(shared.written(_apart(members, labels, known), "mixed"), words, similarity, keys), "links").distinct()
+        found = shared.written(across(shared.written(_apart(members, labels), "mixed"), words, similarity, keys), "links").distinct()
         if not found.isEmpty():
             labels = extended(labels, found)
     return rows.join(texts.select("h1", "h2", "node").hint("merge"), ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), labels
