@@ -261,7 +261,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) pairs -> also near (the alignment is good enough), low and high (bounds of the edit distance).
+    """(a, b) pairs -> also near: the alignment is good enough.
 
     The words of b travel to a, whose own come first there, so a task holds one a
     and a few hundred b.  An a of very many pairs is dealt in shares, each with its
@@ -292,9 +292,9 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
                         ends += [(x, y)] * len(held)
                         sides += [(h, w) for h in held]
                 if sides:
-                    yield pa.record_batch([*(pa.array(e, pa.int64()) for e in zip(*ends, strict=True)), *map(pa.array, bounds(sides, similarity))], names=["a", "b", "near", "low", "high"])
+                    yield pa.record_batch([*(pa.array(e, pa.int64()) for e in zip(*ends, strict=True)), pa.array(similar(sides, similarity))], names=["a", "b", "near"])
 
-    return dealt.select("a", "b", "words").mapInArrow(run, "a long, b long, near boolean, low long, high long")
+    return dealt.select("a", "b", "words").mapInArrow(run, "a long, b long, near boolean")
 
 
 def _lists(column) -> list[np.ndarray]:
@@ -436,7 +436,7 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets in which labels differ: key, node, n_words, label, foreign, others (how many have the commonest label)."""
     named = members.join(labels.hint("merge"), "node", "left").select("key", "node", "n_words", F.coalesce("label", "node").alias("label"))
     by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", -F.col("label"))).alias("most")).filter("labels > 1").select("key", F.col("most.n").alias("others"), (-F.col("most.col2")).alias("main"))
+    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", F.bitwise_not("label").alias("rest"))).alias("most")).filter("labels > 1").select("key", F.col("most.n").alias("others"), F.bitwise_not("most.rest").alias("main"))
     return named.join(mixed.hint("merge"), "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), "others")
 
 

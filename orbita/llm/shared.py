@@ -51,17 +51,25 @@ def _remote(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put(uri: str, array: np.ndarray) -> None:
-    """Write an array's bytes under a name no other task uses."""
+def clean(spark: SparkSession) -> None:
+    """Delete what was written there; call it once no result of this package is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/orbita")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def put(uri: str, data: np.ndarray | list[bytes]) -> None:
+    """Write an array's bytes, or strings of bytes one after the other, under a name no other task uses."""
+    parts = data if isinstance(data, list) else [np.ascontiguousarray(data).view(np.uint8).data]
     if path := local(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as f:
-            array.tofile(f)
+            f.writelines(parts)
         return
     store, path = _remote(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     with store.open_output_stream(path) as f:
-        f.write(np.ascontiguousarray(array).view(np.uint8).data)
+        for part in parts:
+            f.write(part)
 
 
 def mapped(uri: str, dtype) -> np.ndarray:

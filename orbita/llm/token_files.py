@@ -13,7 +13,9 @@ library, and a bounded dictionary keeps their ids.
 
 Defined results: null text is empty and gives the end id alone; rows without
 doc_id are left out of files that are addressed by it -- they come first, as
-doc_id null; repeated ids follow each other in order of their texts.
+doc_id null; repeated ids follow each other in order of their texts; texts of any length are
+encoded whole, a task holds the ids of its part; empty tables give no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,7 +132,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
                 chunks.append(b"".join(codes))
                 ids.append(some.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
         if ids:
-            shared.put(f"{name}.ids", np.frombuffer(b"".join(chunks), f"<u{enc.width}"))
+            shared.put(f"{name}.ids", chunks)
             shared.put(f"{name}.off", np.concatenate(offsets).astype("<i8"))
             shared.put(f"{name}.doc", np.concatenate(ids).astype("<i8"))
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([enc.width], pa.int32()), pa.array([sum(map(len, ids))]), pa.array([n])], names=["part", "name", "width", "n_docs", "n_ids"])

@@ -11,7 +11,9 @@ that no rule fits is allowed.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 is allowed; a rule given twice counts once, and blocks if any says so; an empty
-rule set allows everything; repeated pages are judged each.
+rule set allows everything; repeated pages are judged each, equal urls alike; urls of any
+length are judged whole; empty tables give no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -460,3 +460,16 @@ def test_pipeline(spark, tmp_path):
     assert not seen[1] & {500, 501, 502} - {500 + i for i in range(10) if (i + 1) % 5 == 0}
     assert 600 not in seen[2] and seen[3] <= seen[2] and seen[4] == seen[3]
     assert sorted(x["doc_id"] for x in c.run(spark, str(tmp_path)).collect()) == sorted(x["doc_id"] for x in left.collect())
+
+
+def test_columns_of_clashing_names_and_repeated_rows(spark):
+    names = ("row", "digest", "norm", "id", "salt", "node", "size", "score", "html", "draw", "words", "key", "label", "_x")
+    rows = [(1, "one two three", "en", "a"), (1, "one two three", "en", "a"), (2, None, None, None), (None, "one  two three", "en", "b")]
+    docs = spark.createDataFrame([(*r, 0, *("y" for _ in names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    marks = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for run in (simhash.fingerprint_report, exact_dedup.exact_dedup, order_minhash.near_classes, lambda d: toxicity.scored(d, marks), mixing.mix, secret_scan.scan, lambda d: token_files.token_files(d, f"{TOKENIZERS}/byte_bpe_50k.json"), lambda d: sentence_pieces.encoded(d, f"{TOKENIZERS}/piece_bpe_32k.model")):
+        assert run(docs).count() == 4
+    assert exact_dedup.deduplicated(docs).columns == order_minhash.deduplicated(docs).columns == mixing.mixed(docs).columns == toxicity.without_toxic(docs, marks).columns == docs.columns
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>t</p>", *("y" for _ in names if _ != "html"))] * 2, "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names if n != "html"))
+    assert url_filter.filtered(pages).count() == html_blocks.extracted(pages).count() == 2
+    assert url_filter.filtered(pages.limit(0)).count() == 0
