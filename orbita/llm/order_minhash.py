@@ -53,7 +53,7 @@ from .components import components, extended
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 3, 48, 0.9
 SHORT, DELETED = 30, 14  # words of texts whose links are all found; of those found by deleting words
-CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 1024, 1 << 19, 3, 4096, 4  # rows and words of a side of a block at most; of classes of length; of bags
+CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 2048, 1 << 20, 3, 4096, 4  # rows and words of a side of a block at most; of classes of length; of bags
 MEMBER = ("node", "n_words", "label", "foreign")
 SAMPLED, OFTEN = 50_000, 64  # texts sampled for keys that very many share; how often such a key stands in the sample
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
