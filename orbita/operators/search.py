@@ -23,8 +23,13 @@ def head_map(q_heads: int, kv_heads: int, explicit: list[int] | None = None) ->
     return [h // (q_heads // kv_heads) for h in range(q_heads)]
 
 
-def queries(df: DataFrame, threshold=None, scaling=None, mapping: list[int] | None = None) -> DataFrame:
-    """query_id, q_head, q (and threshold, scaling, kv_head) -> the full schema of a query."""
+def queries(df: DataFrame, threshold=None, scaling=None, mapping: list[int] | None = None, size: int | None = None) -> DataFrame:
+    """query_id, q_head, q (and threshold, scaling, kv_head) -> the full schema of a query.
+
+    With ``size``, a query that isn't a vector of so many numbers is an error when it is read.
+    """
+    if size is not None:
+        df = df.withColumn("q", vec.checked("q", size))
     if mapping is not None:
         df = df.withColumn("kv_head", F.element_at(F.array(*map(F.lit, mapping)), F.col("q_head") + 1))
     elif "kv_head" not in df.columns:

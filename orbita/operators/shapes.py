@@ -133,3 +133,8 @@ def intersecting(kind: str, shapes: DataFrame, q: DataFrame) -> DataFrame:
     per = both.groupBy("query_id", "cluster_id").agg(F.max((bound >= F.col("threshold")).cast("int")).alias("hit"))
     got = per.groupBy("query_id").agg(F.count(F.lit(1)).alias("clusters"), F.sum("hit").alias("hit"))
     return q.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce(100.0 * F.col("hit") / F.col("clusters"), F.lit(0.0)).alias("pct"))
+
+
+def summary(pct: DataFrame) -> DataFrame:
+    """(query_id, pct) of some queries -> how many, and mean, deviation, least and largest pct."""
+    return pct.agg(F.count(F.lit(1)).alias("queries"), F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"), F.min("pct").alias("low"), F.max("pct").alias("high"))

@@ -330,6 +330,12 @@ def random_box_pct(spark, sf):
     return _pct(spark, sf, "box", shapes.random_clusters(_flat_keys(spark, sf)))
 
 
+@query(f"WITH {_FLAT}, {_BOX}, p AS ({_PCT}) SELECT count(*) AS queries, round(avg(pct), 6) AS mean, round(stddev_pop(pct), 6) AS std, min(pct) AS low, max(pct) AS high FROM p")
+def random_box_summary(spark, sf):
+    members, centers = shapes.random_clusters(_flat_keys(spark, sf))
+    return _rounded(shapes.summary(_pct(spark, sf, "box", (members, centers))), "mean", "std")
+
+
 @query(f"WITH {_FLAT}, {_HULL} {_PCT}")
 def random_hull_pct(spark, sf):
     return _pct(spark, sf, "hull", shapes.random_clusters(_flat_keys(spark, sf)))
@@ -465,7 +471,7 @@ def cache_flush_search(spark, sf):
     return _shown(cache.search(_head_queries(spark, sf), 0))
 
 
-@query("SELECT conv_id, turn, CASE WHEN trim(text) != '' THEN trim(text) ELSE trim(role) END AS prompt FROM conversations WHERE trim(coalesce(text, '')) != '' OR trim(coalesce(role, '')) != ''")
+@query(f"SELECT conv_id, turn, CASE WHEN trim(text, '{tables.SPACES}') != '' THEN trim(text, '{tables.SPACES}') ELSE trim(role, '{tables.SPACES}') END AS prompt FROM conversations WHERE trim(coalesce(text, ''), '{tables.SPACES}') != '' OR trim(coalesce(role, ''), '{tables.SPACES}') != ''")
 def prompt_pick(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
     return rows.select("conv_id", "turn", tables.prompt(F.col("text"), F.col("role")).alias("prompt")).filter("prompt is not null")

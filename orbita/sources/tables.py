@@ -39,9 +39,17 @@ def about(spark: SparkSession, path: str) -> dict[str, Any]:
     return json.loads(spark.read.text(f"{path}.json").first()[0])
 
 
+#: Every character that Python's str.strip takes for white space.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACES))
+
+
 def prompt(*columns: Column) -> Column:
-    """The first string that isn't blank, trimmed."""
-    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in columns))
+    """The first string that isn't blank, stripped."""
+    return F.coalesce(*(F.when(stripped(c) != "", stripped(c)) for c in columns))
 
 
 def json_prompts(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
@@ -51,7 +59,7 @@ def json_prompts(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 
 def text_prompts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("prompt")).filter("prompt != ''")
+    return spark.read.text(path).select(stripped(F.col("value")).alias("prompt")).filter("prompt != ''")
 
 
 def append_csv(df: DataFrame, path: str) -> None:

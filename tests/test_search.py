@@ -205,3 +205,27 @@ def test_large_heads_are_assigned_to_the_nearest_center(spark):
         x, c = np.array([r["key"] for r in some]), np.array([v for (h, _), v in center.items() if h == head])
         own = np.array([center[head, r["parent_id"]] for r in some])
         assert np.allclose(((x - own) ** 2).sum(1), ((x[:, None] - c[None]) ** 2).sum(2).min(1))
+
+
+def test_nearest_agrees_with_the_join(spark):
+    """Ties, near ties and heads without centers, in Arrow batches and by join."""
+    r = np.random.default_rng(3)
+    points = [(h, i, [float(x) for x in r.integers(-2, 3, 4)]) for h in range(3) for i in range(60)] + [(0, 100, [1e6, 1e6, 1e6, 1e6])]
+    centers = [(h, n, [float(x) for x in r.integers(-2, 3, 4)]) for h in (0, 2) for n in range(9)] + [(0, 50, [1e6, 1e6, 1e6, 1e6 + 1e-4]), (0, 51, [1e6, 1e6, 1e6, 1e6])]
+    p = spark.createDataFrame(points, "kv_head int, key_id long, key array<double>")
+    c = spark.createDataFrame(centers, "kv_head int, node_id long, center array<double>")
+    join, arrow = (sorted(tuple(x) for x in clustering.nearest_assign(p, c, ["kv_head"], arrow=a).select("kv_head", "key_id", "node_id", "dist2").collect()) for a in (False, True))
+    assert [x[:3] for x in join] == [x[:3] for x in arrow] and len(join) == 121
+    assert np.allclose([x[3] for x in join], [x[3] for x in arrow])
+
+
+def test_queries_of_another_size_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 0, [0.5, 1.0])], "query_id long, q_head int, q array<double>")
+    assert search.queries(rows, 0.1, size=2).count() == 1
+    with pytest.raises(Exception, match="vector of 3 numbers"):
+        search.queries(rows, 0.1, size=3).collect()
+
+
+def test_prompts_lose_all_white_space(spark):
+    rows = spark.createDataFrame([("\t\u3000\n", " \x0bquestion\u00a0\x1f", "other")], "a string, b string, c string")
+    assert rows.select(tables.prompt(F.col("a"), F.col("b"), F.col("c")).alias("p")).first()["p"] == "question"
