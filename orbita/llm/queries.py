@@ -73,16 +73,37 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_exact_dedup, op3_url_filters, op4_html_extraction, op5_minhash_near_dedup, op6_toxicity, op7_source_mixing, op8_secret_scans, op9_token_files, op10_sentence_pieces, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_exact_dedup, op3_url_filters, op4_html_extraction, op5_minhash_near_dedup, op6_toxicity, op7_source_mixing, op8_secret_scans, op9_token_files, op10_sentence_pieces, op11_embedding_whitening, op12_decontamination, op13_spelling_variants, pipeline)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
     "op2_exact_dedup": rf"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g') AS t FROM documents)
@@ -111,4 +132,27 @@ ORACLE_SQL = {
         c AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, coalesce(doc_id, -1), size) AS had, sum(size) OVER (PARTITION BY source, q, doc_id, size) AS own FROM q)
         SELECT doc_id, size, source_size, target,
                CAST(size * (whole + CASE WHEN q IS NOT NULL AND (had <= need OR (had - own < need AND had - need <= need - (had - own))) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
+    "op12_decontamination": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, list_slice(w, i, i + least(len(w), 10) - 1) AS win FROM b, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT size FROM win),
+        p AS (SELECT r, i, size, list_slice(w, i, i + size - 1) AS win FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+        hit AS (SELECT r, i, size, item_id FROM p JOIN win USING (size, win)),
+        words AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM hit, range(10) t(k) WHERE k < size GROUP BY r),
+        items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS c FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+        o AS (SELECT run, c, list_transform(range(1, octet_length(encode(doc_id || ':' || run)) + 1), lambda i: CAST('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i - 1, 2) AS BIGINT)) AS bytes FROM r),
+        h AS (SELECT run, c, xor(4294967295, list_reduce(bytes, lambda a, x: list_reduce(range(8), lambda s, k: xor(s >> 1, (s & 1) * 3988292384), xor(a, x)), 4294967295)) AS h FROM o),
+        v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+        d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        m AS (SELECT DISTINCT d.word AS a, d.n AS an, v.word AS b, v.n AS bn FROM d JOIN v ON d.less = v.word),
+        near AS (SELECT a AS word, an AS n, b AS other, bn AS other_n FROM m UNION ALL SELECT b, bn, a, an FROM m UNION ALL SELECT x.word, x.n, y.word, y.n FROM d x JOIN d y ON x.less = y.less AND x.i = y.i WHERE x.word <> y.word),
+        best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+        chain(word, form, last) AS (SELECT word, form, word FROM f UNION ALL SELECT chain.word, f.form, f.word FROM chain JOIN f ON chain.form = f.word)
+        SELECT f.word, f.form, chain.last AS root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.form IS NULL""",
 }
