@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..plans import blocks, tables
+from ..plans import blocks, pruned, ranks, tables
+
+#: Centers, in all groups together, that every point of a group meets.
+DIRECT_CENTERS = 1 << 13
 
 
 def seed_order(seed: int, key: str = "key_id"):
@@ -16,14 +19,19 @@ def seed_order(seed: int, key: str = "key_id"):
 
 def seeds(keys: DataFrame, count, seed: int, by: list[str]) -> DataFrame:
     """(by, node_id, center): the first ``count`` keys of each group in seed order; count is a column over n."""
-    n = Window.partitionBy(*by)
-    ranked = keys.withColumn("n", F.count(F.lit(1)).over(n)).withColumn("k", F.row_number().over(n.orderBy(*seed_order(seed))))
-    return ranked.filter(F.col("k") <= count(F.col("n"))).select(*by, F.col("key_id").alias("node_id"), F.transform("key", lambda x: x.cast("double")).alias("center"))
+    sizes = tables.small(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    ranked = ranks.numbered(keys.select(*by, "key_id", "key"), by, seed_order(seed), "k")
+    return ranked.join(sizes, by).filter(F.col("k") <= count(F.col("n"))).select(*by, F.col("key_id").alias("node_id"), F.transform("key", lambda x: x.cast("double")).alias("center"))
 
 
 def nearest_assign(points: DataFrame, centers: DataFrame, by: list[str], arrow: bool = False) -> DataFrame:
-    """by, key_id, node_id, dist2: each point's nearest center, ties to the smaller id."""
-    if arrow and centers.count() <= tables.BROADCAST_ROWS:
+    """by, key_id, node_id, dist2: each point's nearest center, ties to the smaller id.
+
+    Few centers (counted) are met by every point of their group; more only where pivots leave them in reach.
+    """
+    if (n := centers.count()) > DIRECT_CENTERS and (found := pruned.nearest(points, centers, by)) is not None:
+        return found.drop("measured")
+    if arrow and n <= tables.BROADCAST_ROWS:
         return blocks.nearest(points, centers, by)
     d = vec.distance2("key", "center")
     return points.join(centers, by).groupBy(*by, "key_id").agg(F.min(F.struct(d.alias("dist2"), F.col("node_id"))).alias("m")).select(*by, "key_id", "m.node_id", "m.dist2")
@@ -50,14 +58,12 @@ def balanced_assign(points: DataFrame, centers: DataFrame, bf: int, seed: int, b
     the free slots in order of (center, slot).
     """
     near = nearest_assign(points, centers, by, arrow)
-    ranked = near.withColumn("slot", F.row_number().over(Window.partitionBy(*by, "node_id").orderBy("dist2", "key_id")))
-    ranked = tables.saved(ranked, "ranked")
+    ranked = tables.saved(ranks.numbered(tables.saved(near, "near"), [*by, "node_id"], ["dist2", "key_id"], "slot"), "ranked")
     placed = ranked.filter(F.col("slot") <= bf)
     used = placed.groupBy(*by, "node_id").agg(F.max("slot").alias("used"))
     free = centers.join(used, [*by, "node_id"], "left").select(*by, "node_id", F.coalesce("used", F.lit(0)).alias("used"), "center").filter(F.col("used") < bf).select(*by, "node_id", "center", F.explode(F.sequence(F.col("used") + 1, F.lit(bf))).alias("slot"))
-    w = Window.partitionBy(*by)
-    free = free.withColumn("k", F.row_number().over(w.orderBy("node_id", "slot")))
-    left = ranked.filter(F.col("slot") > bf).select(*by, "key_id").withColumn("k", F.row_number().over(w.orderBy(*seed_order(seed + 1))))
+    free = ranks.numbered(free, by, ["node_id", "slot"], "k")
+    left = ranks.numbered(ranked.filter(F.col("slot") > bf).select(*by, "key_id"), by, seed_order(seed + 1), "k")
     moved = left.join(free, [*by, "k"]).join(points.select(*by, "key_id", "key"), [*by, "key_id"])
     return placed.unionByName(moved.select(*by, "key_id", "node_id", vec.distance2("key", "center").alias("dist2"), F.col("slot").cast("int").alias("slot")))
 
@@ -89,7 +95,7 @@ def pq_train(points: DataFrame, m: int, nbits: int, seed: int = 42, iterations:
     """(sub, code, center): centroids of each subvector, from seeded keys and optional Lloyd iterations."""
     sub = pq_parts(points, m)
     first = seeds(sub, lambda n: F.lit(1 << nbits), seed, ["sub"])
-    first = first.withColumn("node_id", F.row_number().over(Window.partitionBy("sub").orderBy(*seed_order(seed, "node_id"))).cast("long") - 1)
+    first = ranks.numbered(first, ["sub"], seed_order(seed, "node_id"), "code").withColumn("node_id", F.col("code").cast("long") - 1).drop("code")
     return lloyd(sub, first, iterations, ["sub"]).select("sub", F.col("node_id").cast("int").alias("code"), "center")
 
 

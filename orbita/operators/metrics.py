@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vec
+from ..functions import thresholds, vec
+from ..plans import ranks
 from . import search
 from .index import Index
 
@@ -37,15 +38,13 @@ def recall(truth: DataFrame, hits: DataFrame) -> DataFrame:
 
 def ball_classes(balls: DataFrame, q: DataFrame) -> DataFrame:
     """query_id, side, balls."""
-    q = F.broadcast(q.select("query_id", "q", "threshold"))
-    return balls.crossJoin(q).groupBy("query_id", vec.ball_side("center", "radius", "q", "threshold").alias("side")).agg(F.count(F.lit(1)).alias("balls"))
+    return balls.join(search.small(q.select("query_id", "q", "threshold"))).groupBy("query_id", vec.ball_side("center", "radius", "q", "threshold").alias("side")).agg(F.count(F.lit(1)).alias("balls"))
 
 
 def knn_radius(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, radius: distance to the k-th neighbour, the point itself counting as the first."""
-    d = points.crossJoin(F.broadcast(queries.select("query_id", "q"))).select("query_id", "key_id", vec.distance("q", "key").alias("d"))
-    ranked = d.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "key_id")))
-    return ranked.filter(F.col("k") == k + 1).select("query_id", F.col("d").alias("radius"))
+    d = points.join(search.small(queries.select("query_id", "q"))).select("query_id", vec.distance("q", "key").alias("score"))
+    return thresholds.selected(d, ["query_id"], {"radius": lambda n: F.lit(k + 1)}).filter("radius is not null").select("query_id", "radius")
 
 
 def moments(keys: DataFrame) -> DataFrame:
@@ -82,4 +81,4 @@ def best_by(df: DataFrame, group: str, what: str, cost: str) -> DataFrame:
 
 def offsets(counts: DataFrame, by: str, order: str, n: str) -> DataFrame:
     """Exclusive prefix sums of counts inside each group."""
-    return counts.withColumn("offset", F.sum(n).over(Window.partitionBy(by).orderBy(order)) - F.col(n))
+    return ranks.running(counts, [by], [order], n, "offset")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..plans import blocks, tables
+from ..plans.tables import small
 from .index import Index
 
 HIT = ["query_id", "q_head", "kv_head", "key_id", "score"]
@@ -44,11 +45,6 @@ def queries(df: DataFrame, threshold=None, scaling=None, mapping: list[int] | No
     return df.select(F.col("query_id").cast("long").alias("query_id"), F.col("q_head").cast("int").alias("q_head"), F.col("kv_head").cast("int").alias("kv_head"), "q", vec.norm("q").alias("q_norm"), F.col("threshold").cast("double").alias("threshold"), F.col("scaling").cast("double").alias("scaling"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint, once counted and few."""
-    return F.broadcast(df) if df.count() <= tables.BROADCAST_ROWS else df
-
-
 def flat_scan(keys: DataFrame, q: DataFrame, arrow: bool = False) -> DataFrame:
     """Every key against every query of its head."""
     if arrow and q.count() <= tables.BROADCAST_ROWS:

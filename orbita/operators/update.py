@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..plans import tables
+from ..plans import ranks, tables
 from . import clustering, index
 from .index import HEAD, Index
 
@@ -64,8 +64,7 @@ def place(points: DataFrame, parents: DataFrame, counts: DataFrame, bf: int, arr
     Per parent the nearest come first, by (distance, id), on top of what it holds.
     """
     near = clustering.nearest_assign(points, parents.select("kv_head", "node_id", "center"), HEAD, arrow)
-    nth = F.row_number().over(Window.partitionBy("kv_head", "node_id").orderBy("dist2", "key_id"))
-    held = near.withColumn("nth", nth).join(counts, ["kv_head", "node_id"], "left")
+    held = ranks.numbered(tables.saved(near, "near"), ["kv_head", "node_id"], ["dist2", "key_id"], "nth").join(counts, ["kv_head", "node_id"], "left")
     fits = F.col("nth") + F.coalesce("held", F.lit(0)) <= bf
     some = held.select("kv_head", "key_id", F.when(fits, F.col("node_id")).alias("node_id"), F.when(fits, F.col("dist2")).alias("dist2"))
     # heads without any parent have no nearest one

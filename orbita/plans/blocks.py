@@ -44,6 +44,29 @@ def scan(keys: DataFrame, queries: DataFrame) -> DataFrame:
     return keys.selectExpr("cast(kv_head as int) kv_head", "cast(key_id as long) key_id", "key").mapInArrow(run, "query_id long, q_head int, kv_head int, key_id long, score double")
 
 
+def grouped(batch: pa.RecordBatch, columns: int, known) -> dict[tuple, list[int]]:
+    """Rows of each known group; a group is what the first columns say."""
+    at: dict[tuple, list[int]] = {}
+    for i, g in enumerate(zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True)):
+        if g in known:
+            at.setdefault(g, []).append(i)
+    return at
+
+
+def closest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the first of its nearest rows of c, and the squared distance.
+
+    Rows too close to tell apart by the expanded square are measured again, in their order.
+    """
+    rough = (c * c).sum(1) - 2 * x @ c.T
+    pick = rough.argmin(1)
+    close = rough <= rough.min(1, keepdims=True) + 1e-9 * (1 + (x**2).sum(1, keepdims=True))
+    for i in np.flatnonzero(close.sum(1) > 1):
+        same = np.flatnonzero(close[i])
+        pick[i] = same[((x[i] - c[same]) ** 2).sum(1).argmin()]
+    return pick, ((x - c[pick]) ** 2).sum(1)
+
+
 def nearest(points: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
     """points (by, key_id, key) -> by, key_id, node_id, dist2; centers are collected, so callers bound them; ties to the smaller node_id; points of groups without centers have no row."""
     groups: dict[tuple, list] = {}
@@ -53,26 +76,15 @@ def nearest(points: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            names = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True))
             ids, vectors = b.column(len(by)).to_numpy(), _matrix(b.column(len(by) + 1), b.num_rows)
             node, dist, kept = np.zeros(len(ids), np.int64), np.full(len(ids), np.nan), np.zeros(len(ids), bool)
-            at: dict[tuple, list[int]] = {}
-            for i, g in enumerate(names):
-                if g in sides.value:
-                    at.setdefault(g, []).append(i)
-            for g, own in at.items():
+            for g, own in grouped(b, len(by), sides.value).items():
                 n, c = sides.value[g]
                 kept[own] = True
                 for k in range(0, len(own), 1024):
                     some = np.array(own[k : k + 1024])
-                    rough = (c * c).sum(1) - 2 * vectors[some] @ c.T
-                    pick = rough.argmin(1)
-                    # centers too close to tell apart by the expanded square are measured again, the smaller id first
-                    close = rough <= rough.min(1, keepdims=True) + 1e-9 * (1 + (vectors[some] ** 2).sum(1, keepdims=True))
-                    for i in np.flatnonzero(close.sum(1) > 1):
-                        same = np.flatnonzero(close[i])
-                        pick[i] = same[((vectors[some[i]] - c[same]) ** 2).sum(1).argmin()]
-                    node[some], dist[some] = n[pick], ((vectors[some] - c[pick]) ** 2).sum(1)
+                    pick, dist[some] = closest(vectors[some], c)
+                    node[some] = n[pick]
             yield pa.record_batch([*b.columns[: len(by) + 1], pa.array(node), pa.array(dist)], names=[*by, "key_id", "node_id", "dist2"]).filter(pa.array(kept))
 
     types = {f.name: f.dataType.simpleString() for f in points.schema}

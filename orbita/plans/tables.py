@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that may be collected and broadcast as arrays.
 BROADCAST_ROWS = 100_000
@@ -25,3 +26,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/orbita-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint, once counted and few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

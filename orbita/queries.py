@@ -6,9 +6,7 @@ structural ones against the same construction in SQL.
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -18,8 +16,7 @@ from .sources import generators, tables
 from .streaming.cache import Cache
 
 HEADS, BF = 8, 4
-FEW, WHOLE = "vec_id < 5", "vec_id % 50 = 0"
-ASKED = ContextVar("asked", default=FEW)  # which vectors are queries
+ASKED = "vec_id % 50 = 0"  # the vectors that are queries
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -37,13 +34,13 @@ def _keys(spark, sf):
 
 
 def _wide_queries(spark, sf, threshold=0.3, **how):
-    return search.queries(_embeddings(spark, sf).filter(ASKED.get()).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_head"), F.col("embedding").alias("q")), threshold, **how)
+    return search.queries(_embeddings(spark, sf).filter(ASKED).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_head"), F.col("embedding").alias("q")), threshold, **how)
 
 
 def _head_queries(spark, sf, threshold=0.15, q_heads=HEADS, mapping=None, **how):
     """Slices of the first vectors; several query heads may look at one kv head."""
     mapping = mapping or search.head_map(q_heads, HEADS)
-    rows = _embeddings(spark, sf).filter(ASKED.get()).select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(q_heads - 1))).alias("q_head"), "embedding")
+    rows = _embeddings(spark, sf).filter(ASKED).select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(q_heads - 1))).alias("q_head"), "embedding")
     rows = rows.withColumn("kv_head", F.element_at(F.array(*map(F.lit, mapping)), F.col("q_head") + 1))
     return search.queries(rows.select("query_id", "q_head", "kv_head", F.slice("embedding", F.col("kv_head") * 8 + 1, 8).alias("q")), threshold, **how)
 
@@ -69,11 +66,11 @@ def query(sql: str | None = None):
 _DOT = "list_inner_product({}, {})"
 _K1 = "k1 AS (SELECT 0 AS kv_head, vec_id AS key_id, embedding::DOUBLE[] AS key FROM embeddings)"
 _K8 = "k8 AS (SELECT h::INT AS kv_head, vec_id AS key_id, list_slice(embedding, h * 8 + 1, h * 8 + 8)::DOUBLE[] AS key FROM embeddings, range(8) t(h))"
-_Q1 = "q1 AS (SELECT vec_id AS query_id, 0 AS q_head, 0 AS kv_head, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5)"
+_Q1 = f"q1 AS (SELECT vec_id AS query_id, 0 AS q_head, 0 AS kv_head, embedding::DOUBLE[] AS q FROM embeddings WHERE {ASKED})"
 
 
-def _q8(q_heads: int = 8, kv: str = "h", few: int = 5) -> str:
-    return f"q8 AS (SELECT vec_id AS query_id, h::INT AS q_head, ({kv})::INT AS kv_head, list_slice(embedding, ({kv}) * 8 + 1, ({kv}) * 8 + 8)::DOUBLE[] AS q FROM embeddings, range({q_heads}) t(h) WHERE vec_id < {few})"
+def _q8(q_heads: int = 8, kv: str = "h") -> str:
+    return f"q8 AS (SELECT vec_id AS query_id, h::INT AS q_head, ({kv})::INT AS kv_head, list_slice(embedding, ({kv}) * 8 + 1, ({kv}) * 8 + 8)::DOUBLE[] AS q FROM embeddings, range({q_heads}) t(h) WHERE {ASKED})"
 
 
 def _brute(q: str, k: str, threshold: str, score: str = "s", where: str = "true") -> str:
@@ -491,10 +488,11 @@ def lineitem_halfspace(spark, sf):
     return keys.filter(vec.dot("key", F.array(*[F.lit(0.5)] * 4)) >= 1.5).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("SELECT i AS key_id, concat_ws('-', i % 8, (i // 8) % 8, ((i // 64) % 4) + 4 * (i % 2)) AS codes FROM range(256) t(i)")
+@query("SELECT vec_id AS key_id, concat_ws('-', vec_id % 8, (vec_id // 8) % 8, (vec_id // 64) % 8) AS codes FROM embeddings")
 def bit_unpack(spark, sf):
-    code = F.array((F.col("id") % 256).cast("int"), (F.col("id") % 2).cast("int"))
-    return spark.range(256).select(F.col("id").alias("key_id"), F.array_join(vec.unpacked(code, 3, 3), "-").alias("codes"))
+    """Three fields of three bits in the two low bytes of an id."""
+    code = F.array((F.col("vec_id") % 256).cast("int"), (F.floor(F.col("vec_id") / 256) % 256).cast("int"))
+    return _embeddings(spark, sf).select(F.col("vec_id").alias("key_id"), F.array_join(vec.unpacked(code, 3, 3), "-").alias("codes"))
 
 
 def _generated(make):
@@ -509,23 +507,3 @@ for _name, _make in {
     "zipf_clusters": lambda s: generators.zipf_clusters(s, 2000, 16), "zipf_scaled": lambda s: generators.zipf_scaled(s, 2000, 16), "low_rank": lambda s: generators.low_rank(s, 2000, 16),
 }.items():
     Q[f"generate_{_name}"] = _generated(_make)
-
-
-def _whole(f):
-    """The same query with every 50th vector as query."""
-
-    def run(spark, sf):
-        before = ASKED.set(WHOLE)
-        try:
-            return f(spark, sf)
-        finally:
-            ASKED.reset(before)
-
-    return run
-
-
-# The queries above keep their five vectors, as their SQL does; beside each stands one over the whole query set.
-for _name in [n for n in Q if FEW in SQL.get(n, "") or (n not in SQL and n.endswith("_pct"))]:
-    Q[f"{_name}_whole"] = _whole(Q[_name])
-    if _name in SQL:
-        SQL[f"{_name}_whole"] = SQL[_name].replace(FEW, WHOLE)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from orbita.config import Config, auto_depth, read_yaml
 from orbita.functions import thresholds, vec
 from orbita.operators import clustering, index, metrics, search, shapes, update
+from orbita.plans import pruned, ranks
+from orbita.plans import tables as cut
 from orbita.sources import tables
 from orbita.streaming.cache import Cache
 
@@ -183,19 +185,21 @@ def test_sources_and_config(spark, tmp_path):
     assert auto_depth(1000, 10) == math.ceil(math.log(1000) / math.log(10))
 
 
-def test_whole_query_set(spark):
+def test_the_query_set_is_every_50th_vector(spark):
     from orbita import queries
 
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id % 50 = 0")
     want = {r["vec_id"] for r in rows.select("vec_id").collect()}
-    for name in ("all_scores", "threshold_topk", "knn_radius"):
-        assert {r["query_id"] for r in queries.Q[f"{name}_whole"](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()} == want
-        assert queries.WHOLE in queries.SQL[f"{name}_whole"] and queries.FEW in queries.SQL[name]
+    for name, heads in (("all_scores", 1), ("threshold_topk", 1), ("knn_radius", queries.HEADS)):
+        got = {r["query_id"] for r in queries.Q[name](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()}
+        assert got == {i * heads + h for i in want for h in range(heads)}
+        assert queries.ASKED in queries.SQL[name]
 
 
 def test_large_heads_are_assigned_to_the_nearest_center(spark):
     n, bf = 66_000, 4096
-    keys = spark.range(n).selectExpr("cast(if(id < 20, 1, 0) as int) kv_head", "id key_id", "array(cast(pmod(xxhash64(id), 1000) as double), cast(pmod(xxhash64(id, 1), 1000) as double)) key").localCheckpoint()
+    keys = spark.range(n).selectExpr("cast(if(id < 20, 1, 0) as int) kv_head", "id key_id", "array(cast(pmod(xxhash64(id), 1000) as double), cast(pmod(xxhash64(id, 1), 1000) as double)) key")
+    keys = cut.saved(keys, "keys")
     tree = index.build(keys, 2, bf, arrow=True)
     center = {(r["kv_head"], r["node_id"]): np.array(r["center"]) for r in tree.level(1).collect()}
     rows = keys.join(tree.leaf, ["kv_head", "key_id"]).collect()
@@ -229,3 +233,76 @@ def test_queries_of_another_size_are_an_error(spark):
 def test_prompts_lose_all_white_space(spark):
     rows = spark.createDataFrame([("\t\u3000\n", " \x0bquestion\u00a0\x1f", "other")], "a string, b string, c string")
     assert rows.select(tables.prompt(F.col("a"), F.col("b"), F.col("c")).alias("p")).first()["p"] == "question"
+
+
+@pytest.mark.parametrize("window", [0, 1 << 20])
+def test_places_and_running_sums(spark, window):
+    """One group with nearly all rows, equal order keys told apart by ids, and a group of one."""
+    rows = [(0 if i % 50 else i % 3, i % 7, i, i % 11) for i in range(4000)] + [(9, 1, 5000, 4)]
+    df = spark.createDataFrame(rows, "g int, o int, id long, v long").repartition(5)
+    got = {(r["g"], r["id"]): r["k"] for r in ranks.numbered(df, ["g"], [-F.col("o"), "id"], "k", window).collect()}
+    sums = {(r["g"], r["id"]): r["s"] for r in ranks.running(df, ["g"], [-F.col("o"), "id"], "v", "s", window).collect()}
+    for g in {r[0] for r in rows}:
+        total = 0
+        for k, (_, o, i, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
+            assert got[g, i] == k and sums[g, i] == total
+            total += v
+    assert ranks.numbered(df.limit(0), ["g"], ["id"], "k", window).count() == 0
+
+
+def test_seeds_and_balanced_children_without_windows(spark, monkeypatch):
+    k = spark.createDataFrame([(0 if i < 700 else 1, i, [float(i * 37 % 101), float(i * 53 % 89)]) for i in range(720)], KEYS)
+    get = lambda: (sorted(map(str, (c := clustering.seeds(k, lambda n: F.ceil(n / 8), 3, ["kv_head"])).collect())), sorted(tuple(r) for r in clustering.balanced_assign(k, c, 8, 3, ["kv_head"]).select("kv_head", "key_id", "node_id", "slot").collect()))
+    want = get()
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", 0)
+    assert get() == want and len(want[1]) == 720
+
+
+def _doubles(r, n):
+    kinds = (lambda: r.gauss(0, 1), lambda: float(r.randrange(5)), lambda: 10.0 ** r.randrange(-300, 300), lambda: -(10.0 ** r.randrange(-300, 300)), lambda: r.choice((0.0, -0.0, 1e-310, float("inf"), float("-inf"))))
+    return [r.choice(kinds)() for _ in range(n)]
+
+
+@pytest.mark.parametrize("few", [0, 3, 4096])
+def test_selection_without_sorting(spark, few):
+    r = random.Random(few)
+    groups = {0: _doubles(r, 900), 1: _doubles(r, 7), 2: [2.5] * 40, 3: [1.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [(1, None), (4, None)], "g int, score double").repartition(3)
+    places = {"first": lambda n: F.lit(1), "last": lambda n: n, "third": lambda n: F.floor((n + 2) / 3), "seventh": lambda n: F.lit(7)}
+    got = {x["g"]: x for x in thresholds.selected(df, ["g"], places, few).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        s = sorted(xs)
+        assert (got[g]["n"], got[g]["first"], got[g]["last"], got[g]["third"]) == (len(s), s[0], s[-1], s[(len(s) + 2) // 3 - 1])
+        assert got[g]["seventh"] == (s[6] if len(s) > 6 else None)
+
+
+@pytest.mark.parametrize("how", [{}, {"block_rows": 4, "share_rows": 7}, {"pivots": 3}])
+def test_pruned_nearest_is_exact(spark, how):
+    """Ties, equal centers, a cell with a third of all rows, groups without centers or with one."""
+    r = np.random.default_rng(5)
+    blob = lambda n: r.integers(0, 4, (n, 1)) * 40 + r.integers(-6, 7, (n, 3))
+    points = [(h, i, [float(v) for v in x]) for h, n in ((0, 400), (1, 50), (2, 9), (3, 5)) for i, x in enumerate(blob(n))]
+    points += [(0, 1000 + i, points[0][2]) for i in range(200)]
+    centers = [(h, i, [float(v) for v in x]) for h, n in ((0, 130), (1, 60), (3, 1)) for i, x in enumerate(blob(n))]
+    centers += [(0, 500 + i, centers[3][2]) for i in range(60)]
+    p, c = spark.createDataFrame(points, KEYS).repartition(3), spark.createDataFrame(centers, "kv_head int, node_id long, center array<double>")
+    got = {(x["kv_head"], x["key_id"]): (x["dist2"], x["node_id"]) for x in pruned.nearest(p, c, ["kv_head"], **how).collect()}
+    want = {(h, i): min((sum((a - b) ** 2 for a, b in zip(x, y)), n) for g, n, y in centers if g == h) for h, i, x in points if h != 2}
+    assert got == want
+
+
+def test_pruned_nearest_measures_few(spark):
+    """10^6 keys in one head and 10^5 centers: distances stay well under all of them."""
+    blob = lambda n, seed: spark.range(n).selectExpr("0 kv_head", "id", f"pmod(xxhash64(id, {seed}), 2000) b").selectExpr("kv_head", "id", f"array(10 * sin(b * 12.9) + 0.1 * rand({seed}), 10 * sin(b * 78.2) + 0.1 * rand({seed + 1}), 10 * sin(b * 37.7) + 0.1 * rand({seed + 2})) v")
+    keys = cut.saved(blob(1_000_000, 1).selectExpr("kv_head", "id key_id", "v key"), "keys")
+    centers = cut.saved(blob(100_000, 7).selectExpr("kv_head", "id node_id", "v center"), "centers")
+    found = cut.saved(pruned.nearest(keys, centers, ["kv_head"]), "found")
+    n, measured = found.agg(F.count("node_id"), F.sum("measured")).first()
+    assert n == 1_000_000 and measured < 0.02 * 1_000_000 * 100_000
+    some = found.join(keys, ["kv_head", "key_id"]).filter("key_id % 5000 = 0").collect()
+    c = centers.orderBy("node_id").collect()
+    ids, y = np.array([r["node_id"] for r in c]), np.array([r["center"] for r in c])
+    for r in some:
+        d = ((np.array(r["key"]) - y) ** 2).sum(1)
+        assert r["node_id"] == ids[d.argmin()] and r["dist2"] == pytest.approx(d.min())
