@@ -8,21 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..plans import tables
+from ..plans import ranks, tables
 from . import clustering
 
 HEAD = ["kv_head"]
+#: Keys in a folder of leaf blocks.
+BLOCK_KEYS = 1 << 17
 
 
 @dataclass(frozen=True)
 class Index:
-    """keys (kv_head, key_id, key, ...), leaf (kv_head, key_id, parent_id), nodes (level, kv_head, node_id, center, radius, parent_id)."""
+    """keys (kv_head, key_id, key, ...), leaf (kv_head, key_id, parent_id), nodes (level, kv_head, node_id, center, radius, parent_id).
+
+    ``blocks`` (the columns of keys, parent_id, block) is keys with leaf as ``laid_out`` stores them,
+    and ``places`` (kv_head, parent_id, block) says where; block numbers are below ``n_blocks``.
+    """
 
     keys: DataFrame
     leaf: DataFrame | None
     nodes: DataFrame | None
     depth: int
     bf: int
+    blocks: DataFrame | None = None
+    places: DataFrame | None = None
+    n_blocks: int = 0
 
     def level(self, level: int) -> DataFrame:
         return self.nodes.filter(F.col("level") == level).drop("level")
@@ -89,6 +98,39 @@ def broken_bounds(index: Index, slack: float = 1e-9) -> DataFrame:
     return kids.unionByName(ups).join(parents, ["level", "kv_head", "parent_id"]).filter(vec.distance("point", "center") + F.col("r") > F.col("radius") + slack).select("kv_head", "child")
 
 
+def leaf_blocks(keys: DataFrame, leaf: DataFrame, nodes: DataFrame, first: int = 0, block_keys: int = BLOCK_KEYS, path: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(blocks, places, next block number): the keys of ``leaf`` stored with their parent, a folder for some neighbouring parents.
+
+    Parents stand in the order of (head, grandparent, id), so what a search excludes above lies together;
+    a parent's keys are in one folder, sorted by parent.
+    """
+    up = nodes.filter("level = 1").select("kv_head", F.col("node_id").alias("parent_id"), F.coalesce("parent_id", F.lit(-1)).alias("up"))
+    counts = leaf.groupBy("kv_head", "parent_id").agg(F.count(F.lit(1)).alias("n")).join(up, ["kv_head", "parent_id"]).withColumn("all", F.lit(0))
+    before = ranks.running(tables.saved(counts, "counts"), ["all"], ["kv_head", "up", "parent_id"], "n", "before")
+    places = before.select("kv_head", "parent_id", (F.floor(F.col("before") / block_keys) + first).cast("int").alias("block"))
+    places = tables.saved(places, "places", path and f"{path}/places")
+    rows = keys.join(leaf, ["kv_head", "key_id"]).join(tables.small(places), ["kv_head", "parent_id"])
+    order = ["block", "kv_head", "parent_id", "key_id"]
+    rows = rows.select(*keys.columns, "parent_id", "block").repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = tables.saved(rows, "blocks", path and f"{path}/blocks", by="block")
+    return blocks, places, (places.agg(F.max("block")).first()[0] or first) + 1
+
+
+def laid_out(index: Index, block_keys: int = BLOCK_KEYS) -> Index:
+    """The index with its keys in leaf blocks: a search reads the folders of surviving parents only, keys with them."""
+    if index.leaf is None:
+        return index
+    blocks, places, n = leaf_blocks(index.keys, index.leaf, index.nodes, block_keys=block_keys)
+    return replace(index, blocks=blocks, places=places, n_blocks=n)
+
+
+def blocks_in_reach(index: Index, parents: DataFrame) -> DataFrame:
+    """parents (kv_head, parent_id, ...), few or many -> their keys, from the folders that hold any."""
+    at = tables.saved(parents.join(tables.small(index.places), ["kv_head", "parent_id"]), "reach")
+    folders = [r["block"] for r in at.select("block").distinct().collect()]  # a number a folder
+    return index.blocks.filter(F.col("block").isin(folders)).join(at, ["block", "kv_head", "parent_id"])
+
+
 def persisted(index: Index) -> Index:
     """Levels kept for many searches."""
     return replace(index, leaf=index.leaf and index.leaf.persist(), nodes=index.nodes and index.nodes.persist())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..plans import blocks, tables
 from ..plans.tables import small
-from .index import Index
+from .index import Index, blocks_in_reach
 
 HIT = ["query_id", "q_head", "kv_head", "key_id", "score"]
 
@@ -88,6 +88,8 @@ def active(index: Index, q: DataFrame, mode: str = "exact") -> dict[int, DataFra
 def candidates(index: Index, q: DataFrame, mode: str = "exact") -> DataFrame:
     """Keys of surviving parents, with the query."""
     parents = active(index, q, mode)[1].withColumnRenamed("node_id", "parent_id")
+    if index.blocks is not None:
+        return blocks_in_reach(index, parents)
     return index.leaf.join(parents, ["kv_head", "parent_id"]).join(index.keys.select("kv_head", "key_id", "key"), ["kv_head", "key_id"])
 
 
@@ -119,5 +121,9 @@ def probe(index: Index, q: DataFrame, parents: int) -> DataFrame:
     bound = vec.ball_bound("center", "radius", "q", "q_norm")
     ranked = index.level(1).join(small(q), "kv_head").withColumn("bound", bound)
     best = ranked.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "q_head").orderBy(F.col("bound").desc(), "node_id"))).filter(F.col("k") <= parents)
-    kids = index.leaf.join(best.select("kv_head", F.col("node_id").alias("parent_id"), "query_id", "q_head", "q", "scaling"), ["kv_head", "parent_id"]).join(index.keys.select("kv_head", "key_id", "key"), ["kv_head", "key_id"])
+    best = best.select("kv_head", F.col("node_id").alias("parent_id"), "query_id", "q_head", "q", "scaling")
+    if index.blocks is not None:
+        kids = blocks_in_reach(index, best)
+    else:
+        kids = index.leaf.join(best, ["kv_head", "parent_id"]).join(index.keys.select("kv_head", "key_id", "key"), ["kv_head", "key_id"])
     return kids.select(*HIT[:-1], (vec.dot("q", "key") * F.col("scaling")).alias("score"))

@@ -26,9 +26,24 @@ def append_forest(old: Index, new_keys: DataFrame, iterations: int = 0, seed: in
     keys = old.keys.select(cols).unionByName(new_keys.select(cols))
     if old.depth == 1:
         return replace(old, keys=keys)
-    sub = extended(index.build(new_keys, old.depth, old.bf, iterations, seed, arrow=arrow), old.depth)
+    sub = sub_index(old, new_keys, iterations, seed, arrow)
     nodes = old.nodes.unionByName(sub.nodes.select(old.nodes.columns))
-    return Index(keys, old.leaf.unionByName(sub.leaf.select(old.leaf.columns)), tables.saved(nodes, "nodes"), old.depth, old.bf)
+    new = Index(keys, old.leaf.unionByName(sub.leaf.select(old.leaf.columns)), tables.saved(nodes, "nodes"), old.depth, old.bf)
+    return _more_blocks(old, new, new_keys, sub.leaf, sub.nodes)
+
+
+def sub_index(old: Index, new_keys: DataFrame, iterations: int = 0, seed: int = 7, arrow: bool = False) -> Index:
+    """An index of the old one's depth over new keys alone."""
+    return extended(index.build(new_keys, old.depth, old.bf, iterations, seed, arrow=arrow), old.depth)
+
+
+def _more_blocks(old: Index, new: Index, keys: DataFrame, leaf: DataFrame, nodes: DataFrame) -> Index:
+    """The new index with the old one's leaf blocks, if it has any, and blocks of the new keys; none is written again."""
+    if old.blocks is None:
+        return new
+    cols = [c for c in old.blocks.columns if c not in ("parent_id", "block")]
+    blocks, places, n = index.leaf_blocks(keys.select(cols), leaf, nodes, old.n_blocks)
+    return replace(new, blocks=old.blocks.unionByName(blocks), places=old.places.unionByName(places), n_blocks=n)
 
 
 def extended(sub: Index, depth: int) -> Index:
@@ -103,7 +118,7 @@ def fill_slots(old: Index, new_keys: DataFrame, seed: int = 7, arrow: bool = Fal
     if old.depth == 2:
         if new is not None:
             nodes = nodes.unionByName(new.select(F.lit(1).alias("level"), "kv_head", "node_id", "center", "radius", F.lit(None).cast("long").alias("parent_id")))
-        return Index(keys, tables.saved(leaf, "leaf"), tables.saved(nodes, "nodes"), 2, old.bf)
+        return _filled(old, Index(keys, tables.saved(leaf, "leaf"), tables.saved(nodes, "nodes"), 2, old.bf), new_keys)
     if new is not None:
         above = nodes.filter("level = 1").groupBy("kv_head", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("held"))
         as_points = new.select("kv_head", F.col("node_id").alias("key_id"), F.col("center").alias("key"))
@@ -119,4 +134,8 @@ def fill_slots(old: Index, new_keys: DataFrame, seed: int = 7, arrow: bool = Fal
     nodes = tables.saved(nodes, "nodes")
     kids = nodes.filter("level = 1").select("kv_head", F.col("center").alias("point"), F.col("radius").alias("r"), F.col("parent_id").alias("node_id"))
     reach = kids.join(nodes.filter("level = 2").select("kv_head", "node_id", "center"), ["kv_head", "node_id"]).select("kv_head", "node_id", (vec.distance("point", "center") + F.col("r")).alias("reach"))
-    return Index(keys, tables.saved(leaf, "leaf"), tables.saved(_grown(nodes, 2, reach).select(cols), "nodes"), 3, old.bf)
+    return _filled(old, Index(keys, tables.saved(leaf, "leaf"), tables.saved(_grown(nodes, 2, reach).select(cols), "nodes"), 3, old.bf), new_keys)
+
+
+def _filled(old: Index, new: Index, new_keys: DataFrame) -> Index:
+    return new if old.blocks is None else _more_blocks(old, new, new_keys, new.leaf.join(new_keys.select("kv_head", "key_id"), ["kv_head", "key_id"], "left_semi"), new.nodes)

@@ -22,9 +22,10 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/orbita-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def saved(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
+    """df, written (under a path of its own, unless one is given; in a folder for each value of ``by``) and read again."""
+    path = path or f"{folder(df.sparkSession)}/orbita-tables/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

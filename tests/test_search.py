@@ -306,3 +306,97 @@ def test_pruned_nearest_measures_few(spark):
     for r in some:
         d = ((np.array(r["key"]) - y) ** 2).sum(1)
         assert r["node_id"] == ids[d.argmin()] and r["dist2"] == pytest.approx(d.min())
+
+
+@pytest.mark.parametrize("mode", ["exact", "scan"])
+def test_cache_goes_on_after_a_lost_driver(spark, tmp_path, mode):
+    """A stream dies between two layers of a batch; a new cache on the same folder and checkpoint takes each batch once."""
+    k, rows = data(spark, 40, 4, heads=2, seed=4)
+    q, asks = asked(spark, 4, (0.5, -1.0))
+    config = Config(mode=mode, update_every=12, num_levels=3, branching_factor=4)
+    for b in range(4):
+        part = k.filter(f"key_id >= {10 * b} and key_id < {10 * b + 10}")
+        part.withColumn("layer", F.lit(0)).unionByName(part.withColumn("layer", F.lit(1))).coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
+    files = f"{tmp_path}/in/*"
+    open_ = lambda: Cache(config, 2, folder=f"file://{tmp_path}/state")
+    stream = lambda c: c.attach(spark.readStream.schema("kv_head int, key_id long, key array<double>, layer int").option("maxFilesPerTrigger", 1).parquet(files), f"{tmp_path}/cp").trigger(availableNow=True).start()
+    first = open_()
+    taken = []
+
+    def dies(keys, batch_id=None, real=first.layers[1].update):
+        taken.append(batch_id)
+        if len(taken) == 3:
+            raise RuntimeError("the driver is lost")
+        return real(keys, batch_id)
+
+    first.layers[1].update = dies
+    with pytest.raises(Exception, match="the driver is lost"):
+        stream(first).awaitTermination(300)
+    half = open_()
+    assert (half.layers[0].sequence_length, half.layers[1].sequence_length) == (30, 20)
+    again = open_()
+    stream(again).awaitTermination(300)
+    for layer in again.layers:
+        assert layer.sequence_length == 40 and layer.state["batch"] == 3
+        made = layer.indexed
+        assert made.keys.count() + (layer.queue.count() if layer.queue is not None else 0) == 80
+        assert index.broken_bounds(made).isEmpty()
+        if mode == "exact":
+            same(found(layer.search(q)), brute(rows, asks))
+        else:
+            assert set(brute(rows, asks)) <= set(found(layer.search(q)))
+    gone = again.layers[0].clean()
+    assert gone and again.layers[0].clean() == []
+    if mode == "exact":
+        same(found(open_().search(q, 0)), brute(rows, asks))
+
+
+def test_flushes_write_what_they_add(spark, tmp_path):
+    k, rows = data(spark, 24, 4, heads=1, seed=6)
+    q, asks = asked(spark, 4, (0.2,), heads=1)
+    cache = Cache(Config(update_every=1, num_levels=2, branching_factor=4), 1, folder=f"file://{tmp_path}/s")
+    layer, written = cache.layers[0], 0
+    for b in range(6):
+        cache.update(k.filter(f"key_id >= {4 * b} and key_id < {4 * b + 4}"), 0, b)
+        assert len(layer.state["segments"]) <= 3 * 3
+    for name in layer._opened().tables():
+        if "segment" in name:
+            written += spark.read.parquet(f"{layer.folder}/{name}/blocks").count()
+    assert 24 < written <= 24 * 3  # once as added, and again as often as fours have come together
+    same(found(cache.search(q, 0)), brute(rows, asks))
+    with pytest.raises(RuntimeError, match="another driver"):
+        Cache(layer.config, 1, folder=f"file://{tmp_path}/s").layers[0]._opened().commit({**layer.state})
+    cache.reset()
+    assert Cache(layer.config, 1, folder=f"file://{tmp_path}/s").layers[0].sequence_length == 0
+
+
+def test_leaf_blocks_are_read_by_need(spark):
+    """Folders read fall with the parents in reach; updates keep blocks, and results stay."""
+    k, rows = data(spark, 400, 3, heads=1, blobs=True)
+    tree = index.laid_out(index.build(k.filter("key_id < 300"), 3, 8), block_keys=20)
+
+    def read(df):
+        """Bytes of the files that a scan reads."""
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        return plan.collectLeaves().apply(0).metrics().apply("filesSize").value()
+
+    parents = tree.level(1).select("kv_head", F.col("node_id").alias("parent_id"))
+    some = parents.orderBy("parent_id").limit(3)
+    reach = index.blocks_in_reach(tree, some)
+    assert reach.count() == tree.leaf.join(some, ["kv_head", "parent_id"]).count()
+    folders = [r["block"] for r in tree.places.join(some, ["kv_head", "parent_id"]).select("block").distinct().collect()]
+    assert len(folders) <= 3 < tree.n_blocks
+    assert 0 < read(tree.blocks.filter(F.col("block").isin(folders))) < 0.4 * read(tree.blocks)
+    text = reach._jdf.queryExecution().executedPlan().toString()
+    assert any("block" in part.split("]")[0] for part in text.split("PartitionFilters: [")[1:])
+    last = k.filter("key_id >= 300")
+    grown = update.append_forest(tree, last)
+    assert grown.n_blocks > tree.n_blocks and grown.blocks.count() == 400
+    q, asks = asked(spark, 3, (4.0, 0.0), heads=1)
+    same(found(search.tree_search(grown, q)), brute(rows, asks))
+    full = index.laid_out(index.build(k.filter("key_id < 300"), 3, 8, balanced=True), block_keys=20)
+    full = update.fill_slots(full, last)
+    assert full.blocks.select("key_id").distinct().count() == full.blocks.count() == 400
+    same(found(search.tree_search(full, q)), brute(rows, asks))
+    assert search.probe(full, q, 2).count() == search.probe(index.Index(full.keys, full.leaf, full.nodes, 3, 8), q, 2).count()
