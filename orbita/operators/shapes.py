@@ -6,12 +6,15 @@ inner product with any member from above, so no key is ever lost.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from . import clustering
+from ..plans import tables
+from . import clustering, search
 
 ALL = ["one"]
 KINDS = ("ball", "box", "hull", "exact_ball", "ellipsoid")
@@ -96,33 +99,78 @@ def covering_ellipsoid(x: np.ndarray, tol: float = 1e-5, rounds: int = 1000) ->
     return c, np.eye(d) * r * r
 
 
+#: Points that a cluster's core set gains in a round, and rounds at most; sets end when nothing is farther than this share.
+GAINED, ROUNDS, NEAR = 8, 60, 0.002
+
+
+def _cored(members: DataFrame, fit, schema: str, distance) -> DataFrame:
+    """Shapes from core sets: each round fits a shape to a cluster's few points and adds the members farthest outside.
+
+    A round is one aggregate over all members, whose farthest are found by shares of a cluster, so no
+    cluster is gathered; what grows is a table of clusters with at most GAINED points a round.  A
+    cluster is done when its farthest member is inside to NEAR, and its shape is then scaled to hold it.
+    """
+    members = tables.saved(members.select("cluster_id", "key_id", F.transform("key", lambda x: x.cast("double")).alias("key")), "members")
+    # a few more points than an ellipsoid needs
+    start = F.pmod(F.xxhash64("key_id", F.lit(1)), (2 * (F.size("key") + 1)).cast("long"))
+    core = members.groupBy("cluster_id", start.alias("share")).agg(F.min_by("key", "key_id").alias("key"))
+    core = tables.saved(core.groupBy("cluster_id").agg(F.collect_list("key").alias("core")), "core")
+    done = []
+    for k in range(ROUNDS):
+        shapes = tables.saved(core.mapInPandas(lambda frames: map(fit, frames), f"cluster_id long, core array<array<double>>, {schema}"), "fit")
+        share = F.pmod(F.xxhash64("key_id"), F.lit(GAINED))
+        far = members.join(tables.small(shapes.drop("core")), "cluster_id").groupBy("cluster_id", share.alias("share")).agg(F.max(F.struct(distance().alias("reach"), "key_id", "key")).alias("m"))
+        gained = far.groupBy("cluster_id").agg(F.max("m.reach").alias("reach"), F.collect_list(F.when(F.col("m.reach") > 1 + NEAR / 2, F.col("m.key"))).alias("new"))
+        met = tables.saved(shapes.join(gained, "cluster_id"), "met")
+        last = F.lit(k == ROUNDS - 1)
+        done.append(met.filter((F.col("reach") <= 1 + NEAR) | last).drop("core", "new"))
+        core = met.filter((F.col("reach") > 1 + NEAR) & ~last).select("cluster_id", F.array_union("core", "new").alias("core"))
+        if core.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
 def exact_balls(members: DataFrame, centers: DataFrame | None = None) -> DataFrame:
-    def one(p):
-        import pandas as pd
+    """Smallest enclosing balls to a share of NEAR; every member is inside."""
 
-        c, r = smallest_ball(np.stack(p["key"]).astype(float))
-        return pd.DataFrame({"cluster_id": [p["cluster_id"].iloc[0]], "center": [c.tolist()], "radius": [r]})
+    def fit(p):
+        balls = [smallest_ball(np.stack(c).astype(float), 500) for c in p["core"]]
+        return p.assign(center=[c.tolist() for c, _ in balls], radius=[r for _, r in balls])
 
-    return members.select("cluster_id", "key").groupBy("cluster_id").applyInPandas(one, "cluster_id long, center array<double>, radius double")
+    reach = lambda: F.when(F.col("radius") > 0, vec.distance("key", "center") / F.col("radius")).when(vec.distance("key", "center") > 0, 2 + vec.distance("key", "center")).otherwise(0.0)
+    found = _cored(members, fit, "center array<double>, radius double", reach)
+    # the farthest member, not the fit, says how far the ball goes
+    far = members.join(tables.small(found.select("cluster_id", "center")), "cluster_id").groupBy("cluster_id").agg(F.max(vec.distance("key", "center")).alias("radius"))
+    return found.select("cluster_id", "center").join(far, "cluster_id")
 
 
 def ellipsoids(members: DataFrame, centers: DataFrame | None = None, tol: float = 1e-5, rounds: int = 1000) -> DataFrame:
-    def one(p):
-        import pandas as pd
+    """Covering ellipsoids of small volume; every member is inside."""
+
+    def fit(p):
+        got = [covering_ellipsoid(np.stack(c).astype(float), tol, rounds) for c in p["core"]]
+        shapes = [np.linalg.pinv(a) for _, a in got]
+        # directions without extent: whatever leaves them is outside
+        flat = [np.eye(len(a)) - s @ a for (_, a), s in zip(got, shapes, strict=True)]
+        return p.assign(center=[c.tolist() for c, _ in got], inv_shape=[a.tolist() for _, a in got], shape=[s.tolist() for s in shapes], flat=[f.tolist() for f in flat])
 
-        c, a = covering_ellipsoid(np.stack(p["key"]).astype(float), tol, rounds)
-        return pd.DataFrame({"cluster_id": [p["cluster_id"].iloc[0]], "center": [c.tolist()], "inv_shape": [a.tolist()]})
+    def reach():
+        d = F.zip_with("key", "center", lambda x, c: x - c)
+        form = lambda m: F.greatest(vec.dot(F.transform(m, lambda r: vec.dot(r, d)), d), F.lit(0.0))
+        return F.when(form("flat") > 1e-12 * (1 + vec.dot("key", "key")), 2.0).otherwise(F.sqrt(form("shape")))
 
-    return members.select("cluster_id", "key").groupBy("cluster_id").applyInPandas(one, "cluster_id long, center array<double>, inv_shape array<array<double>>")
+    matrix = "array<array<double>>"
+    found = _cored(members, fit, f"center array<double>, inv_shape {matrix}, shape {matrix}, flat {matrix}", reach)
+    scale = F.greatest(F.lit(1.0), F.col("reach") * F.col("reach") * (1 + 1e-9))
+    return found.select("cluster_id", "center", F.transform("inv_shape", lambda r: F.transform(r, lambda x: x * scale)).alias("inv_shape"))
 
 
 MAKE = {"ball": balls, "box": boxes, "hull": hulls, "exact_ball": exact_balls, "ellipsoid": ellipsoids}
 
 
-def intersecting(kind: str, shapes: DataFrame, q: DataFrame) -> DataFrame:
-    """(query_id, clusters, hit, pct): shapes that reach a query's threshold; q has query_id, q, q_norm, threshold."""
-    q = F.broadcast(q.select("query_id", "q", "q_norm", "threshold"))
-    both = shapes.crossJoin(q)  # a bounded set of queries against every shape
+def bounds(kind: str, shapes: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, cluster_id, bound): the largest inner product that a shape allows; q (query_id, q, q_norm) is counted, shapes are many."""
+    both = shapes.join(search.small(q.select("query_id", "q", "q_norm")))
     bound = {
         "ball": lambda: vec.ball_bound("center", "radius", "q", "q_norm"),
         "exact_ball": lambda: vec.ball_bound("center", "radius", "q", "q_norm"),
@@ -130,11 +178,31 @@ def intersecting(kind: str, shapes: DataFrame, q: DataFrame) -> DataFrame:
         "hull": lambda: vec.dot("q", "point"),
         "ellipsoid": lambda: vec.ellipsoid_bound("center", "inv_shape", "q"),
     }[kind]()
-    per = both.groupBy("query_id", "cluster_id").agg(F.max((bound >= F.col("threshold")).cast("int")).alias("hit"))
-    got = per.groupBy("query_id").agg(F.count(F.lit(1)).alias("clusters"), F.sum("hit").alias("hit"))
+    return both.groupBy("query_id", "cluster_id").agg(F.max(bound).alias("bound"))
+
+
+def intersecting(kind: str, shapes: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, clusters, hit, pct): shapes that reach a query's threshold; q has query_id, q, q_norm, threshold."""
+    q = tables.saved(q.select("query_id", "q", "q_norm", "threshold"), "asked")
+    per = bounds(kind, shapes, q).join(search.small(q.select("query_id", "threshold")), "query_id")
+    got = per.groupBy("query_id").agg(F.count(F.lit(1)).alias("clusters"), F.sum((F.col("bound") >= F.col("threshold")).cast("long")).alias("hit"))
     return q.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce(100.0 * F.col("hit") / F.col("clusters"), F.lit(0.0)).alias("pct"))
 
 
-def summary(pct: DataFrame) -> DataFrame:
-    """(query_id, pct) of some queries -> how many, and mean, deviation, least and largest pct."""
-    return pct.agg(F.count(F.lit(1)).alias("queries"), F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"), F.min("pct").alias("low"), F.max("pct").alias("high"))
+def sweep(found: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
+    """Bounds (by, query_id, cluster_id, bound) -> by, query_id, threshold, clusters, hit, pct for all thresholds in one pass.
+
+    A bound counts once, at the last threshold that it reaches; what stands there and after is what reaches a threshold.
+    """
+    steps = sorted(set(thresholds))
+    reached = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("bound")))
+    hist = found.groupBy(*by, "query_id", reached.alias("step")).agg(F.count(F.lit(1)).alias("c"))
+    rows = hist.groupBy(*by, "query_id").agg(F.sum("c").alias("clusters"), F.collect_list(F.struct("step", "c")).alias("h"))  # a row a threshold
+    each = rows.select(*by, "query_id", "clusters", "h", F.posexplode(F.array(*map(F.lit, steps))).alias("i", "threshold"))
+    hit = F.aggregate(F.filter("h", lambda x: x["step"] > F.col("i")), F.lit(0).cast("long"), lambda s, x: s + x["c"])
+    return each.select(*by, "query_id", "threshold", "clusters", hit.alias("hit")).withColumn("pct", 100.0 * F.col("hit") / F.col("clusters"))
+
+
+def summary(pct: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, query_id, pct) of some queries -> how many, and mean, deviation, least and largest pct."""
+    return pct.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("queries"), F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"), F.min("pct").alias("low"), F.max("pct").alias("high"))

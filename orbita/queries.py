@@ -6,12 +6,16 @@ structural ones against the same construction in SQL.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import thresholds, vec
 from .operators import clustering, index, metrics, search, shapes, update
+from .plans import tables as cuts
 from .sources import generators, tables
 from .streaming.cache import Cache
 
@@ -343,6 +347,36 @@ for _kind in ("exact_ball", "ellipsoid"):
 for _kind in ("ball", "box", "hull", "ellipsoid"):
     Q[f"kmeans_{_kind}_pct"] = lambda spark, sf, k=_kind: _pct(spark, sf, k, shapes.kmeans_clusters(_flat_keys(spark, sf), 100, 5))
 
+
+def _means(points: str, near: str, name: str, by: str) -> str:
+    return f"{name} AS (SELECT {by}, node_id, list(x ORDER BY i) AS center FROM (SELECT {near}.{by}, node_id, i, avg(key[i]) AS x FROM {near} JOIN {points} USING ({by}, key_id), range(1, 9) t(i) GROUP BY ALL) GROUP BY ALL)"
+
+
+_ROUNDS = ", ".join(f"{_near('f', f'c{i}', f'm{i}', 'one')}, {_means('f', f'm{i}', f'c{i + 1}', 'one')}" for i in range(5))
+_KMEANS = f"{_K8}, f AS (SELECT 0 AS one, key_id * 8 + kv_head AS key_id, key FROM k8), {_seeds('f', '100', 42, 'c0', 'one')}, {_ROUNDS}, c AS (SELECT * FROM c5), {_near('f', 'c', 'm', 'one')}, mm AS (SELECT f.key_id, key, node_id AS cluster_id FROM m JOIN f USING (key_id)), {_q8()}, q AS (SELECT query_id * 8 + q_head AS query_id, q FROM q8)"
+_BALL = f"r AS (SELECT node_id, max(sqrt(dist2)) AS radius FROM m GROUP BY ALL), b AS (SELECT query_id, node_id AS cluster_id, {_DOT.format('q', 'center')} + sqrt({_DOT.format('q', 'q')}) * radius AS bound FROM c JOIN r USING (node_id), q)"
+SQL |= {f"kmeans_{kind}_pct": f"WITH {_KMEANS}, {made} {_PCT}" for kind, made in (("ball", _BALL), ("box", _BOX), ("hull", _HULL))}
+
+SWEEP = [-0.1, 0.0, 0.05, 0.1, 0.2, 0.4]
+_UNIT = f"list_transform(key, lambda x: x / greatest(sqrt({_DOT.format('key', 'key')}), 1e-12))"
+_SWEPT = " UNION ALL ".join(f"(WITH {_FLAT.replace('AS key_id, key FROM k8', f'AS key_id, {_UNIT} AS key FROM k8') if data == 'unit' else _FLAT}, {made} SELECT '{kind}' AS shape, '{data}' AS data, query_id, cluster_id, bound FROM b)" for data in ("raw", "unit") for kind, made in (("ball", _BALL), ("box", _BOX), ("hull", _HULL)))
+
+
+@query(
+    f"WITH bounds AS ({_SWEPT}), p AS (SELECT shape, data, query_id, t AS threshold, 100.0::DOUBLE * sum((bound >= t)::INT) / count(*) AS pct FROM bounds, (SELECT unnest({SWEEP})::DOUBLE AS t) GROUP BY ALL) "
+    "SELECT shape, data, threshold, count(*) AS queries, round(avg(pct), 6) AS mean, round(stddev_pop(pct), 6) AS std, round(min(pct), 6) AS low, round(max(pct), 6) AS high FROM p GROUP BY ALL"
+)
+def threshold_sweep(spark, sf):
+    """Shapes, thresholds and two distributions of keys: shares of clusters that a query can't exclude."""
+    q, found = _flat_queries(spark, sf, 0.0), []
+    for data in ("raw", "unit"):
+        keys = _flat_keys(spark, sf)
+        members, centers = shapes.random_clusters(keys.withColumn("key", vec.normalized("key")) if data == "unit" else keys)
+        found += [shapes.bounds(kind, shapes.MAKE[kind](members, centers), q).select(F.lit(kind).alias("shape"), F.lit(data).alias("data"), "query_id", "cluster_id", "bound") for kind in ("ball", "box", "hull")]
+    pct = shapes.sweep(reduce(DataFrame.unionByName, found), SWEEP, ["shape", "data"])
+    return _rounded(shapes.summary(pct, ["shape", "data", "threshold"]), "mean", "std", "low", "high")
+
+
 _PARTS = "f AS (SELECT key_id * 8 + kv_head AS key_id, key FROM k8), parts AS (SELECT s::INT AS sub, key_id, list_slice(key, s * 2 + 1, s * 2 + 2) AS key FROM f, range(4) t(s))"
 _PQ = (
     f"{_K8}, {_PARTS}, {_seeds('parts', '8', 42, 'w', 'sub')}, "
@@ -404,6 +438,14 @@ def traversal_stats(spark, sf):
     return metrics.traversal(index.build(_keys(spark, sf), 2, BF), _head_queries(spark, sf, 0.2), "scan")
 
 
+@query(
+    f"WITH {_ACT}, k AS (SELECT query_id, q_head, count(*) AS active FROM act GROUP BY ALL), z AS (SELECT query_id, q_head, count(*) AS active FROM act JOIN a1 USING (kv_head, node_id) GROUP BY ALL), t1 AS (SELECT kv_head, count(*) AS total FROM n1 GROUP BY ALL), t0 AS (SELECT kv_head, count(*) AS total FROM k8 GROUP BY ALL) "
+    "SELECT query_id, q_head, t1.total AS parents_total, coalesce(k.active, 0) AS parents_passed, round(coalesce(k.active, 0) / t1.total, 6) AS parent_rate, t0.total AS children_total, coalesce(z.active, 0) AS children_scored, round(coalesce(z.active, 0) / t0.total, 6) AS child_rate FROM q8 JOIN t1 USING (kv_head) JOIN t0 USING (kv_head) LEFT JOIN k USING (query_id, q_head) LEFT JOIN z USING (query_id, q_head)"
+)
+def two_level_rates(spark, sf):
+    return _rounded(metrics.rates(index.build(_keys(spark, sf), 2, BF), _head_queries(spark, sf, 0.2), "scan"), "parent_rate", "child_rate")
+
+
 @query(f"WITH {_ACT}, z AS (SELECT query_id, q_head, count(*) AS active FROM act JOIN a1 USING (kv_head, node_id) GROUP BY ALL) SELECT query_id, q_head, round(coalesce(active, 0) / (SELECT count(*) FROM embeddings), 6) AS fraction FROM q8 LEFT JOIN z USING (query_id, q_head)")
 def scanned_fraction(spark, sf):
     return _rounded(metrics.scanned_fraction(index.build(_keys(spark, sf), 2, BF), _head_queries(spark, sf, 0.2), "scan"), "fraction")
@@ -415,9 +457,12 @@ def search_recall(spark, sf):
     return metrics.recall(search.flat_scan(k, q), search.tree_search(index.build(k, 3, BF, arrow=True), q))
 
 
-@query("SELECT (i - 1)::INT AS dim, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, round(median(v), 6) AS median FROM (SELECT i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)) GROUP BY i")
+@query(
+    "WITH v AS (SELECT i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), m AS (SELECT i, avg(v) AS mu FROM v GROUP BY i), p AS (SELECT i, avg((v - mu) ** 2) AS m2, avg((v - mu) ** 3) AS m3, avg((v - mu) ** 4) AS m4 FROM v JOIN m USING (i) GROUP BY i) "
+    "SELECT (i - 1)::INT AS dim, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, round(median(v), 6) AS median, round(any_value(m3 / m2 ** 1.5), 6) AS skew, round(any_value(m4 / m2 ** 2 - 3), 6) AS kurt FROM v JOIN p USING (i) GROUP BY i"
+)
 def vector_moments(spark, sf):
-    return _rounded(metrics.moments(_wide(spark, sf)).drop("skew", "kurt"), "mean", "std", "low", "high", "median")
+    return _rounded(metrics.moments(_wide(spark, sf)), "mean", "std", "low", "high", "median", "skew", "kurt")
 
 
 @query(f"WITH {_K8}, n AS (SELECT kv_head, sqrt({_DOT.format('key', 'key')}) AS n FROM k8) SELECT kv_head, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, round(min(n), 6) AS low, round(max(n), 6) AS high FROM n GROUP BY ALL")
@@ -427,10 +472,54 @@ def norm_stats(spark, sf):
 
 @query("WITH v AS (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT count(*) AS n, avg(v) AS mu, var_pop(v) AS var, min(v) AS lo, max(v) AS hi FROM v), f AS (SELECT 'normal' AS name, mu AS a, sqrt(var) AS b, -n / 2.0::DOUBLE * (ln(2 * pi() * var) + 1) AS loglik, n FROM s UNION ALL SELECT 'uniform', lo, hi, -n * ln(hi - lo), n FROM s) SELECT name, round(a, 6) AS a, round(b, 6) AS b, round(loglik, 4) AS loglik, round(4 - 2 * loglik, 4) AS aic, round(2 * ln(n) - 2 * loglik, 4) AS bic FROM f")
 def distribution_fits(spark, sf):
-    got = metrics.normal_fit(_wide(spark, sf).select(F.explode("key").alias("v")).select(F.col("v").cast("double").alias("v")))
+    got = metrics.normal_fit(_values(spark, sf))
     return got.select("name", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), *(F.round(c, 4).alias(c) for c in ("loglik", "aic", "bic")))
 
 
+_V = "v AS (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT count(*) AS n, avg(v) AS mu, stddev_pop(v) AS std, var_pop(v) AS var, min(v) AS lo, max(v) AS hi FROM v)"
+
+
+def _em(rounds: int) -> str:
+    """Two components; a CTE a round: parameters, then shares of each value."""
+    steps = ["p0 AS (SELECT 0.5::DOUBLE AS w0, lo + 0.25 * (hi - lo) AS m0, var AS v0, 0.5::DOUBLE AS w1, lo + 0.75 * (hi - lo) AS m1, var AS v1 FROM s)"]
+    log = lambda j: f"ln(w{j}) - 0.5 * (ln(2 * pi() * v{j}) + (v - m{j}) ** 2 / v{j})"
+    for t in range(rounds):
+        steps.append(f"r{t} AS (SELECT v, p{t}.*, 1 / (1 + exp(({log(1)}) - ({log(0)}))) AS r FROM v, p{t})")
+        sums = ", ".join(f"any_value(m{j}) AS o{j}, sum({r}) AS n{j}, sum({r} * (v - m{j})) AS f{j}, sum({r} * (v - m{j}) ** 2) AS q{j}" for j, r in ((0, "r"), (1, "(1 - r)")))
+        steps.append(f"p{t + 1} AS (SELECT " + ", ".join(f"n{j} / (n0 + n1) AS w{j}, o{j} + f{j} / n{j} AS m{j}, q{j} / n{j} - (f{j} / n{j}) ** 2 AS v{j}" for j in (0, 1)) + f" FROM (SELECT {sums} FROM r{t}))")
+    steps.append(f"e AS (SELECT p{rounds}.*, sum(ln(exp({log(0)}) + exp({log(1)}))) AS loglik FROM v, p{rounds} GROUP BY ALL)")
+    return ", ".join(steps)
+
+
+@query(
+    f"WITH {_V}, {_em(10)} SELECT j::INT AS part, round(CASE j WHEN 0 THEN w0 ELSE w1 END, 5) AS weight, round(CASE j WHEN 0 THEN m0 ELSE m1 END, 5) AS mean, round(sqrt(CASE j WHEN 0 THEN v0 ELSE v1 END), 5) AS std, round(loglik, 3) AS loglik, round(10 - 2 * loglik, 3) AS aic, round(5 * ln(n) - 2 * loglik, 3) AS bic FROM e, s, range(2) t(j)"
+)
+def mixture_fit(spark, sf):
+    """Two normals over all components of all vectors, ten rounds of EM."""
+    got = metrics.mixture_fit(_values(spark, sf), 2, 10)
+    return got.select("part", *(F.round(c, 5).alias(c) for c in ("weight", "mean", "std")), *(F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic")))
+
+
+def _phi(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419::DOUBLE * abs({z})))"
+    tail = f"exp(-(({z}) ** 2) / 2) / sqrt(2 * pi()) * {t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query(
+    f"WITH {_V}, {_em(10)}, d AS (SELECT v, count(*) AS c FROM v GROUP BY v), k AS (SELECT v, c, sum(c) OVER (ORDER BY v) AS upto FROM d), "
+    f"f AS (SELECT upto / n AS high, (upto - c) / n AS low, {_phi('((v - mu) / std)')} AS normal, (v - lo) / (hi - lo) AS uniform, w0 * ({_phi('((v - m0) / sqrt(v0))')}) + w1 * ({_phi('((v - m1) / sqrt(v1))')}) AS mixture FROM k, s, e) "
+    + " UNION ALL ".join(f"SELECT '{x}' AS name, round(max(greatest(high - {x}, {x} - low)), 6) AS ks FROM f" for x in ("normal", "uniform", "mixture"))
+)
+def fit_distances(spark, sf):
+    """Kolmogorov-Smirnov distances of the fits."""
+    return _rounded(metrics.fit_distances(_values(spark, sf), 2, 10), "ks")
+
+
+def _values(spark, sf):
+    return _wide(spark, sf).select(F.explode("key").alias("v")).select(F.col("v").cast("double").alias("v"))
+
+
 @query(f"WITH {_K8}, n AS (SELECT kv_head, key_id, list_transform(key, lambda x: x / greatest(sqrt({_DOT.format('key', 'key')}), 1e-12)) AS u FROM k8) SELECT kv_head, key_id, round({_DOT.format('u', 'u')}, 6) AS length FROM n")
 def normalized_keys(spark, sf):
     return _keys(spark, sf).select("kv_head", "key_id", F.round(vec.dot(vec.normalized("key"), vec.normalized("key")), 6).alias("length"))
@@ -468,6 +557,23 @@ def cache_flush_search(spark, sf):
     return _shown(cache.search(_head_queries(spark, sf), 0))
 
 
+@query(BRUTE8)
+def cache_reopened_search(spark, sf):
+    """State in a folder: half is taken by one cache, the rest by another that finds what the first left."""
+    config = Config(update_every=1, num_levels=2, branching_factor=BF, max_iterations=0)
+    k, folder = _keys(spark, sf), f"{cuts.folder(spark)}/orbita-tables/state-{uuid.uuid4().hex}"
+    Cache(config, 1, arrow=True, folder=folder).update(k.filter("key_id % 2 = 0"), 0, 0)
+    again = Cache(config, 1, arrow=True, folder=folder)
+    for batch, part in ((0, "key_id % 2 = 0"), (1, "key_id % 4 = 1"), (2, "key_id % 4 = 3")):
+        again.update(k.filter(part), 0, batch)
+    return _shown(again.search(_head_queries(spark, sf), 0))
+
+
+@query(BRUTE8)
+def leaf_block_search(spark, sf):
+    return _shown(search.tree_search(index.laid_out(index.build(_keys(spark, sf), 3, BF, arrow=True), block_keys=512), _head_queries(spark, sf)))
+
+
 @query(f"SELECT conv_id, turn, CASE WHEN trim(text, '{tables.SPACES}') != '' THEN trim(text, '{tables.SPACES}') ELSE trim(role, '{tables.SPACES}') END AS prompt FROM conversations WHERE trim(coalesce(text, ''), '{tables.SPACES}') != '' OR trim(coalesce(role, ''), '{tables.SPACES}') != ''")
 def prompt_pick(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet")

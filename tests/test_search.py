@@ -400,3 +400,62 @@ def test_leaf_blocks_are_read_by_need(spark):
     assert full.blocks.select("key_id").distinct().count() == full.blocks.count() == 400
     same(found(search.tree_search(full, q)), brute(rows, asks))
     assert search.probe(full, q, 2).count() == search.probe(index.Index(full.keys, full.leaf, full.nodes, 3, 8), q, 2).count()
+
+
+def test_one_pass_answers_all_thresholds(spark):
+    r = random.Random(2)
+    rows = [("s" if i % 3 else "t", i % 5, i, r.choice((-1.0, 0.0, 0.5, r.gauss(0, 1)))) for i in range(400)]
+    steps = [0.5, -1.0, 0.0, 3.5, 0.5]
+    got = {(x["shape"], x["query_id"], x["threshold"]): (x["clusters"], x["hit"]) for x in shapes.sweep(spark.createDataFrame(rows, "shape string, query_id long, cluster_id long, bound double"), steps, ["shape"]).collect()}
+    own = lambda s, q: [b for x, y, _, b in rows if (x, y) == (s, q)]
+    assert got == {(s, q, t): (len(own(s, q)), sum(b >= t for b in own(s, q))) for s in "st" for q in range(5) for t in set(steps)}
+
+
+def test_mixture_and_distances(spark):
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.normal(-3, 0.5, 300), r.normal(2, 1.5, 700), [1.25] * 60])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+    parts, loglik, n = metrics.mixture(df, 2, 8)
+    w, m, s2 = np.array([0.5, 0.5]), v.min() + (v.max() - v.min()) * np.array([0.25, 0.75]), np.full(2, v.var())
+    density = lambda: w / np.sqrt(2 * np.pi * s2) * np.exp(-((v[:, None] - m) ** 2) / (2 * s2))
+    for _ in range(8):
+        share = density() / density().sum(1, keepdims=True)
+        w, m = share.mean(0), (share * v[:, None]).sum(0) / share.sum(0)
+        s2 = (share * (v[:, None] - m) ** 2).sum(0) / share.sum(0)
+    assert np.allclose(parts, np.c_[w, m, s2]) and n == len(v) and loglik == pytest.approx(np.log(density().sum(1)).sum())
+    got = {x["name"]: x["ks"] for x in metrics.fit_distances(df, 2, 8).collect()}
+    u = np.sort(v)
+    phi = lambda z: 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
+    up, down = np.searchsorted(u, u, "right") / n, np.searchsorted(u, u, "left") / n
+    for name, f in (("normal", phi((u - v.mean()) / v.std())), ("uniform", (u - u[0]) / (u[-1] - u[0])), ("mixture", sum(w[j] * phi((u - m[j]) / np.sqrt(s2[j])) for j in (0, 1)))):
+        assert got[name] == pytest.approx(max((up - f).max(), (f - down).max()), abs=3e-7)
+    with pytest.raises(ValueError):
+        metrics.mixture(df.filter("v = 1.25"))
+
+
+def test_enclosing_shapes_of_spread_clusters(spark):
+    """Every member inside, the ball within a hundredth of the smallest; one cluster has most members, one is flat, one a point."""
+    r = np.random.default_rng(7)
+    sets = {0: r.normal(size=(3000, 3)) * [3, 1, 0.2], 1: r.normal(size=(40, 1)) * np.ones(3), 2: np.ones((5, 3)), 3: r.uniform(-1, 1, (200, 3)) + 9}
+    members = spark.createDataFrame([(c, c * 10_000 + i, [float(v) for v in row]) for c, x in sets.items() for i, row in enumerate(x)], "cluster_id long, key_id long, key array<double>").repartition(4)
+    balls = {x["cluster_id"]: x for x in shapes.exact_balls(members).collect()}
+    bodies = {x["cluster_id"]: x for x in shapes.ellipsoids(members).collect()}
+    assert set(balls) == set(bodies) == set(sets)
+    for c, x in sets.items():
+        far = np.sqrt(((x - np.array(balls[c]["center"])) ** 2).sum(1)).max()
+        assert far <= balls[c]["radius"] + 1e-9 and balls[c]["radius"] <= 1.01 * shapes.smallest_ball(x, 20_000)[1] + 1e-9
+        a, center = np.array(bodies[c]["inv_shape"]), np.array(bodies[c]["center"])
+        d = x - center
+        assert (np.einsum("ij,jk,ik->i", d, np.linalg.pinv(a), d) <= 1 + 1e-6).all()
+        if c in (0, 3):
+            _, best = shapes.covering_ellipsoid(x, 1e-7, 20_000)
+            assert np.sqrt(np.linalg.det(a) / np.linalg.det(best)) < 1.1
+
+
+def test_two_level_rates(spark):
+    k, _ = data(spark, 50, 3)
+    q, _ = asked(spark, 3, (1.0,))
+    tree = index.build(k, 2, 5)
+    for x in metrics.rates(tree, q).collect():
+        assert x["parents_total"] == 10 and x["children_total"] == 50
+        assert x["parent_rate"] == x["parents_passed"] / 10 and x["child_rate"] == x["children_scored"] / 50
