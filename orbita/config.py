@@ -22,8 +22,10 @@ class Config:
             raise ValueError("mode is exact or scan")
         if self.mode == "scan" and self.num_levels not in (2, 3):
             raise ValueError("scan mode is for two or three levels")
-        if min(self.update_every, self.num_levels, self.branching_factor) < 1:
-            raise ValueError("update_every, num_levels and branching_factor are at least 1")
+        if min(self.update_every, self.num_levels, self.branching_factor, self.sample_size) < 1:
+            raise ValueError("update_every, num_levels, branching_factor and sample_size are at least 1")
+        if self.threshold_method not in ("topk", "sample_max", "sample_mean_topk"):
+            raise ValueError("threshold_method is topk, sample_max or sample_mean_topk")
 
     @classmethod
     def from_dict(cls, given: dict[str, Any]) -> Config:

@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import tables
+from ..plans import ranks, tables
+from . import vec
 
 DIGIT = 16
 #: Candidates of a place that may be gathered and sorted.
@@ -103,3 +104,31 @@ def midpoint(scores: DataFrame, by: list[str]) -> DataFrame:
     upper = lambda n: _clamped(n + 1 - F.floor(n / 2), n)
     both = selected(scores, by, {"high": upper, "low": lambda n: _clamped(n - F.floor(n / 2), n)})
     return both.select(*by, ((F.col("high") + F.col("low")) / 2).alias("threshold"))
+
+
+def sampled(config, keys: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """query_id, q_head, threshold, by the config's method, from its sample of each head's keys.
+
+    topk: the score of the k-th key, by the sample's share; sample_max: the sample's best score;
+    sample_mean_topk: the mean of the sample's k best (of all, where there are fewer).
+    """
+    few = ranks.numbered(keys.select("kv_head", "key_id", "key"), ["kv_head"], _drawn("key_id"), "drawn").filter(F.col("drawn") <= config.sample_size).drop("drawn")
+    few = tables.saved(few, "sample")
+    by = ["query_id", "q_head"]
+    scores = few.join(tables.small(q.select(*by, "kv_head", "q")), "kv_head").select(*by, "kv_head", vec.score("q", "key").alias("score"))
+    if config.threshold_method == "topk":
+        share = keys.groupBy("kv_head").agg(F.count(F.lit(1)).alias("all")).join(few.groupBy("kv_head").agg(F.count(F.lit(1)).alias("some")), "kv_head")
+        place = F.greatest(F.lit(1), F.round(F.lit(k) * F.col("some") / F.col("all")))
+        wide = scores.join(tables.small(share), "kv_head").withColumn("wanted", place.cast("long"))
+        return selected(wide, [*by, "wanted"], {"threshold": lambda n: _clamped(n + 1 - F.col("wanted"), n)}).select(*by, "threshold")
+    if config.threshold_method == "sample_max":
+        return scores.groupBy(*by).agg(F.max("score").alias("threshold"))
+    best = selected(scores, by, {"least": lambda n: _clamped(n + 1 - k, n)})
+    # ties at the k-th count as often as they fill up k
+    over = scores.join(tables.small(best), by).groupBy(*by, "least", "n").agg(F.sum(F.when(F.col("score") > F.col("least"), F.col("score"))).alias("above"), F.count(F.when(F.col("score") > F.col("least"), 1)).alias("c"))
+    size = F.least(F.lit(k), F.col("n"))
+    return over.select(*by, ((F.coalesce("above", F.lit(0.0)) + (size - F.col("c")) * F.col("least")) / size).alias("threshold"))
+
+
+def _drawn(key: str) -> list:
+    return [F.xxhash64(F.lit(17), key), F.col(key)]

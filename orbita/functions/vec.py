@@ -85,7 +85,16 @@ def unpacked(code, m: int, nbits: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), value)
 
 
-def checked(key, size: int) -> Column:
-    """The vector; an error where its dimension differs or a component is null or NaN."""
-    ok = (F.size(_c(key)) == size) & F.forall(_c(key), lambda x: x.isNotNull() & ~F.isnan(x))
-    return F.when(F.assert_true(F.coalesce(ok, F.lit(False)), f"a vector of {size} numbers is needed").isNull(), _c(key))
+def checked(key, size: int | None = None) -> Column:
+    """The vector; an error where a component is null or NaN, or its dimension isn't ``size``."""
+    ok = F.forall(_c(key), lambda x: x.isNotNull() & ~F.isnan(x))
+    if size is not None:
+        ok = ok & (F.size(_c(key)) == size)
+    what = "numbers only" if size is None else f"{size} numbers"
+    return F.when(F.assert_true(F.coalesce(ok, F.lit(False)), f"a vector of {what} is needed").isNull(), _c(key))
+
+
+def score(q, key) -> Column:
+    """The inner product; an error where the dimensions differ."""
+    same = F.assert_true(F.size(_c(q)) == F.size(_c(key)), "queries and keys have different dimensions")
+    return F.when(same.isNull(), dot(q, key))

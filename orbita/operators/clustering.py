@@ -21,7 +21,8 @@ def seeds(keys: DataFrame, count, seed: int, by: list[str]) -> DataFrame:
     """(by, node_id, center): the first ``count`` keys of each group in seed order; count is a column over n."""
     sizes = tables.small(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
     ranked = ranks.numbered(keys.select(*by, "key_id", "key"), by, seed_order(seed), "k")
-    return ranked.join(sizes, by).filter(F.col("k") <= count(F.col("n"))).select(*by, F.col("key_id").alias("node_id"), F.transform("key", lambda x: x.cast("double")).alias("center"))
+    # aliases: a caller may join the seeds with the keys they came from
+    return ranked.join(sizes, by).filter(F.col("k") <= count(F.col("n"))).select(*(F.col(c).alias(c) for c in by), F.col("key_id").alias("node_id"), F.transform("key", lambda x: x.cast("double")).alias("center"))
 
 
 def nearest_assign(points: DataFrame, centers: DataFrame, by: list[str], arrow: bool = False) -> DataFrame:

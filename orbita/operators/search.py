@@ -27,10 +27,10 @@ def head_map(q_heads: int, kv_heads: int, explicit: list[int] | None = None) ->
 def queries(df: DataFrame, threshold=None, scaling=None, mapping: list[int] | None = None, size: int | None = None) -> DataFrame:
     """query_id, q_head, q (and threshold, scaling, kv_head) -> the full schema of a query.
 
-    With ``size``, a query that isn't a vector of so many numbers is an error when it is read.
+    A query that isn't a vector of numbers (of ``size``, if given) is an error when it is read, and so is one of
+    another dimension than the keys it meets.
     """
-    if size is not None:
-        df = df.withColumn("q", vec.checked("q", size))
+    df = df.withColumn("q", vec.checked("q", size))
     if mapping is not None:
         df = df.withColumn("kv_head", F.element_at(F.array(*map(F.lit, mapping)), F.col("q_head") + 1))
     elif "kv_head" not in df.columns:
@@ -49,12 +49,12 @@ def flat_scan(keys: DataFrame, q: DataFrame, arrow: bool = False) -> DataFrame:
     """Every key against every query of its head."""
     if arrow and q.count() <= tables.BROADCAST_ROWS:
         return blocks.scan(keys, q)
-    s = vec.dot("q", "key")
+    s = vec.score("q", "key")
     return keys.join(small(q), "kv_head").filter(s >= F.col("threshold")).select(*HIT[:-1], (s * F.col("scaling")).alias("score"))
 
 
 def all_scores(keys: DataFrame, q: DataFrame) -> DataFrame:
-    return keys.join(small(q), "kv_head").select(*HIT[:-1], (vec.dot("q", "key") * F.col("scaling")).alias("score"))
+    return keys.join(small(q), "kv_head").select(*HIT[:-1], (vec.score("q", "key") * F.col("scaling")).alias("score"))
 
 
 def gate(mode: str):
@@ -99,7 +99,7 @@ def tree_search(index: Index, q: DataFrame, mode: str = "exact") -> DataFrame:
         return flat_scan(index.keys, q)
     if mode == "scan" and index.depth > 3:
         raise ValueError("scan mode is for two or three levels")
-    s, found = vec.dot("q", "key"), candidates(index, q, mode)
+    s, found = vec.score("q", "key"), candidates(index, q, mode)
     if mode == "exact":
         found = found.filter(s >= F.col("threshold"))
     return found.select(*HIT[:-1], (s * F.col("scaling")).alias("score"))
@@ -126,4 +126,4 @@ def probe(index: Index, q: DataFrame, parents: int) -> DataFrame:
         kids = blocks_in_reach(index, best)
     else:
         kids = index.leaf.join(best, ["kv_head", "parent_id"]).join(index.keys.select("kv_head", "key_id", "key"), ["kv_head", "key_id"])
-    return kids.select(*HIT[:-1], (vec.dot("q", "key") * F.col("scaling")).alias("score"))
+    return kids.select(*HIT[:-1], (vec.score("q", "key") * F.col("scaling")).alias("score"))

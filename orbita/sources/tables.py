@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clustering import seed_order
+from . import npz
 
 
 def sample(df: DataFrame, n: int, seed: int = 0, key: str = "key_id") -> DataFrame:
@@ -21,12 +22,8 @@ def keys(spark: SparkSession, path: str, n: int = 0, seed: int = 0) -> DataFrame
 
 
 def npz_keys(spark: SparkSession, path: str, array: str = "keys", kv_head: int = 0) -> DataFrame:
-    """Keys from a NumPy archive (driver-sized files)."""
-    import numpy as np
-
-    with np.load(path) as z:
-        x = np.asarray(z[array], dtype=np.float32).reshape(-1, z[array].shape[-1])
-    return spark.createDataFrame([(kv_head, i, r) for i, r in enumerate(x.tolist())], "kv_head int, key_id long, key array<float>")
+    """Keys from a NumPy archive or a folder of them, read by row ranges."""
+    return npz.read(spark, path, array, kv_head)
 
 
 def save(df: DataFrame, path: str, about: dict[str, Any]) -> None:

@@ -459,3 +459,52 @@ def test_two_level_rates(spark):
     for x in metrics.rates(tree, q).collect():
         assert x["parents_total"] == 10 and x["children_total"] == 50
         assert x["parent_rate"] == x["parents_passed"] / 10 and x["child_rate"] == x["children_scored"] / 50
+
+
+def test_archives_are_read_and_written_by_parts(spark, tmp_path):
+    from orbita.sources import npz
+
+    x = np.random.default_rng(1).normal(size=(5000, 6)).astype(np.float32)
+    np.savez(tmp_path / "plain.npz", keys=x, other=np.arange(3))
+    np.savez_compressed(tmp_path / "packed.npz", keys=np.asfortranarray(x[:50]))
+    np.savez(tmp_path / "wide.npz", keys=x[:40].astype(np.float64).reshape(2, 20, 6))
+    for name, want, parts in (("plain", x, 6), ("packed", x[:50], 1), ("wide", x[:40], 1)):
+        got = npz.read(spark, f"{tmp_path}/{name}.npz", part_bytes=1000 * 24)
+        assert got.rdd.getNumPartitions() >= min(parts, 5)
+        rows = sorted(got.collect(), key=lambda r: r["key_id"])
+        assert [r["key_id"] for r in rows] == list(range(len(want))) and np.array_equal(np.array([r["key"] for r in rows], np.float32), want)
+    keys = npz.read(spark, f"{tmp_path}/plain.npz", kv_head=2)
+    (tmp_path / "out").mkdir()
+    npz.write(keys.repartition(3), f"{tmp_path}/out", file_bytes=20_000)
+    npz.write(keys.limit(10), f"{tmp_path}/out")
+    back = npz.read(spark, f"{tmp_path}/out")
+    assert back.count() == 5010 and back.select("key_id").distinct().count() == 5010
+    total = lambda d: d.selectExpr("sum(aggregate(key, 0D, (s, v) -> s + v)) s").first()["s"]
+    assert total(back) == pytest.approx(total(keys) + total(keys.limit(10)))
+    (tmp_path / "out" / "part-stray.npz").write_bytes(b"left by a lost run")
+    assert npz.read(spark, f"{tmp_path}/out").count() == 5010
+    npz.write(keys.limit(7), f"{tmp_path}/out", "overwrite")
+    assert npz.read(spark, f"{tmp_path}/out").count() == 7
+    assert tables.npz_keys(spark, f"{tmp_path}/plain.npz").count() == 5000
+
+
+def test_dimensions_are_checked_by_default(spark):
+    k, _ = data(spark, 5, 3, heads=1)
+    for bad, why in (([1.0, 2.0], "different dimensions"), ([1.0, None, 2.0], "numbers only"), ([1.0, float("nan"), 0.0], "numbers only")):
+        q = search.queries(spark.createDataFrame([(0, 0, bad, 0.0)], QUERIES))
+        for run in (lambda: search.flat_scan(k, q).collect(), lambda: search.all_scores(k, q).collect()):
+            with pytest.raises(Exception, match=why):
+                run()
+
+
+def test_sampled_thresholds(spark):
+    k, rows = data(spark, 60, 3)
+    q, asks = asked(spark, 3, (0.0, 1.0))
+    scores = {(i, h): sorted((sum(a * b for a, b in zip(v, x)) for g, _, x in rows if g == h), reverse=True) for i, h, v, _ in asks}
+    for method, pick in (("topk", lambda s: s[4]), ("sample_max", lambda s: s[0]), ("sample_mean_topk", lambda s: sum(s[:5]) / 5)):
+        got = {(r["query_id"], r["q_head"]): r["threshold"] for r in thresholds.sampled(Config(threshold_method=method), k, q, 5).collect()}
+        assert got == pytest.approx({key: pick(s) for key, s in scores.items()})
+        some = {(r["query_id"], r["q_head"]): r["threshold"] for r in thresholds.sampled(Config(threshold_method=method, sample_size=12), k, q, 5).collect()}
+        assert all(scores[key][-1] <= t <= scores[key][0] + 1e-9 for key, t in some.items()) and len(some) == 4
+    with pytest.raises(ValueError):
+        Config(threshold_method="other")
