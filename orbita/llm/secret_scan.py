@@ -16,8 +16,10 @@ kind ``random``.
 Positions count code points, end exclusive; a span is the whole match.
 
 Defined results: null text is empty; a document without spans has the empty
-string in spans and base_sha256 of the empty string; repeated rows give
-repeated results; empty tables give no rows; other columns are ignored.
+string in spans and base_sha256 of the empty string; spans with equal places stand in
+the order of kinds; equal strings are judged alike; repeated rows give repeated results;
+texts of any length are read whole, in time and memory that grow with them; empty tables
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,19 +43,13 @@ ALPHABETS = (("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 16), ("bas
 BINS = 64
 
 
-def _spans(text: str, pattern: str, kind: int, keep: str) -> str:
-    """SQL: array of (start, kind, end, value) of the leftmost non-overlapping matches.
+def _matches(text: str, pattern: str, kind: int, guard: str) -> str:
+    """SQL: array of (kind, i, gap, v), the leftmost non-overlapping matches in order with the code points before each.
 
-    Gaps between matches come from the same pattern's split, so starts are the
-    sums of what stands before.  ``keep`` filters on value v.
+    Gaps between matches come from the same pattern's split.  ``guard`` is a cheap test that has no false negatives.
     """
-    matches, gaps = f"regexp_extract_all({text}, r'{pattern}', 0)", f"split({text}, r'{pattern}', -1)"
-    fold = f"""aggregate(zip_with({matches}, {gaps}, (m, g) -> struct(coalesce(m, '') as m, m is null as last, g)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int,v:string>>)),
-        (s, x) -> named_struct('at', s.at + char_length(x.g) + char_length(x.m),
-          'out', if(x.last, s.out, concat(s.out, array(named_struct('start', s.at + char_length(x.g), 'kind', {kind}, 'end', s.at + char_length(x.g) + char_length(x.m), 'v', x.m))))),
-        s -> s.out)"""
-    return f"filter({fold}, s -> {keep})"
+    found = f"zip_with(regexp_extract_all({text}, r'{pattern}', 0), transform(split({text}, r'{pattern}', -1), g -> char_length(g)), (v, g) -> struct(v, g))"
+    return f"if({guard}, transform(filter({found}, x -> x.v is not null), (x, i) -> struct({kind} as kind, i, x.g as gap, x.v as v)), cast(array() as array<struct<kind:int,i:int,gap:int,v:string>>))"
 
 
 def _quoted(pattern: str) -> str:
@@ -109,36 +105,50 @@ def rejection_limits(tested: DataFrame) -> DataFrame:
     return ranked.filter(ok <= rate(F.col("least")) * F.col("rank") / F.col("m")).groupBy("enc", "stratum").agg(F.min("bin").alias("limit"))
 
 
+def located(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id) of every document, and (row, kind, start, end, value) of base spans and of candidates beside them.
+
+    A match is a row of its own from here on; places are sums over one document's matches, so time and
+    memory grow with the matches, whatever a text holds.
+    """
+    quoted = _quoted(ASSIGN)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    every = [
+        _matches("t", quoted, 0, "t rlike '(?i:passw|secret|token|api_?key)'"),
+        _matches("t", ACCESS, 1, "contains(t, 'AKIA')"),
+        _matches("t", HEX[:-1] + "{32,}", 2, "t rlike '[0-9a-f]{32}'"),
+        _matches("t", CANDIDATE, 3, "t rlike '[A-Za-z0-9+/_-]{20}'"),
+    ]
+    # written, so that row numbers stay
+    rows = shared.written(rows.select("row", "doc_id", F.expr(f"concat({', '.join(every)})").alias("matches")), "matches")
+    some = rows.select("row", F.explode("matches").alias("m")).select("row", "m.kind", "m.i", "m.gap", "m.v")
+    upto = F.sum(F.col("gap") + F.char_length("v")).over(Window.partitionBy("row", "kind").orderBy("i")).cast("int")  # one document's
+    spans = some.withColumn("end", upto).withColumn("start", F.col("end") - F.char_length("v"))
+    keep = F.when(F.col("kind") == 0, F.char_length(F.regexp_extract("v", ASSIGN, 2)) >= 8).when(F.col("kind") == 1, F.char_length("v") >= 16).when(F.col("kind") == 2, True).otherwise(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]"))
+    spans = spans.filter(keep).select("row", "kind", "start", "end", F.when(F.col("kind") == 3, F.col("v")).alias("value"))
+    # a candidate overlaps a base span that began before and hasn't ended, or one that begins inside
+    base = F.col("kind") < 3
+    before = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", "kind"))
+    after = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("kind").desc()))
+    seen = spans.withColumn("before", before).withColumn("after", after)
+    free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.col("after").isNull() | (F.col("after") >= F.col("end")))
+    return rows.select("row", "doc_id"), shared.written(seen.filter(base | free).drop("before", "after"), "spans")
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    none = "cast(array() as array<struct<start:int,kind:int,end:int,v:string>>)"
-    assign = _spans("t", _quoted(ASSIGN), 0, f"char_length(regexp_extract(s.v, r'{_quoted(ASSIGN)}', 2)) >= 8")
-    access = _spans("t", ACCESS, 1, "char_length(s.v) >= 16")
-    hexes = _spans("t", HEX[:-1] + "{32,}", 2, "true")
-    found = _spans("t", CANDIDATE, 3, "s.v rlike '[0-9]' and s.v rlike '[A-Za-z]'")
-    guarded = lambda test, spans: f"if({test}, {spans}, {none})"
-    base = rows.select(
-        "doc_id",
-        F.expr(guarded("t rlike '(?i:passw|secret|token|api_?key)'", assign)).alias("assign"),
-        F.expr(guarded("contains(t, 'AKIA')", access)).alias("access"),
-        F.expr(guarded("t rlike '[0-9a-f]{32}'", hexes)).alias("hexes"),
-        F.expr(guarded("t rlike '[A-Za-z0-9+/_-]{20}'", found)).alias("found"),
-    )
-    base = base.select("doc_id", F.expr("concat(assign, access, hexes)").alias("base"), "found")
-    base = base.withColumn("found", F.expr("filter(found, f -> not exists(base, b -> b.start < f.end and f.start < b.end))"))
-    base = shared.written(base.withColumn("base", F.expr("array_sort(transform(base, s -> struct(s.start, s.kind, s.end)))")), "spans")
+    rows, spans = located(docs, text)
     stratum = F.least(F.lit(7), F.floor(F.log2(F.col("n") / 20.0) * 2)).cast("int")
-    some = base.filter("size(found) > 0").select(F.explode("found").alias("f")).select(F.col("f.v").alias("value"))
-    tested = battery(some.groupBy("value").agg(F.count(F.lit(1)).alias("rows"))).withColumn("stratum", stratum)
-    limits = rejection_limits(tested.select("enc", "stratum", "n", "p"))
+    found = spans.filter("kind = 3")
+    tested = battery(found.groupBy("value").agg(F.count(F.lit(1)).alias("rows"))).withColumn("stratum", stratum)
+    tested = shared.written(tested.select("value", "enc", "stratum", "n", "p"), "tested")
+    limits = rejection_limits(tested)
     random = tested.join(F.broadcast(limits), ["enc", "stratum"], "left").filter(F.col("limit").isNull() | (F.floor(-2 * F.log2(F.greatest("p", F.lit(1e-300)))) < F.col("limit"))).select("value")
-    # repeated rows are one here, with their number
-    some = base.filter("size(found) > 0").groupBy("doc_id", "base", "found").agg(F.count(F.lit(1)).alias("times"))
-    hits = some.select("*", F.explode("found").alias("f")).select("*", F.col("f.v").alias("value")).join(random.withColumn("hit", F.lit(True)), "value", "left")
-    added = hits.groupBy("doc_id", "base", "found", "times").agg(F.collect_list(F.when(F.col("hit"), F.struct("f.start", "f.kind", "f.end"))).alias("added"))
-    every = base.filter("size(found) = 0").select("doc_id", "base", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("added")).unionByName(added.select("doc_id", "base", "added", F.explode(F.expr("sequence(1, times)"))).drop("col"))
+    kept = spans.filter("kind < 3").unionByName(found.join(random, "value", "left_semi").select(spans.columns))
+    lists = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
+    every = rows.join(lists, "row", "left").withColumn("all", F.coalesce("all", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")))
+    every = every.withColumn("base", F.filter("all", lambda x: x["kind"] < 3))
     names = ", ".join(f"'{k}'" for k, _ in KINDS)
     joined = lambda arr: F.expr(f"array_join(transform({arr}, s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.end)), ',')")
     count = lambda k: F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)")
-    return every.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("array_sort(concat(base, added))").alias("spans"))
+    return every.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("all").alias("spans"))
