@@ -15,8 +15,9 @@ set of page parts -- menus, notices, sidebars, forms, comments, adverts in and
 around articles of several markups, and with marks left out.
 
 Block rules: character references are decoded, white space inside a block is
-one space, blocks are trimmed, empty ones go; scripts, styles, templates and
-comments have no text, and what stands in a script or style is no markup; ``br`` is white space; an open ``p`` or ``li`` ends where
+one space, blocks are trimmed, empty ones go; scripts, styles, templates, drawings and
+comments have no text, and what stands in a script or style is no markup; one of the
+others that is left open is passed over; ``br`` is white space; an open ``p`` or ``li`` ends where
 the next begins.
 
 Defined results: null or empty html gives empty text; pages without blocks
@@ -33,6 +34,7 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -40,11 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>|([^<]+|<)", re.S)
 REST = re.compile(r"(?:<!--.*|()()()()(.+))\Z", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in ("script", "style")}
 HIDDEN = {"script", "style", "template", "noscript", "svg", "iframe", "object", "canvas"}
+#: Hidden elements that hold none of their kind: a second one says that the first was left open.
+FLAT = {"noscript", "iframe"}
+#: What can't stand in a drawing, and so ends one that was left open.
+LEAVES_SVG = {"article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "th", "tr", "ul"}
+SECTIONS = {"article", "section", "div", "main", "body", "aside", "nav"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -64,25 +71,76 @@ class Block:
         self.path, self.text, self.links = path, text, links
 
 
+class Open:
+    """Open elements, with the places of each tag, so that none is looked for by going through them."""
+
+    def __init__(self):
+        self.path: list[tuple[str, str]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, names: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.path))
+        self.path.append((tag, names))
+
+    def cut(self, at: int) -> None:
+        for tag, _ in self.path[at:]:
+            self.places[tag].pop()
+        del self.path[at:]
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost one, or -1."""
+        return own[-1] if (own := self.places.get(tag)) else -1
+
+    def first_above(self, tags: set[str], bounds: set[str]) -> int:
+        """Place of the outermost of these tags that stands inside the innermost bound; the end, if none does."""
+        bound = max(map(self.last, bounds), default=-1)
+        found = len(self.path)
+        for tag in tags:
+            own = self.places.get(tag, [])
+            if (k := bisect_right(own, bound)) < len(own):
+                found = min(found, own[k])
+        return found
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks; path is a tuple of (tag, names) of open elements that aren't inline."""
+    """Leaf blocks; path is a tuple of (tag, names) of open elements that aren't inline.
+
+    A hidden element ends at its own closing tag, and a drawing also at a block that can't stand in
+    one.  Where an element around it or the page ends first it was left open: then its tag alone is
+    skipped, and what follows is read again, once.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    opened = Open()
     parts: list[str] = []
-    links, in_link, hidden = 0, 0, ""
+    links, in_link = 0, 0
+    hidden, inner = "", []  # the hidden element that is open, and where its content and that of its kind in it begin
+    ends_at: dict[str, int] = {}
+    passed: set[int] = set()  # contents of elements that were left open
 
     def flush():
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = stack if len(stack) <= DEPTH else stack[: DEPTH // 4] + stack[-(DEPTH - DEPTH // 4) :]
+                path = opened.path if len(opened.path) <= DEPTH else opened.path[: DEPTH // 4] + opened.path[-(DEPTH - DEPTH // 4) :]
                 out.append(Block(tuple(path), text, links / max(1, len(text))))
             parts.clear()
         links = 0
 
+    def closed_after(tag: str, at: int) -> bool:
+        if tag not in ends_at:
+            ends_at[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return ends_at[tag] >= at
+
     at, last = 0, page.rfind(">")
-    while m := TOKEN.match(page, at) if at <= last else REST.match(page, at):  # no tag begins after the last >
+    while True:
+        m = TOKEN.match(page, at) if at <= last else REST.match(page, at)  # no tag begins after the last >
+        if m is None:
+            if not hidden:
+                break
+            passed.update(inner)
+            at, hidden, inner = inner[0], "", []
+            continue
         at = m.end()
         _, close, tag, rest, text = m.groups()
         tag = tag or None
@@ -99,9 +157,18 @@ def blocks(page: str) -> list[Block]:
             at = RAW[tag].search(page, at).end()
             continue
         if hidden:
-            if close and tag == hidden:
-                hidden = ""
-            continue
+            if tag == hidden and close:
+                inner.pop()
+                hidden = hidden if inner else ""
+            elif tag == hidden and hidden not in FLAT:
+                if not rest.endswith("/"):
+                    inner.append(at)
+            elif tag == hidden or (close and opened.last(tag) >= 0):  # it was left open
+                passed.update(inner)
+                at, hidden, inner = inner[0], "", []
+            if not (hidden == "svg" and not close and tag in LEAVES_SVG):
+                continue
+            hidden, inner = "", []
         if tag in INLINE:
             if tag == "br":
                 parts.append("\n")
@@ -109,29 +176,20 @@ def blocks(page: str) -> list[Block]:
                 in_link = 0 if close else 1
             continue
         if tag in HIDDEN:
-            if not close and not rest.endswith("/"):
-                hidden = tag
+            if not close and not rest.endswith("/") and at not in passed and (tag == "svg" or closed_after(tag, at)):
+                hidden, inner = tag, [at]
             continue
         flush()
         in_link = 0
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if (place := opened.last(tag)) >= 0:
+                opened.cut(place)
             continue
         if ends := CLOSES.get(tag, {"p"} if tag not in VOID else set()):
-            bound = BOUNDS.get(tag, set()) | {"article", "section", "div", "main", "body", "aside", "nav"}
-            cut = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in bound:
-                    break
-                if stack[i][0] in ends:
-                    cut = i
-            del stack[cut:]
+            opened.cut(opened.first_above(ends, BOUNDS.get(tag, set()) | SECTIONS))
         if tag not in VOID and not rest.endswith("/"):
             names = " ".join(a or b or c for a, b, c in NAMED.findall(rest)) if rest else ""
-            stack.append((tag, names.lower()))
+            opened.push(tag, names.lower())
     flush()
     return out
 
