@@ -216,18 +216,24 @@ def test_near_dedup(spark):
     assert order_minhash.near_classes(frame(spark, [])).count() == 0
 
 
-def test_sketches_meet_at_the_stated_similarity():
-    r = np.random.default_rng(4)
-    for n in (31, 60, 200):
-        for similarity, least in ((0.98, 0.99), (0.95, 0.98), (0.9, 0.9)):
+@pytest.mark.parametrize("n", [10, 31, 40, 60, 100, 140, 300, 1000])
+def test_links_meet_wherever_the_edits_are(n):
+    """Pairs of edit similarity 0.9 exactly: words replaced, deleted or inserted, at random or evenly spread."""
+    r = np.random.default_rng(n)
+    new = lambda k: r.integers(0, 1 << 62, k).astype(np.uint64)
+    keys = lambda x: np.r_[order_minhash.sketch(x), order_minhash.short_keys(x)]
+    for kind in ("replace", "delete", "insert"):
+        edits = order_minhash.most_edits(n) if kind != "insert" else max(e for e in range(n) if e <= 0.1 * (n + e) + 1e-9)
+        even = np.unique(np.linspace(n / (2 * edits), n - n / (2 * edits), edits).astype(int))
+        for spread in (False, True):
             met = 0
-            for _ in range(200):
-                a = r.integers(0, 1 << 62, n).astype(np.uint64)
-                b = a.copy()
-                at = r.choice(n, max(1, int((1 - similarity) * n + 1e-9)), replace=False)
-                b[at] = r.integers(0, 1 << 62, len(at))
-                met += bool(np.intersect1d(order_minhash.sketch(a), order_minhash.sketch(b)).size)
-            assert met >= 200 * least, (n, similarity, met)
+            for _ in range(300):
+                a, at = new(n), even if spread else r.choice(n, edits, replace=False)
+                b = np.delete(a, at) if kind == "delete" else np.insert(a, at, new(edits)) if kind == "insert" else a.copy()
+                if kind == "replace":
+                    b[at] = new(edits)
+                met += bool(np.intersect1d(keys(a), keys(b)).size)
+            assert met >= 0.9 * 300, (n, kind, spread, met)
 
 
 def test_short_links_always_meet():
