@@ -13,7 +13,9 @@ at all, so no method on five-word runs could find them.
 No bucket is gathered or expanded into pairs.  Equal texts are one node before
 that.  First each bucket's members are compared with its smallest member, and
 components are formed; a bucket whose members all have one label is done.  In the
-others, members whose label isn't the commonest there are compared with
+others, members whose label isn't the commonest there are compared with one that has
+it, and components grow; of what is still mixed (buckets of the same members count
+once), members whose label isn't the commonest are compared with
 all members of other labels and fitting length, so that of the links between
 candidates none is lost; words, and couples of adjacent words, as bags bound the
 distance from below and spare most alignments.  Joins on pairs and words are dealt at every size; keys that very
@@ -57,7 +59,7 @@ FEW_WORDS, MORE_SKETCHES = 128, 128  # texts of few words have fewer k-mers betw
 SHORT, DELETED = 36, 14  # words of texts whose links are all found; of those found by deleting words
 CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 2048, 1 << 20, 3, 4096, 4  # rows and words of a side of a block at most; of classes of length; of bags
 MEMBER = ("node", "n_words", "label", "foreign")
-SAMPLED, OFTEN = 50_000, 64  # texts sampled for keys that very many share; how often such a key stands in the sample
+SAMPLED, OFTEN, SHARES = 50_000, 64, 256  # texts sampled for keys that very many share; how often such a key stands in the sample; its shares
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = (np.arange(1, MORE_SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x5851F42D4C957F2D)
 
@@ -349,7 +351,7 @@ def fitting(rows: pa.Table, similarity: float, texts: list[np.ndarray]) -> tuple
     return one[i[order]], two[j[order]]
 
 
-def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY, keys: int | None = None) -> DataFrame:
+def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Members of mixed buckets -> (a, b) links that join different labels.
 
     A member of foreign label (not the bucket's commonest) meets the members of other
@@ -361,15 +363,11 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY, k
     with foreign members times members, not with the bucket's square.
 
     Pairs that no cheap bound rules out are aligned, the likely ones first, unless a
-    link found before in the block has joined their labels.  With ``keys`` a foreign member
-    asks in so many of its buckets only, those with most members of one label.
+    link found before in the block has joined their labels.
     """
     step = float(-np.log(min(max(similarity, 0.01), 0.99)))
     chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step * STEPS})))"
-    asks = F.col("foreign")
-    if keys:
-        asks = asks & (F.row_number().over(Window.partitionBy("node", "foreign").orderBy(F.col("others").desc(), "key")) <= keys)
-    named = named.withColumn("asks", asks)
+    named = named.withColumn("asks", F.col("foreign"))
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("asks").alias("any")).filter("any")
     sized = named.join(sizes.select("key", F.expr(f"n <= {CHUNK} and words <= {CHUNK_WORDS}").alias("small")).hint("merge"), "key")
     zero = F.lit(0)
@@ -417,30 +415,41 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY, k
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """(node, n_words, sketch) -> members of keys that two texts or more share: key, node, n_words, least (the key's smallest node).
+    """(node, n_words, sketch) -> members of keys that two texts or more share: key, node, n_words, least (the smallest node of the key, or of a share of it), often.
 
-    Keys are dealt once and looked at in order.  Those that stand ``OFTEN`` times in a
-    sample of about ``SAMPLED`` texts would make a long task; they are summed before
-    they are dealt instead.
+    Keys are dealt once and looked at in order.  Those that stand ``OFTEN`` times in a sample
+    of about ``SAMPLED`` texts would make a long task; they are dealt in shares by node.
     """
     each = lambda some: some.select("node", "n_words", F.explode("sketch").alias("key"))
     step = max(1, texts.count() // SAMPLED)
-    hot = each(texts.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN).select("key")
+    hot = each(texts.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN).select("key", F.lit(True).alias("often"))
     hot = F.broadcast(shared.written(hot, "hot-keys"))  # SAMPLED * keys of a text / OFTEN rows at most
-    by_key = Window.partitionBy("key")
-    cold = each(texts).join(hot, "key", "left_anti").select("key", "node", "n_words", F.count(F.lit(1)).over(by_key).alias("members"), F.min("node").over(by_key).alias("least"))
-    often = each(texts).join(hot, "key", "left_semi")
-    least = often.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"))
-    often = often.join(F.broadcast(least), "key").select("key", "node", "n_words", "members", "least")
-    return cold.unionByName(often).filter("members > 1").drop("members")
+    dealt = each(texts).join(hot, "key", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    share = F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SHARES))).otherwise(0)
+    by_key = Window.partitionBy("key", "share")
+    rows = dealt.withColumn("share", share.cast("int")).select("key", "node", "n_words", "often", F.count(F.lit(1)).over(by_key).alias("members"), F.min("node").over(by_key).alias("least"))
+    return rows.filter("members > 1 or often").drop("members")
+
+
+def stars_of(members: DataFrame) -> DataFrame:
+    """(a, b): each member with the smallest node of its key, by way of its share's where the key has shares."""
+    own = members.select(F.col("least").alias("a"), F.col("node").alias("b"))
+    shares = members.filter("often").select("key", "least").distinct()  # SHARES rows a key
+    tops = shares.select(F.min("least").over(Window.partitionBy("key")).alias("a"), F.col("least").alias("b"))
+    return own.unionByName(tops).filter("a != b").distinct()
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets in which labels differ: key, node, n_words, label, foreign, others (how many have the commonest label)."""
+    """Members of buckets in which labels differ: key, node, n_words, label, foreign, others (how many have the commonest label), lead (the smallest of these).
+
+    Of buckets with the same members one is enough.
+    """
     named = members.join(labels.hint("merge"), "node", "left").select("key", "node", "n_words", F.coalesce("label", "node").alias("label"))
-    by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", F.bitwise_not("label").alias("rest"))).alias("most")).filter("labels > 1").select("key", F.col("most.n").alias("others"), F.bitwise_not("most.rest").alias("main"))
-    return named.join(mixed.hint("merge"), "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), "others")
+    by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t"))
+    most = F.max(F.struct("n", F.bitwise_not("label").alias("rest"), "lead")).alias("most")
+    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"), most).filter("labels > 1")
+    mixed = mixed.groupBy("n", "s", "t", "most").agg(F.min("key").alias("key")).select("key", F.col("most.n").alias("others"), F.bitwise_not("most.rest").alias("main"), F.col("most.lead").alias("lead"))
+    return named.join(mixed.hint("merge"), "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), "others", "lead")
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -448,19 +457,21 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     rows = shared.written(sketches(docs), "sketches")
     texts = shared.written(rows.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_words", "sketch")).alias("t")).select("h1", "h2", F.col("t.doc_id").alias("node"), "t.n_words", "t.sketch"), "texts")
     members = shared.written(shared_keys(texts), "members")
-    stars = shared.written(members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    stars = shared.written(stars_of(members), "pairs")
     more = members.select(F.col("node").alias("doc_id")).distinct()  # every node that a second round may ask for
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(_words(), lambda w: F.shiftright(F.xxhash64(w), 32).cast("int")).alias("words"))
     words = shared.written(words.join(more.hint("merge"), "doc_id", "left_semi"), "words")
     tested = shared.written(verified(stars, words, similarity), "links")
     edges = tested.filter("near").select("a", "b").distinct()
     labels = components(edges)
-    # what is left: members of one bucket with different labels.
-    # First each node asks in one bucket, which joins most of what belongs together; then what is still apart in all
-    for keys in (1, None):
-        found = shared.written(across(shared.written(_apart(members, labels), "mixed"), words, similarity, keys), "links").distinct()
-        if not found.isEmpty():
-            labels = extended(labels, found)
+    # What is left: members of one bucket with different labels.  First each is compared with one of the
+    # bucket's commonest label, which joins most of what belongs together; then with all that is apart.
+    few = _apart(members, labels).filter("foreign").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    few = shared.written(few.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    for found in (lambda: verified(few, words, similarity).filter("near").select("a", "b"), lambda: across(shared.written(_apart(members, labels), "mixed"), words, similarity)):
+        new = shared.written(found(), "links").distinct()
+        if not new.isEmpty():
+            labels = extended(labels, new)
     return rows.join(texts.select("h1", "h2", "node").hint("merge"), ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), labels
 
 
