@@ -61,7 +61,7 @@ CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 2048, 1 << 20, 3, 4096, 4  # rows
 MEMBER = ("node", "n_words", "label", "foreign")
 SAMPLED, OFTEN, SHARES = 50_000, 64, 256  # texts sampled for keys that very many share; how often such a key stands in the sample; its shares
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_SEEDS = (np.arange(1, MORE_SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0x5851F42D4C957F2D)
+_LARGEST = np.uint64((1 << 64) - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -69,6 +69,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+#: Odd factors that order k-mers, one for each sketch.
+_SEEDS = _mixed(_mixed(np.arange(1, MORE_SKETCHES + 1, dtype=np.uint64) * _A) * _A) | np.uint64(1)
+
+
 def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
@@ -104,8 +108,13 @@ def sketch(words: np.ndarray, k: int = K, least: int = LEAST, count: int | None
     step = max(1, 2_000_000 // len(found))
     for at in range(0, count, step):
         seeds = _SEEDS[at : min(count, at + step)]
-        values = _mixed((marked[None, :] ^ seeds[:, None]) * _A)
-        where = np.argpartition(values, take - 1, 1)[:, :take] if take < len(found) else np.tile(np.arange(take), (len(seeds), 1))
+        # k-mers are mixed already, so an odd factor gives an order; the few least are taken one by one
+        values = marked[None, :] * seeds[:, None]
+        every = np.arange(len(seeds))
+        where = np.empty((len(seeds), take), np.int64)
+        for j in range(take):
+            where[:, j] = values.argmin(1)
+            values[every, where[:, j]] = _LARGEST
         picked = marked[np.sort(where, 1)]
         h = seeds.copy()
         for j in range(take):
@@ -368,6 +377,10 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -
     step = float(-np.log(min(max(similarity, 0.01), 0.99)))
     chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step * STEPS})))"
     named = named.withColumn("asks", F.col("foreign"))
+    # members of a length that none who ask can be near to stay out
+    asked = F.when(F.col("asks"), F.col("n_words"))
+    reach = named.groupBy("key").agg(F.min(asked).alias("low"), F.max(asked).alias("high"))
+    named = named.join(reach.hint("merge"), "key").filter((F.col("n_words") + 1 >= F.col("low") * similarity) & (F.col("n_words") * similarity <= F.col("high") + 1)).drop("low", "high")
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("asks").alias("any")).filter("any")
     sized = named.join(sizes.select("key", F.expr(f"n <= {CHUNK} and words <= {CHUNK_WORDS}").alias("small")).hint("merge"), "key")
     zero = F.lit(0)
