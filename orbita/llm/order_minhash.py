@@ -377,10 +377,6 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -
     step = float(-np.log(min(max(similarity, 0.01), 0.99)))
     chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step * STEPS})))"
     named = named.withColumn("asks", F.col("foreign"))
-    # members of a length that none who ask can be near to stay out
-    asked = F.when(F.col("asks"), F.col("n_words"))
-    reach = named.groupBy("key").agg(F.min(asked).alias("low"), F.max(asked).alias("high"))
-    named = named.join(reach.hint("merge"), "key").filter((F.col("n_words") + 1 >= F.col("low") * similarity) & (F.col("n_words") * similarity <= F.col("high") + 1)).drop("low", "high")
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("asks").alias("any")).filter("any")
     sized = named.join(sizes.select("key", F.expr(f"n <= {CHUNK} and words <= {CHUNK_WORDS}").alias("small")).hint("merge"), "key")
     zero = F.lit(0)
