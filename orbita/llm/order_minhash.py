@@ -105,7 +105,7 @@ def sketch(words: np.ndarray, k: int = K, least: int = LEAST, count: int | None
     marked = labelled(found)
     take = min(least, len(found))
     out = np.zeros(count, np.uint64)
-    step = max(1, 2_000_000 // len(found))
+    step = max(1, 250_000 // len(found))  # values of a turn stay in cache
     for at in range(0, count, step):
         seeds = _SEEDS[at : min(count, at + step)]
         # k-mers are mixed already, so an odd factor gives an order; the few least are taken one by one
@@ -376,9 +376,7 @@ def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -
     """
     step = float(-np.log(min(max(similarity, 0.01), 0.99)))
     chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step * STEPS})))"
-    named = named.withColumn("asks", F.col("foreign"))
-    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("asks").alias("any")).filter("any")
-    sized = named.join(sizes.select("key", F.expr(f"n <= {CHUNK} and words <= {CHUNK_WORDS}").alias("small")).hint("merge"), "key")
+    sized = named.withColumn("asks", F.col("foreign")).withColumn("small", F.expr(f"members <= {CHUNK} and total <= {CHUNK_WORDS}"))
     zero = F.lit(0)
     one = sized.filter("small").select("key", F.lit(-1).alias("class"), zero.alias("i"), zero.alias("j"), F.col("asks").alias("left"), F.lit(True).alias("right"), *MEMBER)
     large = sized.filter("not small").withColumn("at", F.ln(F.greatest("n_words", F.lit(1)).cast("double")) / step)
@@ -449,16 +447,16 @@ def stars_of(members: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets in which labels differ: key, node, n_words, label, foreign, others (how many have the commonest label), lead (the smallest of these).
+    """Members of buckets in which labels differ: key, node, n_words, label, foreign, members and total (of the bucket, and their words), lead (the smallest that has the commonest label).
 
     Of buckets with the same members one is enough.
     """
     named = members.join(labels.hint("merge"), "node", "left").select("key", "node", "n_words", F.coalesce("label", "node").alias("label"))
-    by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t"))
+    by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t"))
     most = F.max(F.struct("n", F.bitwise_not("label").alias("rest"), "lead")).alias("most")
-    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"), most).filter("labels > 1")
-    mixed = mixed.groupBy("n", "s", "t", "most").agg(F.min("key").alias("key")).select("key", F.col("most.n").alias("others"), F.bitwise_not("most.rest").alias("main"), F.col("most.lead").alias("lead"))
-    return named.join(mixed.hint("merge"), "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), "others", "lead")
+    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members"), F.sum("words").alias("total"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"), most).filter("labels > 1")
+    mixed = mixed.groupBy("members", "total", "s", "t", "most").agg(F.min("key").alias("key")).select("key", "members", "total", F.bitwise_not("most.rest").alias("main"), F.col("most.lead").alias("lead"))
+    return named.join(mixed.hint("merge"), "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), "members", "total", "lead")
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
