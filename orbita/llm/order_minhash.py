@@ -60,6 +60,7 @@ SHORT, DELETED = 36, 14  # words of texts whose links are all found; of those fo
 CHUNK, CHUNK_WORDS, STEPS, MOST_BINS, LEVELS = 2048, 1 << 20, 3, 4096, 4  # rows and words of a side of a block at most; of classes of length; of bags
 MEMBER = ("node", "n_words", "label", "foreign")
 SAMPLED, OFTEN, SHARES = 50_000, 64, 256  # texts sampled for keys that very many share; how often such a key stands in the sample; its shares
+PER_LABEL = 2  # a label's texts meet foreign ones at once if that makes this many times the pairs of single buckets at most
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LARGEST = np.uint64((1 << 64) - 1)
 
@@ -258,7 +259,7 @@ def _words(text: str = "text"):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, h1, h2 (128 bits of its words), n_words, sketch (and the keys of short texts)."""
+    """Per row: doc_id, h1, h2 (128 bits of its words), n_words, sketch (and the keys of short texts), words (32 bits of each)."""
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("w"))
     # the constant comes first and seeds the hash: after the words it would make h2 follow from h1
     words = words.select("doc_id", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
@@ -269,9 +270,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             flat, cuts = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *column.value_lengths().to_pylist()])
             own = [np.r_[sketch(flat[i:j]), short_keys(flat[i:j])] if j > i else np.empty(0, np.uint64) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.record_batch([*b.columns[:3], pa.array(np.diff(cuts), pa.int64()), lists], names=["doc_id", "h1", "h2", "n_words", "sketch"])
+            short = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((flat.view(np.int64) >> 32).astype(np.int32)))
+            yield pa.record_batch([*b.columns[:3], pa.array(np.diff(cuts), pa.int64()), lists, short], names=["doc_id", "h1", "h2", "n_words", "sketch", "words"])
 
-    return words.mapInArrow(run, "doc_id long, h1 long, h2 long, n_words long, sketch array<long>")
+    return words.mapInArrow(run, "doc_id long, h1 long, h2 long, n_words long, sketch array<long>, words array<int>")
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -361,29 +363,30 @@ def fitting(rows: pa.Table, similarity: float, texts: list[np.ndarray]) -> tuple
 
 
 def across(named: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Members of mixed buckets -> (a, b) links that join different labels.
+    """Rows of ``_buckets`` -> (a, b) links that join different labels.
 
-    A member of foreign label (not the bucket's commonest) meets the members of other
-    labels.  A bucket of up to ``CHUNK`` members and ``CHUNK_WORDS`` words is one block.  In
+    In a bucket those that ask meet those that answer, where their labels differ.  A bucket of up to ``CHUNK`` members and ``CHUNK_WORDS`` words is one block.  In
     larger ones lengths fall into classes, each ``similarity ** -STEPS`` times the one below,
-    and a foreign member meets those of its class, with those of both neighbours that are
+    and one that asks meets those of its class, with those of both neighbours that are
     near enough to its edge to be of fitting length.  Both sides are then cut into chunks by
     hash and each pair of chunks is one block, so no task holds a bucket, and its rows grow
-    with foreign members times members, not with the bucket's square.
+    with foreign members times members that answer, not with the bucket's square.
 
     Pairs that no cheap bound rules out are aligned, the likely ones first, unless a
     link found before in the block has joined their labels.
     """
     step = float(-np.log(min(max(similarity, 0.01), 0.99)))
     chunk = f"greatest(16, least({CHUNK}, {CHUNK_WORDS} / exp(class * {step * STEPS})))"
-    sized = named.withColumn("asks", F.col("foreign")).withColumn("small", F.expr(f"members <= {CHUNK} and total <= {CHUNK_WORDS}"))
+    named = shared.written(named, "buckets")
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
+    sized = named.join(sizes.select("key", F.expr(f"n <= {CHUNK} and words <= {CHUNK_WORDS}").alias("small")).hint("merge"), "key")
     zero = F.lit(0)
-    one = sized.filter("small").select("key", F.lit(-1).alias("class"), zero.alias("i"), zero.alias("j"), F.col("asks").alias("left"), F.lit(True).alias("right"), *MEMBER)
+    one = sized.filter("small").select("key", F.lit(-1).alias("class"), zero.alias("i"), zero.alias("j"), F.col("asks").alias("left"), F.col("answers").alias("right"), *MEMBER)
     large = sized.filter("not small").withColumn("at", F.ln(F.greatest("n_words", F.lit(1)).cast("double")) / step)
     cell = lambda x: F.floor(x / STEPS).cast("int")
     left = large.filter("asks").select("key", cell(F.col("at")).alias("class"), F.lit(True).alias("left"), F.lit(False).alias("right"), *MEMBER)
     # a little more than one step to each side: lengths and their logarithms are rounded
-    right = large.select("key", F.explode(F.array_distinct(F.array(cell(F.col("at") - 1.01), cell(F.col("at")), cell(F.col("at") + 1.01)))).alias("class"), F.lit(False).alias("left"), F.lit(True).alias("right"), *MEMBER)
+    right = large.filter("answers").select("key", F.explode(F.array_distinct(F.array(cell(F.col("at") - 1.01), cell(F.col("at")), cell(F.col("at") + 1.01)))).alias("class"), F.lit(False).alias("left"), F.lit(True).alias("right"), *MEMBER)
     counts = left.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).select("key", "class", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("lefts"))
     rights = right.join(counts.select("key", "class").hint("merge"), ["key", "class"], "left_semi")
     sides = rights.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).select("key", "class", F.expr(f"cast(ceil(n / {chunk}) as int)").alias("rights"))
@@ -446,17 +449,51 @@ def stars_of(members: DataFrame) -> DataFrame:
     return own.unionByName(tops).filter("a != b").distinct()
 
 
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets in which labels differ: key, node, n_words, label, foreign, members and total (of the bucket, and their words), lead (the smallest that has the commonest label).
+    """Members whose label isn't the commonest of their bucket: key, node, n_words, label, main (the commonest), mains (how many have it), lead (the smallest of these).
 
     Of buckets with the same members one is enough.
     """
-    named = members.join(labels.hint("merge"), "node", "left").select("key", "node", "n_words", F.coalesce("label", "node").alias("label"))
-    by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t"))
+    named = _named(members.select("key", "node", "n_words"), labels)
+    by_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t"))
     most = F.max(F.struct("n", F.bitwise_not("label").alias("rest"), "lead")).alias("most")
-    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members"), F.sum("words").alias("total"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"), most).filter("labels > 1")
-    mixed = mixed.groupBy("members", "total", "s", "t", "most").agg(F.min("key").alias("key")).select("key", "members", "total", F.bitwise_not("most.rest").alias("main"), F.col("most.lead").alias("lead"))
-    return named.join(mixed.hint("merge"), "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("main")).alias("foreign"), "members", "total", "lead")
+    mixed = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"), most).filter("labels > 1")
+    mixed = mixed.groupBy("n", "s", "t", "most").agg(F.min("key").alias("key")).select("key", F.bitwise_not("most.rest").alias("main"), F.col("most.n").alias("mains"), F.col("most.lead").alias("lead"))
+    return named.join(mixed.hint("merge"), "key").filter("label != main").select("key", "node", "n_words", "label", "main", "mains", "lead")
+
+
+def _buckets(foreign: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that ``across`` compares: key, node, n_words, label, foreign, asks, answers.
+
+    Foreign members of one bucket with different labels meet there.  With the members of the
+    commonest label they meet once for that label, whatever number of buckets they share,
+    unless its texts are so many that fewer pairs come from the single buckets.  Either way
+    every pair of a bucket meets.
+    """
+    flags = lambda f, a: (F.lit(f).alias("foreign"), F.lit(f).alias("asks"), F.lit(a).alias("answers"))
+    several = foreign.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    own = foreign.join(several.hint("merge"), "key", "left_semi").select("key", "node", "n_words", "label", *flags(True, True))
+    texts = shared.written(_named(members.select("node", "n_words").distinct(), labels), "named")
+    asking = shared.written(foreign.select("main", "node", "n_words", "label").distinct(), "asking")
+    singly = foreign.groupBy("key", "main").agg((F.count(F.lit(1)) * F.max("mains")).alias("pairs")).groupBy("main").agg(F.sum("pairs").alias("singly"))
+    sizes = asking.groupBy("main").agg(F.count(F.lit(1)).alias("n")).join(singly.hint("merge"), "main")
+    sizes = sizes.join(texts.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("size")).hint("merge"), "main")
+    ways = shared.written(sizes.select("main", (F.col("n") * F.col("size") <= PER_LABEL * F.col("singly")).alias("whole")), "ways")
+    whole = ways.filter("whole").select("main")
+    key = F.xxhash64(F.lit("label"), F.col("main")).alias("key")
+    ask = asking.join(whole.hint("merge"), "main", "left_semi").select(key, "node", "n_words", "label", *flags(True, False))
+    answer = texts.withColumnRenamed("label", "main").join(whole.hint("merge"), "main", "left_semi").select(key, "node", "n_words", F.col("main").alias("label"), *flags(False, True))
+    left = foreign.join(whole.hint("merge"), "main", "left_anti")
+    keys = left.select("key", F.col("main").alias("label")).distinct()
+    salted = lambda df: df.withColumn("key", F.xxhash64(F.lit("bucket"), F.col("key")))
+    single = left.select("key", "node", "n_words", "label", *flags(True, False))
+    if not keys.isEmpty():
+        single = single.unionByName(_named(members.select("key", "node", "n_words"), labels).join(keys.hint("merge"), ["key", "label"], "left_semi").select("key", "node", "n_words", "label", *flags(False, True)))
+    return own.unionByName(ask).unionByName(answer).unionByName(salted(single))
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -466,16 +503,15 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     members = shared.written(shared_keys(texts), "members")
     stars = shared.written(stars_of(members), "pairs")
     more = members.select(F.col("node").alias("doc_id")).distinct()  # every node that a second round may ask for
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(_words(), lambda w: F.shiftright(F.xxhash64(w), 32).cast("int")).alias("words"))
-    words = shared.written(words.join(more.hint("merge"), "doc_id", "left_semi"), "words")
+    words = shared.written(rows.select("doc_id", "words").join(more.hint("merge"), "doc_id", "left_semi"), "words")
     tested = shared.written(verified(stars, words, similarity), "links")
     edges = tested.filter("near").select("a", "b").distinct()
     labels = components(edges)
     # What is left: members of one bucket with different labels.  First each is compared with one of the
     # bucket's commonest label, which joins most of what belongs together; then with all that is apart.
-    few = _apart(members, labels).filter("foreign").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    few = _apart(members, labels).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     few = shared.written(few.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    for found in (lambda: verified(few, words, similarity).filter("near").select("a", "b"), lambda: across(shared.written(_apart(members, labels), "mixed"), words, similarity)):
+    for found in (lambda: verified(few, words, similarity).filter("near").select("a", "b"), lambda: across(_buckets(shared.written(_apart(members, labels), "mixed"), members, labels), words, similarity)):
         new = shared.written(found(), "links").distinct()
         if not new.isEmpty():
             labels = extended(labels, new)
