@@ -63,15 +63,25 @@ def likeness(a: Column, b: Column) -> Column:
 def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Each document with its successor in descending doc_id: bucket, rn, guest, doc_id, text, next_text.
 
-    Ids are dealt into ranges; the first document of each range is also a guest
+    Ids are dealt into ranges of equal width, and dense ranges again until none holds four
+    times the mean or more, so outlying ids don't gather the others; the first document of each range is also a guest
     at the end of the range before, so a window inside a range sees every
     successor and texts move once.  The table of ranges is bounded.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(LEAST_ID)))
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     count = max(1, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // count))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.floor((F.col("id").cast("double") - F.lit(float(low or 0))) / F.lit(float(width))).cast("int")))
+    low, high = low or 0, high or 0
+    start = lambda lo, w: F.expr(f"cast({lo} + if(doc_id is null, 0, (cast(doc_id as decimal(20, 0)) - {lo}) div {w}) * {w} as bigint)")
+    rows = rows.withColumn("bucket", start(f"{low}BD", f"{max(1, -(-(high - low + 1) // count))}BD"))
+    most = 4 * -(-n // count)
+    while True:  # ids stand close in some ranges: these are cut again, between the ids that they have
+        dense = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").cast("decimal(20, 0)").alias("lo"), F.max("doc_id").cast("decimal(20, 0)").alias("hi")).filter((F.col("n") > most) & (F.col("lo") < F.col("hi")))
+        dense = shared.written(dense.selectExpr("bucket", "lo", f"greatest(1, cast(ceil((hi - lo + 1) / ceil(n * {count} / {n}D)) as decimal(20, 0))) as w"), "dense")
+        if dense.isEmpty():
+            break
+        cut = rows.join(F.broadcast(dense), "bucket", "left")  # a quarter of the ranges at most
+        rows = cut.withColumn("bucket", F.when(F.col("lo").isNull(), F.col("bucket")).otherwise(start("lo", "w"))).drop("lo", "w")
     heads = rows.groupBy("bucket").agg(F.max("id").alias("id"))
     first = F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy()))
     # the head of a range is a guest in the next higher one; the highest's in the lowest

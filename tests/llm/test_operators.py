@@ -479,3 +479,16 @@ def test_columns_of_clashing_names_and_repeated_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", "<p>t</p>", *("y" for _ in names if _ != "html"))] * 2, "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names if n != "html"))
     assert url_filter.filtered(pages).count() == html_blocks.extracted(pages).count() == 2
     assert url_filter.filtered(pages.limit(0)).count() == 0
+
+
+def test_outlying_ids_do_not_gather_the_rest(spark):
+    ids = [*range(-1500, 3000, 3), *range(10**9, 10**9 + 900), 10**15, (1 << 63) - 1, -(1 << 63) + 1, None]
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string")
+    rows = simhash.edited_neighbours(docs).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
+    assert max(sizes.values()) <= 4 * simhash.ROWS_PER_BUCKET + 8
+    order = sorted((i for i in ids if i is not None), reverse=True) + [None]
+    want = {i: f"text of {j}" for i, j in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r["doc_id"]: r["next_text"] for r in rows if not r["guest"]} == want
