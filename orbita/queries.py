@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import thresholds, vec
-from .operators import clustering, index, metrics, search, shapes, update
+from .operators import clustering, hull, index, metrics, search, shapes, update
 from .plans import tables as cuts
 from .sources import generators, tables
 from .streaming.cache import Cache
@@ -594,6 +594,13 @@ def lineitem_halfspace(spark, sf):
     return keys.filter(vec.dot("key", F.array(*[F.lit(0.5)] * 4)) >= 1.5).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query()
+def hull_fraction(spark, sf):
+    """Share of the vectors that are hull vertices, in their first 2, 3, 4 and 6 dimensions."""
+    e = _embeddings(spark, sf)
+    return reduce(DataFrame.unionByName, (hull.vertex_fraction(e.select(F.slice("embedding", 1, d).alias("key"))).withColumn("dim", F.lit(d)) for d in (2, 3, 4, 6)))
+
+
 @query("SELECT vec_id AS key_id, concat_ws('-', vec_id % 8, (vec_id // 8) % 8, (vec_id // 64) % 8) AS codes FROM embeddings")
 def bit_unpack(spark, sf):
     """Three fields of three bits in the two low bytes of an id."""
