@@ -5,6 +5,8 @@ counts, for all groups at once, the rows by the next 16 bits below what is known
 wanted place, and so learns these bits; after a pass or two a place has few candidates
 left, which are then looked at, and after four passes it has one value.  What a group
 gathers is a histogram of at most 2^16 rows; scores are never sorted nor held together.
+
+Scores of keys and queries (``Pairs``) are counted where they are made, without a row a score.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import ranks, tables
+from ..plans import ranks, selection, tables
+from ..plans.selection import Pairs
 from . import vec
 
 DIGIT = 16
@@ -35,8 +38,12 @@ def of_bits(u: Column) -> Column:
     return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
 
 
-def selected(scores: DataFrame, by: list[str], places: dict[str, Callable[[Column], Column]], few: int = FEW) -> DataFrame:
+def selected(scores: DataFrame | Pairs, by: list[str], places: dict[str, Callable[[Column], Column]], few: int = FEW) -> DataFrame:
     """by, n, and for each name the score at a place: counted from 1, ascending, a column over n; null where it isn't in 1..n."""
+    if isinstance(scores, Pairs):
+        if (found := selection.selected(scores, places)) is not None:
+            return found.select(*by, "n", *places)
+        scores = scores.rows()
     rows = scores.filter("score is not null").select(*by, ordered_bits(F.col("score")).alias("u"))
     first = tables.saved(rows.groupBy(*by, F.shiftrightunsigned("u", 64 - DIGIT).alias("digit")).agg(F.count(F.lit(1)).alias("c")), "digits")
     sizes = first.groupBy(*by).agg(F.sum("c").alias("n"))
@@ -74,24 +81,25 @@ def _clamped(place: Column, n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n, place))
 
 
-def topk(scores: DataFrame, by: list[str], k: int) -> DataFrame:
+def topk(scores: DataFrame | Pairs, by: list[str], k: int) -> DataFrame:
     """The k-th largest score (the least, where there are fewer): at least k hits (ties all count)."""
     return selected(scores, by, {"threshold": lambda n: _clamped(n + 1 - k, n)}).select(*by, "threshold")
 
 
-def nth(scores: DataFrame, by: list[str], target: int) -> DataFrame:
+def nth(scores: DataFrame | Pairs, by: list[str], target: int) -> DataFrame:
     """Zero-based index in descending order: target + 1 hits."""
     return topk(scores, by, target + 1)
 
 
-def tau(scores: DataFrame, by: list[str], share: float) -> DataFrame:
+def tau(scores: DataFrame | Pairs, by: list[str], share: float) -> DataFrame:
     """Value at int((1 - share) * n), zero-based, in descending order."""
     return selected(scores, by, {"threshold": lambda n: _clamped(n - F.floor((1 - share) * n), n)}).select(*by, "threshold")
 
 
-def quantile(scores: DataFrame, by: list[str], p: float, accuracy: int | None = None) -> DataFrame:
+def quantile(scores: DataFrame | Pairs, by: list[str], p: float, accuracy: int | None = None) -> DataFrame:
     """Linear-interpolated quantile; with accuracy, the sketch that needs no exact order."""
     if accuracy is not None:
+        scores = scores.rows() if isinstance(scores, Pairs) else scores
         return scores.groupBy(*by).agg(F.percentile_approx("score", p, accuracy).alias("threshold"))
     at = lambda n: F.lit(p) * (n - 1)
     both = selected(scores, by, {"low": lambda n: F.floor(at(n)) + 1, "high": lambda n: F.ceil(at(n)) + 1})
@@ -99,7 +107,7 @@ def quantile(scores: DataFrame, by: list[str], p: float, accuracy: int | None =
     return both.select(*by, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") * (1 - share) + F.col("high") * share).alias("threshold"))
 
 
-def midpoint(scores: DataFrame, by: list[str]) -> DataFrame:
+def midpoint(scores: DataFrame | Pairs, by: list[str]) -> DataFrame:
     """Middle of the gap at the median: no score lies on it unless they tie."""
     upper = lambda n: _clamped(n + 1 - F.floor(n / 2), n)
     both = selected(scores, by, {"high": upper, "low": lambda n: _clamped(n - F.floor(n / 2), n)})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import thresholds, vec
-from ..plans import ranks, tables
+from ..plans import ranks, selection, tables
 from . import search
 from .index import Index
 
@@ -52,6 +52,10 @@ def ball_classes(balls: DataFrame, q: DataFrame) -> DataFrame:
 
 def knn_radius(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, radius: distance to the k-th neighbour, the point itself counting as the first."""
+    if queries.count() <= tables.BROADCAST_ROWS:
+        rows = points.select(F.lit(0).alias("kv_head"), F.col("key_id").alias("id"), F.col("key").alias("point"), F.lit(0.0).alias("radius"))
+        near = selection.least(rows, queries.withColumn("q_head", F.lit(0)).withColumn("kv_head", F.lit(0)), k + 1)
+        return near.filter(F.size("some") > k).select("query_id", F.sqrt(F.col("some")[k]["value"]).alias("radius"))
     d = points.join(search.small(queries.select("query_id", "q"))).select("query_id", vec.distance("q", "key").alias("score"))
     return thresholds.selected(d, ["query_id"], {"radius": lambda n: F.lit(k + 1)}).filter("radius is not null").select("query_id", "radius")
 

@@ -1,29 +1,104 @@
 """Bulk inner products and nearest centers: Arrow batches times a broadcast matrix.
 
 For sides that are counted first and small; otherwise callers take the join.
-A score within rounding of its threshold is computed again in the order of
-the SQL expression, so both ways give the same set.
+What a product of matrices leaves near a threshold is computed again in the order
+of the SQL expression, so both ways give the same set, and hits the same scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _matrix(column, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def scan(keys: DataFrame, queries: DataFrame) -> DataFrame:
-    """keys (kv_head, key_id, key) x queries -> hits; queries are collected, so callers bound them."""
-    by_head: dict[int, list] = {}
-    for r in queries.select("query_id", "q_head", "kv_head", "q", "threshold", "scaling").collect():
-        by_head.setdefault(r["kv_head"], []).append(r)
-    sides = keys.sparkSession.sparkContext.broadcast(
-        {h: (np.array([r["query_id"] for r in rs]), np.array([r["q_head"] for r in rs], np.int32), np.array([r["q"] for r in rs], np.float64), np.array([r["threshold"] for r in rs]), np.array([r["scaling"] for r in rs])) for h, rs in by_head.items()}
-    )
+def ordered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in the order of the SQL expression."""
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total += x[:, d] * y[:, d]
+    return total
+
+
+@dataclass(frozen=True)
+class Asked:
+    """Queries of one head, by column; ``slot`` numbers the queries of all heads."""
+
+    slot: np.ndarray
+    query_id: np.ndarray
+    q_head: np.ndarray
+    q: np.ndarray
+    norm: np.ndarray
+    threshold: np.ndarray
+    scaling: np.ndarray
+
+
+def asked(queries: DataFrame) -> dict[int, Asked]:
+    """Queries by head, in the order of their ids; they are collected, so callers bound them."""
+    t = queries.select("kv_head", "query_id", "q_head", F.transform("q", lambda x: x.cast("double")).alias("q"), "q_norm", "threshold", "scaling").toArrow().sort_by([("kv_head", "ascending"), ("query_id", "ascending"), ("q_head", "ascending")]).combine_chunks()
+    heads, out = t["kv_head"].to_numpy(), {}
+    for h in np.unique(heads):
+        some = t.take(pa.array(np.flatnonzero(heads == h)))
+        column = lambda c: some[c].to_numpy().astype(np.float64)  # noqa: E731, B023
+        out[int(h)] = Asked(np.flatnonzero(heads == h), some["query_id"].to_numpy(), some["q_head"].to_numpy().astype(np.int32), _matrix(one_array(some["q"]), len(some)), column("q_norm"), column("threshold"), column("scaling"))
+    return out
+
+
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, whatever files they lie in."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+#: Pairs of a block: a product that stays in a core's cache.
+PAIRS = 1 << 18
+
+
+def tiles(rows: int, columns: int, most: int = PAIRS):
+    """Slices of rows and of columns, whose products have at most so many pairs."""
+    wide = max(1, min(columns, 2048))
+    for k in range(0, rows, high := max(1, most // wide)):
+        for j in range(0, columns, wide):
+            yield slice(k, k + high), slice(j, j + wide)
+
+
+def hits(x: np.ndarray, side: Asked) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of x, places in side, scores) of the pairs that reach their query's threshold."""
+    reach = np.sqrt((x * x).sum(1).max(initial=0))
+    for r, c in tiles(len(x), len(side.slot)):
+        q, t = side.q[c], side.threshold[c]
+        k, j = np.nonzero(x[r] @ q.T >= t - 1e-12 * (1 + side.norm[c] * reach + np.abs(t)))
+        score = ordered(x[r][k], q[j])
+        kept = score >= t[j]
+        yield k[kept] + r.start, j[kept] + c.start, score[kept]
+
+
+HITS = "query_id long, q_head int, kv_head int, key_id long, score double"
+
+
+def _rows(head: int, ids: np.ndarray, side: Asked, k: np.ndarray, j: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(side.query_id[j]), pa.array(side.q_head[j]), pa.array(np.full(len(j), head, np.int32)), pa.array(ids[k]), pa.array(score)], names=["query_id", "q_head", "kv_head", "key_id", "score"])
+
+
+def _numbers(keys: DataFrame) -> DataFrame:
+    whole = F.col("key").isNotNull() & F.forall("key", lambda x: x.isNotNull())
+    return keys.selectExpr("cast(kv_head as int) kv_head", "cast(key_id as long) key_id", "key").filter(whole)
+
+
+def scan(keys: DataFrame, queries: DataFrame, every: bool = False) -> DataFrame:
+    """keys (kv_head, key_id, key) x queries -> hits (``every``: all pairs); queries are collected, so callers bound them."""
+    sides = keys.sparkSession.sparkContext.broadcast(asked(queries))
 
     def run(batches):
         for b in batches:
@@ -31,17 +106,40 @@ def scan(keys: DataFrame, queries: DataFrame) -> DataFrame:
             for h in np.unique(heads):
                 if h not in sides.value:
                     continue
-                own = np.flatnonzero(heads == h)
-                qid, qh, q, t, s = sides.value[h]
-                for at in range(0, len(own), 2048):
-                    some = own[at : at + 2048]
-                    scores = vectors[some] @ q.T
-                    for i, j in np.argwhere(np.abs(scores - t) < 1e-9):
-                        scores[i, j] = np.add.accumulate(q[j] * vectors[some[i]])[-1]
-                    k, j = np.nonzero(scores >= t)
-                    yield pa.record_batch([pa.array(qid[j]), pa.array(qh[j]), pa.array(np.full(len(j), h, np.int32)), pa.array(ids[some[k]]), pa.array(scores[k, j] * s[j])], names=["query_id", "q_head", "kv_head", "key_id", "score"])
+                own, side = np.flatnonzero(heads == h), sides.value[h]
+                if every:
+                    for r, c in tiles(len(own), len(side.slot)):
+                        score = vectors[own[r]] @ side.q[c].T * side.scaling[c]
+                        k, j = np.indices(score.shape).reshape(2, -1)
+                        yield _rows(h, ids[own], side, k + r.start, j + c.start, score.ravel())
+                else:
+                    for k, j, score in hits(vectors[own], side):
+                        yield _rows(h, ids[own], side, k, j, score * side.scaling[j])
 
-    return keys.selectExpr("cast(kv_head as int) kv_head", "cast(key_id as long) key_id", "key").mapInArrow(run, "query_id long, q_head int, kv_head int, key_id long, score double")
+    return _numbers(keys).mapInArrow(run, HITS)
+
+
+def filled(keys: DataFrame, queries: DataFrame, hits: DataFrame, fill: float) -> DataFrame:
+    """A row for each query and key, ``fill`` where hits have none; a key's hits travel in one row beside it."""
+    sides = keys.sparkSession.sparkContext.broadcast(asked(queries.withColumn("threshold", F.lit(0.0)).withColumn("q", F.array(F.lit(0.0)))))
+    own = hits.groupBy("kv_head", "key_id").agg(F.collect_list(F.struct("query_id", "q_head", "score")).alias("found"))
+
+    def run(batches):
+        for b in batches:
+            for h, key, found in zip(b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2), strict=True):
+                if h not in sides.value:
+                    continue
+                side = sides.value[h]
+                score = np.full(len(side.slot), fill)
+                for f in found.as_py() or ():
+                    at = np.searchsorted(side.query_id, f["query_id"])
+                    while side.q_head[at] != f["q_head"]:
+                        at += 1
+                    score[at] = fill if f["score"] is None else f["score"]
+                yield _rows(h, np.full(1, key), side, np.zeros(len(score), int), np.arange(len(score)), score)
+
+    rows = keys.selectExpr("cast(kv_head as int) kv_head", "cast(key_id as long) key_id").join(own, ["kv_head", "key_id"], "left")
+    return rows.mapInArrow(run, HITS)
 
 
 def grouped(batch: pa.RecordBatch, columns: int, known) -> dict[tuple, list[int]]:
@@ -53,18 +151,31 @@ def grouped(batch: pa.RecordBatch, columns: int, known) -> dict[tuple, list[int]
     return at
 
 
+def distance2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed in the order of the SQL expression."""
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total += (x[:, d] - y[:, d]) ** 2
+    return total
+
+
 def closest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of x the first of its nearest rows of c, and the squared distance.
 
     Rows too close to tell apart by the expanded square are measured again, in their order.
     """
-    rough = (c * c).sum(1) - 2 * x @ c.T
-    pick = rough.argmin(1)
-    close = rough <= rough.min(1, keepdims=True) + 1e-9 * (1 + (x**2).sum(1, keepdims=True))
-    for i in np.flatnonzero(close.sum(1) > 1):
-        same = np.flatnonzero(close[i])
-        pick[i] = same[((x[i] - c[same]) ** 2).sum(1).argmin()]
-    return pick, ((x - c[pick]) ** 2).sum(1)
+    pick, dist, c2 = np.zeros(len(x), np.int64), np.full(len(x), np.nan), (c * c).sum(1)
+    for k in range(0, len(x), high := max(1, PAIRS // len(c))):
+        some = x[k : k + high]
+        rough = some @ (-2 * c.T)
+        rough += c2
+        least = rough.min(1)
+        i, j = np.nonzero(rough <= (least + 1e-9 * (1 + (some * some).sum(1)) + 1e-12 * np.abs(least))[:, None])
+        exact = distance2(some[i], c[j])
+        order = np.lexsort((j, exact, i))
+        rows, first = np.unique(i[order], return_index=True)
+        pick[k + rows], dist[k + rows] = j[order[first]], exact[order[first]]
+    return pick, dist
 
 
 def nearest(points: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
@@ -81,10 +192,8 @@ def nearest(points: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
             for g, own in grouped(b, len(by), sides.value).items():
                 n, c = sides.value[g]
                 kept[own] = True
-                for k in range(0, len(own), 1024):
-                    some = np.array(own[k : k + 1024])
-                    pick, dist[some] = closest(vectors[some], c)
-                    node[some] = n[pick]
+                pick, dist[own] = closest(vectors[own], c)
+                node[own] = n[pick]
             yield pa.record_batch([*b.columns[: len(by) + 1], pa.array(node), pa.array(dist)], names=[*by, "key_id", "node_id", "dist2"]).filter(pa.array(kept))
 
     types = {f.name: f.dataType.simpleString() for f in points.schema}

@@ -178,7 +178,7 @@ def scan_mode_3l(spark, sf):
 
 
 def _scores(spark, sf):
-    return search.all_scores(_keys(spark, sf), _head_queries(spark, sf))
+    return thresholds.Pairs(_keys(spark, sf), _head_queries(spark, sf))
 
 
 _S8 = f"{_K8}, {_q8()}, s AS (SELECT query_id, q_head, {_DOT.format('q', 'key')} AS score FROM q8 JOIN k8 USING (kv_head)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, q_head ORDER BY score DESC) AS k, count(*) OVER (PARTITION BY query_id, q_head) AS n FROM s)"
@@ -217,7 +217,7 @@ def threshold_midpoint(spark, sf):
 @query(f"WITH {_S8} SELECT query_id, q_head, key_id, round(s, 6) AS score FROM (SELECT q8.query_id, q8.q_head, key_id, {_DOT.format('q', 'key')} AS s, t.score AS t FROM q8 JOIN k8 USING (kv_head) JOIN (SELECT * FROM r WHERE k = 10) t ON t.query_id = q8.query_id AND t.q_head = q8.q_head) WHERE s >= t")
 def topk_search(spark, sf):
     k, q = _keys(spark, sf), _head_queries(spark, sf)
-    t = thresholds.topk(search.all_scores(k, q), _BY, 10)
+    t = thresholds.topk(thresholds.Pairs(k, q), _BY, 10)
     return _shown(search.tree_search(index.build(k, 3, BF, arrow=True), q.drop("threshold").join(t, _BY)))
 
 
