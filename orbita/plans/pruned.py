@@ -1,16 +1,19 @@
 """Nearest centers by pivots: a point meets only cells that can hold its nearest center.
 
-Some centers of each group are pivots; every center belongs to its nearest pivot's cell,
-whose radius is the farthest of them.  A point measures the pivots (a broadcast of a
-bounded table); with u its distance to the nearest one, a cell whose pivot is farther
-than u plus the cell's radius can't hold anything nearer, by the triangle inequality.
-First each point meets its own pivot's cell, which lowers u; then, dealt again, the cells
-that are still in reach.  So the result is exact.  Cells are cut into blocks of bounded
-size and their points into shares, so neither a large cell nor a popular one is a task.
+Points are dealt into shares and a group's centers into blocks of bounded size; each share
+meets each block in a task of its own, so neither a large group nor a popular center is one
+task, and nothing is kept but the nearest so far.  There, some centers are pivots; every
+center belongs to its nearest pivot's cell, whose radius is the farthest of them.  With u a
+point's distance to the nearest center so far, a cell whose pivot is farther than u plus
+the cell's radius can't hold anything nearer, by the triangle inequality.  First each point
+meets its own pivot's cell, which lowers u; then the cells that are still in reach.  So the
+result is exact.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,118 +21,76 @@ from pyspark.sql import functions as F
 
 from . import blocks, tables
 
-#: Centers of a block, points of a share, and pivots in all.
-BLOCK_ROWS, SHARE_ROWS, PIVOTS = 4096, 50_000, 50_000
-_OTHERS = "array<struct<cell: bigint, block: int, bound: double>>"
+#: Centers of a block, points of a share, and pivots of a block.
+BLOCK_ROWS, SHARE_ROWS, PIVOTS = 1 << 17, 1 << 14, 4096
 _SLACK = 1e-9
 
 
-def pivots_of(centers: DataFrame, by: list[str], most: int = PIVOTS) -> DataFrame:
-    """(by, node_id, center): about the root of a group's centers (fewer, if that is too many in all), one at least."""
-    sizes = centers.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.min("node_id").alias("least"))
-    total = centers.count()
-    rate = F.greatest(F.ceil(F.sqrt("k")), F.lit(-(-total // most)))
-    chosen = (F.pmod(F.xxhash64("node_id"), rate.cast("long")) == 0) | (F.col("node_id") == F.col("least"))
-    return centers.join(tables.small(sizes), by).filter(chosen).select(*by, "node_id", "center")
-
-
 def _types(df: DataFrame, columns: list[str]) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join(f"{c} {kinds[c]}" for c in columns)
 
 
-def _routed(points: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
-    """points -> by, key_id, key, cell and block of the first visit, the pivot's distance, other blocks in reach with their bounds.
-
-    ``cells`` (by, cell, center, radius, blocks) is counted by the caller.
-    """
-    groups: dict[tuple, list] = {}
-    for r in cells.orderBy("cell").collect():
-        groups.setdefault(tuple(r[c] for c in by), []).append(r)
-    side = points.sparkSession.sparkContext.broadcast({g: (np.array([r["cell"] for r in rs]), np.array([r["center"] for r in rs], np.float64), np.array([r["radius"] for r in rs]), np.array([r["blocks"] for r in rs])) for g, rs in groups.items()})
-    at = len(by)
-
-    def run(batches):
-        for b in batches:
-            kept, cell, dist, others, seen = [], [], [], [], []
-            vectors = blocks._matrix(b.column(at + 1), b.num_rows)
-            for g, own in blocks.grouped(b, at, side.value).items():
-                ids, centers, radius, parts = side.value[g]
-                for k in range(0, len(own), 1024):
-                    some = np.array(own[k : k + 1024])
-                    pick, exact = blocks.closest(vectors[some], centers)
-                    if len(ids) > 1 or parts[0] > 1:
-                        x2 = (vectors[some] ** 2).sum(1, keepdims=True)
-                        far = np.sqrt(np.maximum(x2 - 2 * vectors[some] @ centers.T + (centers**2).sum(1), 0))
-                        # the expanded square is off by rounding of its terms
-                        off = np.sqrt(_SLACK * (1 + x2 + (centers**2).sum(1)))
-                        low = far - off - radius
-                        near = low <= np.sqrt(exact)[:, None] * (1 + _SLACK) + _SLACK
-                    for i in range(len(some)):
-                        reach = np.flatnonzero(near[i]) if len(ids) > 1 or parts[0] > 1 else []
-                        others.append([{"cell": int(ids[j]), "block": n, "bound": float(low[i, j])} for j in reach for n in range(parts[j]) if j != pick[i] or n])
-                    kept += some.tolist()
-                    cell += ids[pick].tolist()
-                    dist += exact.tolist()
-                    seen += [len(ids)] * len(some)
-            rows = pa.array(kept, pa.int64())
-            yield pa.record_batch([*(c.take(rows) for c in b.columns), pa.array(cell, pa.int64()), pa.array(np.zeros(len(kept), np.int32)), pa.array(dist, pa.float64()), pa.array(others, pa.list_(pa.struct([("cell", pa.int64()), ("block", pa.int32()), ("bound", pa.float64())]))), pa.array(seen, pa.int64())], names=[*by, "key_id", "key", "cell", "block", "dist2", "others", "measured"])
-
-    schema = f"{_types(points, [*by, 'key_id', 'key'])}, cell long, block int, dist2 double, others {_OTHERS}, measured long"
-    return points.mapInArrow(run, schema)
-
-
-def _met(visits: DataFrame, centers: DataFrame, by: list[str], share_rows: int) -> DataFrame:
-    """visits (by, key_id, key, cell, block, dist2 and node_id so far, others, measured) -> the same, with what the block's centers (by, cell, block, node_id, center) have nearer."""
-    on = [*by, "cell", "block"]
-    shares = tables.small(visits.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / share_rows).cast("int").alias("shares")))
-    left = visits.join(shares, on).withColumn("share", F.pmod(F.xxhash64("key_id"), F.col("shares")).cast("int")).drop("shares")
-    right = centers.join(shares, on).select(*on, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "node_id", "center")
-    names = [*by, "key_id", "key", "node_id", "dist2", "others", "measured"]
-    schema = _types(visits, names)
-
-    def one(p: pa.Table, c: pa.Table) -> pa.Table:
-        p, c = p.combine_chunks(), c.sort_by("node_id").combine_chunks()
-        node, dist, n = p["node_id"].to_numpy().copy(), p["dist2"].to_numpy().copy(), c.num_rows
-        if n and p.num_rows:
-            x, y, ids = blocks._matrix(_array(p["key"]), p.num_rows), blocks._matrix(_array(c["center"]), n), c["node_id"].to_numpy()
-            for k in range(0, len(x), 1024):
-                some = slice(k, k + 1024)
-                pick, exact = blocks.closest(x[some], y)
-                better = (exact < dist[some]) | ((exact == dist[some]) & (ids[pick] < node[some]))
-                node[some], dist[some] = np.where(better, ids[pick], node[some]), np.where(better, exact, dist[some])
-        new = {"node_id": pa.array(node, pa.int64()), "dist2": pa.array(dist, pa.float64()), "measured": pa.array(p["measured"].to_numpy() + n, pa.int64())}
-        return pa.table({name: new.get(name, p[name]) for name in names})
-
-    group = [*on, "share"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(one, schema)
-
-
-def _array(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-
-
-def nearest(points: DataFrame, centers: DataFrame, by: list[str], block_rows: int = BLOCK_ROWS, share_rows: int = SHARE_ROWS, pivots: int = PIVOTS) -> DataFrame | None:
+def among(x: np.ndarray, ids: np.ndarray, c: np.ndarray, most: int = PIVOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest of c for each row of x (its id, the smallest of equals; ids ascend), the squared distance, and the distances taken."""
+    step = max(math.isqrt(len(c)), -(-len(c) // most), 1)
+    pivots = c[::step]
+    cell, apart = blocks.closest(c, pivots)
+    radius = np.zeros(len(pivots))
+    np.maximum.at(radius, cell, np.sqrt(apart))
+    order = np.argsort(cell, kind="stable")
+    held = np.split(order, np.searchsorted(cell[order], np.arange(1, len(pivots))))
+    own, dist = blocks.closest(x, pivots)
+    node, measured = ids[::step][own], np.full(len(x), len(pivots))
+
+    def meet(rows: np.ndarray, some: np.ndarray) -> None:
+        pick, exact = blocks.closest(x[rows], c[some])
+        better = (exact < dist[rows]) | ((exact == dist[rows]) & (ids[some[pick]] < node[rows])) | np.isnan(dist[rows])
+        node[rows], dist[rows] = np.where(better, ids[some[pick]], node[rows]), np.where(better, exact, dist[rows])
+        measured[rows] += len(some)
+
+    by_own = np.argsort(own, kind="stable")
+    for rows in np.split(by_own, np.flatnonzero(np.diff(own[by_own])) + 1):
+        if len(rows):
+            meet(rows, held[own[rows[0]]])
+    p2 = (pivots * pivots).sum(1)
+    for k in range(0, len(x), high := max(1, (1 << 23) // len(pivots))):
+        some = x[k : k + high]
+        x2 = (some * some).sum(1, keepdims=True)
+        # the expanded square is off by rounding of its terms
+        low = np.sqrt(np.maximum(x2 - 2 * some @ pivots.T + p2, 0)) - np.sqrt(_SLACK * (1 + x2 + p2)) - radius
+        low[np.arange(len(some)), own[k : k + high]] = np.inf
+        for j in range(len(pivots)):
+            rows = np.flatnonzero(low[:, j] <= np.sqrt(dist[k : k + high]) * (1 + _SLACK) + _SLACK) + k
+            if len(rows) and len(held[j]):
+                meet(rows, held[j])
+    return node, dist, measured
+
+
+def nearest(points: DataFrame, centers: DataFrame, by: list[str], block_rows: int = BLOCK_ROWS, share_rows: int = SHARE_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """by, key_id, node_id, dist2, measured: each point's nearest center, ties to the smaller id, and the distances taken for it.
 
-    Points of groups without centers have no row.  None where groups are too many for a broadcast of pivots.
+    Points of groups without centers have no row.
     """
     centers = tables.saved(centers.select(*by, F.col("node_id").cast("long").alias("node_id"), F.transform("center", lambda x: x.cast("double")).alias("center")), "centers")
-    chosen = tables.saved(pivots_of(centers, by, pivots), "pivots")
-    if chosen.count() > tables.BROADCAST_ROWS:
-        return None
-    near = blocks.nearest(centers.select(*by, F.col("node_id").alias("key_id"), F.col("center").alias("key")), chosen, by)
-    held = tables.saved(near.select(*by, F.col("key_id").alias("node_id"), F.col("node_id").alias("cell"), "dist2").join(centers, [*by, "node_id"]), "cells")
-    cells = held.groupBy(*by, "cell").agg(F.sqrt(F.max("dist2")).alias("radius"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    held = held.join(tables.small(cells), [*by, "cell"]).select(*by, "cell", F.pmod(F.xxhash64("node_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "node_id", "center")
-    cells = cells.join(chosen.withColumnRenamed("node_id", "cell"), [*by, "cell"])
     points = points.select(*by, F.col("key_id").cast("long").alias("key_id"), "key")
-    names = [*by, "key_id", "key", "cell", "block", "node_id", "dist2", "others", "measured"]
-    first = _met(_routed(points, cells, by).withColumn("node_id", F.col("cell")).select(names), held, by, share_rows)
-    first = tables.saved(first, "first")
-    open_ = F.filter("others", lambda o: o["bound"] <= F.sqrt("dist2") * (1 + _SLACK) + _SLACK)
-    again = first.select(*by, "key_id", "key", "node_id", "dist2", F.explode(open_).alias("o")).select(*by, "key_id", "key", F.col("o.cell").alias("cell"), F.col("o.block").alias("block"), "node_id", "dist2", F.lit(None).cast(_OTHERS).alias("others"), F.lit(0).cast("long").alias("measured"))
-    again = _met(tables.saved(again, "visits"), held, by, share_rows)
-    out = [*by, "key_id", "node_id", "dist2", "measured"]
-    every = first.select(out).unionByName(again.select(out))
-    return every.groupBy(*by, "key_id").agg(F.min(F.struct("dist2", "node_id")).alias("m"), F.sum("measured").alias("measured")).select(*by, "key_id", "m.node_id", "m.dist2", "measured")
+    parts = points.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / share_rows).cast("int").alias("shares"))
+    parts = tables.saved(parts.join(centers.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), by), "parts")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = points.join(tables.small(parts), by).withColumn("share", of("key_id", "shares")).withColumn("block", every("blocks"))
+    right = centers.join(tables.small(parts), by).withColumn("block", of("node_id", "blocks")).withColumn("share", every("shares"))
+    group = [*by, "block", "share"]
+
+    def one(p: pa.Table, c: pa.Table) -> pa.Table:
+        p, c = p.combine_chunks(), c.sort_by("node_id").combine_chunks()
+        if not p.num_rows or not c.num_rows:
+            return p.select([*by, "key_id"]).slice(0, 0).append_column("node_id", pa.array([], pa.int64())).append_column("dist2", pa.array([], pa.float64())).append_column("measured", pa.array([], pa.int64()))
+        matrix = lambda column, n: blocks._matrix(blocks.one_array(column), n)
+        node, dist, measured = among(matrix(p["key"], p.num_rows), c["node_id"].to_numpy(), matrix(c["center"], c.num_rows), pivots)
+        return p.select([*by, "key_id"]).append_column("node_id", pa.array(node)).append_column("dist2", pa.array(dist)).append_column("measured", pa.array(measured.astype(np.int64)))
+
+    met = left.select(*group, "key_id", "key").groupBy(*group).cogroup(right.select(*group, "node_id", "center").groupBy(*group)).applyInArrow(one, f"{_types(points, [*by, 'key_id'])}, node_id long, dist2 double, measured long")
+    if (parts.agg(F.max("blocks")).first()[0] or 0) < 2:
+        return met
+    return met.groupBy(*by, "key_id").agg(F.min(F.struct("dist2", "node_id")).alias("m"), F.sum("measured").alias("measured")).select(*by, "key_id", "m.node_id", "m.dist2", "measured")

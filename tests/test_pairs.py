@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbita.functions import thresholds
-from orbita.operators import metrics, search
-from orbita.plans import selection
+from orbita.operators import clustering, metrics, search
+from orbita.plans import pruned, selection
 
 KEYS, QUERIES = "kv_head int, key_id long, key array<double>", "query_id long, q_head int, q array<double>, threshold double"
 
