@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import thresholds, vec
-from ..plans import ranks, selection, tables
+from ..plans import blocks, ranks, selection, tables
 from . import search
 from .index import Index
 
 
 def traversal(index: Index, q: DataFrame, mode: str = "exact") -> DataFrame:
     """query_id, q_head, level, total, active; level 0 counts the keys scored."""
-    alive = search.active(index, q, mode)
-    parts = [a.groupBy("query_id", "q_head").agg(F.count(F.lit(1)).alias("active")).withColumn("level", F.lit(level)) for level, a in alive.items()]
-    parts.append(alive[1].withColumnRenamed("node_id", "parent_id").join(index.leaf, ["kv_head", "parent_id"]).groupBy("query_id", "q_head").agg(F.count(F.lit(1)).alias("active")).withColumn("level", F.lit(0)))
+    if q.count() <= tables.BROADCAST_ROWS:
+        sides, parts = index.keys.sparkSession.sparkContext.broadcast(blocks.asked(q)), []
+        held = index.leaf.groupBy("kv_head", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("keys"))
+        for level, nodes in search.survivors(index, sides, mode).items():
+            got = blocks.asked_by(nodes.join(held, ["kv_head", "node_id"], "left").fillna(0, ["keys"]) if level == 1 else nodes.withColumn("keys", F.lit(0)), sides)
+            each = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.col(c).alias("active")) for n, c in ((level, "nodes"), (0, "keys"))[: 2 if level == 1 else 1]))).alias("x")
+            parts.append(got.select("query_id", "q_head", each).select("query_id", "q_head", "x.active", "x.level"))
+    else:
+        alive = search.active(index, q, mode)
+        parts = [a.groupBy("query_id", "q_head").agg(F.count(F.lit(1)).alias("active")).withColumn("level", F.lit(level)) for level, a in alive.items()]
+        parts.append(alive[1].withColumnRenamed("node_id", "parent_id").join(index.leaf, ["kv_head", "parent_id"]).groupBy("query_id", "q_head").agg(F.count(F.lit(1)).alias("active")).withColumn("level", F.lit(0)))
     seen = reduce(DataFrame.unionByName, parts)
     sizes = index.nodes.groupBy("level", "kv_head").agg(F.count(F.lit(1)).alias("total")).unionByName(index.keys.groupBy("kv_head").agg(F.count(F.lit(1)).alias("total")).withColumn("level", F.lit(0)))
     grid = search.small(q).select("query_id", "q_head", "kv_head").join(sizes, "kv_head")

@@ -119,6 +119,113 @@ def scan(keys: DataFrame, queries: DataFrame, every: bool = False) -> DataFrame:
     return _numbers(keys).mapInArrow(run, HITS)
 
 
+#: Queries of a row of surviving ones.
+ASKED = 2048
+
+
+def _pairs(heads: np.ndarray, lists, sides: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(head, rows, places in its side) that are still to be looked at: those in a row's list, or all of the head's queries where it has none."""
+    whole = np.asarray(lists.is_null())
+    for h in np.unique(heads[whole]):
+        if h in sides:
+            own = np.flatnonzero(whole & (heads == h))
+            for r, c in tiles(len(own), len(sides[h].slot)):
+                yield int(h), own[r], np.arange(c.start, min(c.stop, len(sides[h].slot)))
+    for h in np.unique(heads[~whole]):
+        yield int(h), np.flatnonzero(~whole & (heads == h)), None
+
+
+def _listed(lists, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, places), pair by pair, in parts of about PAIRS."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)[rows]
+    part = np.cumsum(size) // PAIRS
+    for p in np.unique(part):
+        some = rows[part == p]
+        places = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
+        yield np.repeat(some, size[part == p]), places
+
+
+def surviving(nodes: DataFrame, sides, mode: str) -> DataFrame:
+    """nodes (kv_head, node_id, center, radius, asked) -> kv_head, node_id, asked: the queries, by their places in the head's side, that can't exclude the node.
+
+    ``asked`` before is what is left above (null: all queries of the head).  A node has a row for at most ASKED
+    queries, so what levels hand down are numbers of queries, not the queries.
+    """
+
+    def kept(side: Asked, c, r, j) -> np.ndarray:
+        bound = ordered(c, side.q[j]) + side.norm[j] * r
+        return bound + 1e-9 * (1 + np.abs(side.threshold[j])) >= side.threshold[j] if mode == "exact" else bound > side.threshold[j]
+
+    def run(batches):
+        for b in batches:
+            heads, ids, centers, radius, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), b.num_rows), b.column(3).to_numpy(), b.column(4)
+            for h, rows, places in _pairs(heads, lists, sides.value):
+                side = sides.value[h]
+                if places is not None:
+                    c, r, t = centers[rows], radius[rows], side.threshold[places]
+                    rough = c @ side.q[places].T
+                    rough += r[:, None] * side.norm[places]
+                    off = 1e-8 * (1 + np.abs(t)) + 1e-12 * side.norm[places] * (np.sqrt((c * c).sum(1).max()) + r.max())
+                    i, j = np.nonzero(rough >= t - off)
+                    close = np.flatnonzero(rough[i, j] <= t[j] + off[j])
+                    fine = np.ones(len(i), bool)
+                    fine[close] = kept(side, c[i[close]], r[i[close]], places[j[close]])
+                    yield from _lists(h, ids, rows[i[fine]], places[j[fine]])
+                else:
+                    for i, j in _listed(lists, rows):
+                        fine = kept(side, centers[i], radius[i], j)
+                        yield from _lists(h, ids, i[fine], j[fine])
+
+    return nodes.selectExpr("cast(kv_head as int) kv_head", "cast(node_id as long) node_id", "center", "cast(radius as double) radius", "asked").mapInArrow(run, "kv_head int, node_id long, asked array<int>")
+
+
+def _lists(head: int, ids: np.ndarray, rows: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(rows):
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(rows)], pa.int32()), pa.array(places, pa.int32()))
+        yield pa.record_batch([pa.array(np.full(len(starts), head, np.int32)), pa.array(ids[rows[starts]]), lists], names=["kv_head", "node_id", "asked"])
+
+
+def scored(keys: DataFrame, sides, mode: str) -> DataFrame:
+    """keys (kv_head, key_id, key, asked) -> hits (scan: all) of the queries that each key is asked by."""
+
+    def run(batches):
+        for b in batches:
+            heads, ids, vectors, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), b.num_rows), b.column(3)
+            for h in np.unique(heads):
+                side = sides.value[int(h)]
+                if vectors.shape[1] != side.q.shape[1]:
+                    raise ValueError("queries and keys have different dimensions")
+                for i, j in _listed(lists, np.flatnonzero(heads == h)):
+                    score = ordered(vectors[i], side.q[j])
+                    if mode == "exact":
+                        kept = score >= side.threshold[j]
+                        i, j, score = i[kept], j[kept], score[kept]
+                    yield _rows(int(h), ids, side, i, j, score * side.scaling[j])
+
+    return keys.selectExpr("cast(kv_head as int) kv_head", "cast(key_id as long) key_id", "key", "asked").mapInArrow(run, HITS)
+
+
+def asked_by(nodes: DataFrame, sides) -> DataFrame:
+    """nodes (kv_head, asked, keys) -> query_id, q_head, nodes and keys that each query is left with."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            heads, lists, weight = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
+            for h in np.unique(heads):
+                total = sums.setdefault(int(h), np.zeros((2, len(sides.value[int(h)].slot)), np.int64))
+                for i, j in _listed(lists, np.flatnonzero(heads == h)):
+                    total[0] += np.bincount(j, minlength=total.shape[1])
+                    total[1] += np.bincount(j, weights=weight[i], minlength=total.shape[1]).astype(np.int64)
+        for h, total in sums.items():
+            some, side = np.flatnonzero(total[0]), sides.value[h]
+            yield pa.record_batch([pa.array(side.query_id[some]), pa.array(side.q_head[some]), pa.array(total[0][some]), pa.array(total[1][some])], names=["query_id", "q_head", "nodes", "keys"])
+
+    parts = nodes.select("kv_head", "asked", F.col("keys").cast("long").alias("keys")).mapInArrow(run, "query_id long, q_head int, nodes long, keys long")
+    return parts.groupBy("query_id", "q_head").agg(F.sum("nodes").alias("nodes"), F.sum("keys").alias("keys"))
+
+
 def filled(keys: DataFrame, queries: DataFrame, hits: DataFrame, fill: float) -> DataFrame:
     """A row for each query and key, ``fill`` where hits have none; a key's hits travel in one row beside it."""
     sides = keys.sparkSession.sparkContext.broadcast(asked(queries.withColumn("threshold", F.lit(0.0)).withColumn("q", F.array(F.lit(0.0)))))

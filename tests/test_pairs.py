@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbita.functions import thresholds
-from orbita.operators import clustering, metrics, search
-from orbita.plans import pruned, selection
+from orbita.operators import clustering, index, metrics, search
+from orbita.plans import blocks, pruned, selection
 
 KEYS, QUERIES = "kv_head int, key_id long, key array<double>", "query_id long, q_head int, q array<double>, threshold double"
 
@@ -57,3 +57,19 @@ def test_few_centers_are_met_without_a_join(spark):
     node, dist, measured = pruned.among(x, np.arange(2000), y)
     every = ((x[:, None] - y[None]) ** 2).sum(2)
     assert (node == every.argmin(1)).all() and np.allclose(dist, every.min(1)) and (measured <= 2000 + 45).all()
+
+
+@pytest.mark.parametrize("mode", ["exact", "scan"])
+def test_levels_hand_down_numbers_of_queries(spark, monkeypatch, mode):
+    """The rows of one node for each surviving query, as lists; a level's rows are nodes, not pairs."""
+    monkeypatch.setattr(blocks, "PAIRS", 500)
+    k, q, keys, asks = some(spark)
+    tree, side = index.build(k, 3, 4), blocks.asked(q)
+    lists = search.survivors(tree, spark.sparkContext.broadcast(side), mode)
+    for level, pairs in search.active(tree, q, mode).items():
+        rows = lists[level].collect()
+        got = sorted((r["kv_head"], r["node_id"], int(side[r["kv_head"]].query_id[j])) for r in rows for j in r["asked"])
+        assert got == sorted((r["kv_head"], r["node_id"], r["query_id"]) for r in pairs.collect()) and len(rows) < len(got) / 4
+    want = {(i, h, n) for i, h, v, t in asks for g, n, y in keys if g == h and np.dot(v, y) >= t}
+    got = {(r["query_id"], r["q_head"], r["key_id"]) for r in search.tree_search(tree, q, mode).collect()}
+    assert got == want if mode == "exact" else got >= want
