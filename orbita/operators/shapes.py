@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..plans import tables
+from ..plans import blocks, tables
 from . import clustering, search
 
 ALL = ["one"]
@@ -170,6 +170,8 @@ MAKE = {"ball": balls, "box": boxes, "hull": hulls, "exact_ball": exact_balls, "
 
 def bounds(kind: str, shapes: DataFrame, q: DataFrame) -> DataFrame:
     """(query_id, cluster_id, bound): the largest inner product that a shape allows; q (query_id, q, q_norm) is counted, shapes are many."""
+    if kind == "hull" and q.count() <= tables.BROADCAST_ROWS:
+        return blocks.highest(shapes.select("cluster_id", "point"), q)
     both = shapes.join(search.small(q.select("query_id", "q", "q_norm")))
     bound = {
         "ball": lambda: vec.ball_bound("center", "radius", "q", "q_norm"),
@@ -178,6 +180,8 @@ def bounds(kind: str, shapes: DataFrame, q: DataFrame) -> DataFrame:
         "hull": lambda: vec.dot("q", "point"),
         "ellipsoid": lambda: vec.ellipsoid_bound("center", "inv_shape", "q"),
     }[kind]()
+    if kind != "hull":  # a row a cluster
+        return both.select("query_id", "cluster_id", bound.alias("bound"))
     return both.groupBy("query_id", "cluster_id").agg(F.max(bound).alias("bound"))
 
 

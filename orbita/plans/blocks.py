@@ -305,3 +305,63 @@ def nearest(points: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in points.schema}
     return points.select(*by, "key_id", "key").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in by) + ", key_id long, node_id long, dist2 double")
+
+
+#: Queries of a row of maxima.
+WIDE = 1024
+
+
+def highest(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """points (cluster_id, point) x queries (query_id, q, q_norm) -> query_id, cluster_id, bound: the largest inner product with a cluster's points.
+
+    Points are sorted by cluster in ranges; a range makes a row of maxima for a cluster and WIDE queries, and the
+    few rows of a cluster that lies in several ranges are joined.  Queries are collected, so callers bound them.
+    """
+    one = queries.select(F.lit(0).alias("kv_head"), "query_id", F.lit(0).alias("q_head"), "q", "q_norm", F.lit(0.0).alias("threshold"), F.lit(1.0).alias("scaling"))
+    side = points.sparkSession.sparkContext.broadcast(asked(one))
+    schema = "part int, cluster_id long, top array<double>"
+
+    def rows(cluster: int, top: np.ndarray) -> pa.RecordBatch:
+        parts = [top[j : j + WIDE] for j in range(0, len(top), WIDE)]
+        return pa.record_batch([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), cluster)), pa.array(parts, pa.list_(pa.float64()))], names=["part", "cluster_id", "top"])
+
+    def run(batches):
+        if 0 not in side.value:
+            return
+        q, last, top = side.value[0].q, None, None
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), _matrix(b.column(1), b.num_rows)
+            for own in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1) if len(ids) else ():
+                if ids[own[0]] != last:
+                    if last is not None:
+                        yield rows(last, top)
+                    last, top = int(ids[own[0]]), np.full(len(q), -np.inf)
+                for k, j in tiles(len(q), len(own)):
+                    pick = (q[k] @ x[own[j]].T).argmax(1)
+                    np.maximum(top[k], ordered(x[own[j]][pick], q[k]), out=top[k])
+        if last is not None:
+            yield rows(last, top)
+
+    def told(batches):
+        last, top = None, None
+
+        def out():
+            ids = side.value[0].query_id[last[0] * WIDE :][: len(top)]
+            return pa.record_batch([pa.array(ids), pa.array(np.full(len(top), last[1])), pa.array(top)], names=["query_id", "cluster_id", "bound"])
+
+        for b in batches:
+            for part, cluster, new in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                new = new.values.to_numpy()
+                if (part, cluster) == last:
+                    top = np.maximum(top, new)
+                    continue
+                if last is not None:
+                    yield out()
+                last, top = (part, cluster), new
+        if last is not None:
+            yield out()
+
+    ranged = points.selectExpr("cast(cluster_id as long) cluster_id", "point").withColumn("deal", F.xxhash64("point"))
+    ranged = ranged.repartitionByRange(2 * points.sparkSession.sparkContext.defaultParallelism, "cluster_id", "deal").sortWithinPartitions("cluster_id").select("cluster_id", "point")
+    tops = ranged.mapInArrow(run, schema)
+    return tops.repartition("part", "cluster_id").sortWithinPartitions("part", "cluster_id").mapInArrow(told, "query_id long, cluster_id long, bound double")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbita.functions import thresholds
-from orbita.operators import clustering, index, metrics, search
+from orbita.operators import clustering, index, metrics, search, shapes
 from orbita.plans import blocks, pruned, selection
 
 KEYS, QUERIES = "kv_head int, key_id long, key array<double>", "query_id long, q_head int, q array<double>, threshold double"
@@ -73,3 +73,16 @@ def test_levels_hand_down_numbers_of_queries(spark, monkeypatch, mode):
     want = {(i, h, n) for i, h, v, t in asks for g, n, y in keys if g == h and np.dot(v, y) >= t}
     got = {(r["query_id"], r["q_head"], r["key_id"]) for r in search.tree_search(tree, q, mode).collect()}
     assert got == want if mode == "exact" else got >= want
+
+
+def test_hulls_are_met_in_blocks(spark, monkeypatch):
+    """Clusters over several ranges, one point clusters, more queries than a row of maxima; no row for a member and a query."""
+    monkeypatch.setattr(blocks, "WIDE", 16)
+    k, q, keys, asks = some(spark, n=60)
+    members = k.filter("kv_head = 0").select(F.pmod(F.col("key_id") * F.col("key_id"), F.lit(7)).alias("cluster_id"), F.col("key").alias("point"))
+    members = members.unionByName(spark.createDataFrame([(99, [9.0, 9.0, 9.0])], members.schema))
+    df = shapes.bounds("hull", members, q.filter("q_head = 0"))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got, points = {(r["query_id"], r["cluster_id"]): r["bound"] for r in df.collect()}, members.collect()
+    want = {(i, c): max(np.dot(v, r["point"]) for r in points if r["cluster_id"] == c) for i, h, v, _ in asks if h == 0 for c in {r["cluster_id"] for r in points}}
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
