@@ -36,6 +36,18 @@ def test_places_of_pairs_equal_those_of_rows(spark, monkeypatch, few, held):
             assert (x["n"], x["first"], x["last"], x["third"], x["far"]) == (len(s), s[0], s[-1], s[(len(s) + 2) // 3 - 1], s[399] if len(s) > 399 else None)
 
 
+def test_keys_of_one_row_group_are_scanned_by_many_tasks(spark, tmp_path):
+    k, q, keys, asks = some(spark)
+    k.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    want = {(i, h, g) for i, h, v, t in asks for kv, g, y in keys if kv == h and reduce(lambda s, p: s + p[0] * p[1], zip(v, y), 0.0) >= t}
+    for df, n in ((search.flat_scan(one, q), len(want)), (search.all_scores(one, q), sum(kv == h for _, h, _, _ in asks for kv, _, _ in keys))):
+        got = df.withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == n and len({r["task"] for r in got}) > 1
+    got = [(r["query_id"], r["q_head"], r["key_id"]) for r in search.flat_scan(one, q).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_thresholds_and_neighbours_make_no_row_a_pair(spark):
     k, q, keys, asks = some(spark)
     for df in (thresholds.topk(selection.Pairs(k, q), ["query_id", "q_head"], 10), metrics.knn_radius(k.select("key_id", "key"), q.filter("q_head = 0"), 5)):
