@@ -36,14 +36,25 @@ MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
 NULL_ID = -(1 << 63)
 #: The pre-tokenizer's own pattern where letters and digits are of these ranges; elsewhere runs between white space.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+PRETOKENS = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 OTHER = re.compile(rf"[^\t\n\r\x20-\x7e{LETTERS}]")
 CUTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Where Python's idea of white space and the tokenizer's differ, and special tokens: such texts are encoded whole.
-WHOLE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\\|")
+#: Where Python's idea of white space and the tokenizer's differ (all of these are OTHER), and special tokens: such texts are encoded whole.
+WHOLE, SPECIAL = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]"), "<|"
 CACHED = 300_000
 
 
+class Words(dict):
+    """Ids of words; what is missing is taken from the words before, or encoded."""
+
+    def __init__(self, older: dict[str, bytes], encode):
+        self.older, self.encode = older, encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = x = self.older.get(word) or self.encode(word)
+        return x
+
+
 class Encoder:
     """ids of texts as little-endian bytes, by the tokenizers library."""
 
@@ -62,8 +73,8 @@ class Encoder:
                 seen[byte] = char
         self.shown = {b: c for b, c in enumerate(seen) if c}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.bytes = [i.to_bytes(self.width, "little") for i in range(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0))]
+        self.known = Words({}, self._word)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,32 +82,29 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """One pre-token of the ranges above: the library's merges alone."""
         shown = word.encode().decode("latin-1").translate(self.shown)
-        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(shown)])
-
-    def _of(self, cuts: list[str], plain: bool) -> bytes:
-        known = self.known
-        codes = list(map(known.get, cuts))
-        if None in codes:
-            at = [i for i, x in enumerate(codes) if x is None]
-            old = self.older
-            new = [w for w in {cuts[i] for i in at} if w not in old]
-            known.update((w, x) for w in (cuts[i] for i in at) if (x := old.get(w)) is not None)
-            known.update(zip(new, map(self._word, new) if plain else self._raw(new), strict=True))
-            for i in at:
-                codes[i] = known[cuts[i]]
-        return b"".join(codes)
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(shown)])
+
+    def _of(self, cuts: list[str]) -> bytes:
+        """Cuts that are not of the ranges above; the new ones are encoded in one call."""
+        known, old = self.known, self.known.older
+        new = {w for w in cuts if w not in known}
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
+        known.update(zip(new, self._raw(new), strict=True))
+        return b"".join(map(known.__getitem__, cuts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:  # words not seen since the last turn but one are forgotten
-            self.known, self.older = {}, self.known
+            self.known.older, self.known = {}, Words(self.known, self._word)
         out = []
         for text in texts:
-            if WHOLE.search(text):
+            other = OTHER.search(text)
+            if SPECIAL in text or other and WHOLE.search(text, other.start()):
                 out.append(self._raw([text])[0])
-            elif OTHER.search(text):
-                out.append(self._of(CUTS.findall(text), False))
+            elif other:
+                out.append(self._of(CUTS.findall(text)))
             else:
-                out.append(self._of(PRETOKENS.findall(text), True))
+                out.append(b"".join(map(self.known.__getitem__, PRETOKENS.findall(text))))
         return out
 
 

@@ -408,6 +408,19 @@ def test_token_files(spark, rows):
     assert token_files.token_files(frame(spark, []), path).count() == 0
 
 
+def test_words_are_looked_up_one_by_one(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 40)
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as f:
+        enc = token_files.Encoder(f.read())
+    plain = ["it's we'd they'll I'm 'sa 's'S ''ve", "x1 12 _-- ß É  \t\n end ", "", "'"] + [f"word{'abcdefgh'[i % 8] * i} it's {i}" for i in range(60)]
+    odd = ["×÷ ß\u00a0É", "a\x1cb", "<|endoftext|> x", "< | <|", "日本 x", "\x00'll", "a\u200b b", "½ 1²"]
+    want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in plain + odd]
+    assert [x for t in plain + odd for x in enc.encode([t])] == want
+    for name in ("_of", "_raw"):  # for other texts only
+        monkeypatch.setattr(enc, name, None)
+    assert [x for t in plain for x in enc.encode([t])] == want[: len(plain)]
+
+
 def test_sentence_pieces(spark, rows):
     import sentencepiece
 
