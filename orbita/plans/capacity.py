@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import blocks, ranks, tables
 
 #: Places in all lists of a group's batch, and in the shortest list.
-LISTED, SHORT = 1 << 21, 32
+LISTED, SHORT = 1 << 20, 16
 #: Centers of a block, points of a share (at least, at most), points of a folder.
 BLOCK_ROWS, SHARE_ROWS, FOLDER_ROWS = 1 << 17, (1 << 10, 1 << 13), 1 << 16
 
@@ -44,7 +44,7 @@ def first(x: np.ndarray, c: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
             one, x2 = np.hstack([rows, np.ones((len(rows), 1))]), (rows * rows).sum(1)
             # the most-th of a part isn't nearer than the most-th of all
             far = np.partition(one @ some, most - 1, axis=1)[:, most - 1]
-            far = far + 1e-14 * (wide + 8) * (x2 + np.abs(far))
+            far = far + 1e-13 * (wide + 8) * (x2 + np.abs(far)) + 1e-300
             far = np.where(np.isfinite(far), far, np.inf)[:, None]
             best, held, count = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
             for j in range(0, len(c), 2048):
@@ -73,8 +73,8 @@ def _best(best: tuple, held: list, x: np.ndarray, c: np.ndarray, most: int) -> t
 def walked(lists: np.ndarray, room: dict[int, int], whole: bool) -> list[int | None]:
     """What each row takes: the first of its list with room, which is used up; up to the first row without any, unless lists are ``whole`` (then it takes none)."""
     out: list[int | None] = []
-    for row in lists.tolist():
-        got = next((c for c in row if room[c]), None)
+    for row in lists:
+        got = next((c for c in row.tolist() if room[c]), None)
         if got is not None:
             room[got] -= 1
         elif not whole:
@@ -97,11 +97,14 @@ def greedy(points: DataFrame, centers: DataFrame, room: int, by: list[str]) -> D
     """
     spark, kinds = points.sparkSession, {f.name: f.dataType.simpleString() for f in points.schema}
     types = ", ".join(f"{c} {kinds[c]}" for c in by)
-    ordered = ranks.numbered(points.select(*by, F.col("key_id").cast("long").alias("key_id"), "key"), by, ["key_id"], "place")
+    ordered = ranks.numbered(points.select(*by, F.col("key_id").cast("long").alias("key_id"), "key"), by, ["key_id", F.xxhash64("key")], "place")
     ordered = tables.saved(ordered.withColumn("folder", F.floor((F.col("place") - 1) / FOLDER_ROWS).cast("int")), "ordered", by="folder")
-    left = tables.saved(centers.select(*by, F.col("node_id").cast("long").alias("node_id"), F.transform("center", lambda x: x.cast("double")).alias("center"), F.lit(room).alias("room")).filter("room > 0"), "room")
+    seats = centers.select(*by, F.col("node_id").cast("long").alias("node_id"), F.transform("center", lambda x: x.cast("double")).alias("center"))
+    # a number of its own for each center, in the order of ids, whether or not an id comes once
+    seats = tables.saved(ranks.numbered(seats, by, ["node_id", F.xxhash64("center")], "seat").withColumn("seat", F.col("seat").cast("long")), "seats")
+    left = seats.select(*by, "seat", "center", F.lit(room).alias("room")).filter("room > 0")
     count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    state = count(ordered, "n").join(count(centers, "open"), by).withColumn("open", F.when(F.lit(room > 0), F.col("open")).otherwise(0))
+    state = count(ordered, "n").join(count(seats, "open"), by).withColumn("open", F.when(F.lit(room > 0), F.col("open")).otherwise(0))
     state = tables.saved(state.select("*", F.lit(0).cast("long").alias("done"), F.lit(LISTED // SHORT).cast("long").alias("size")), "state")
     root, cores, turn = f"{tables.folder(spark)}/orbita-tables/placed-{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism, 0
     while True:
@@ -116,60 +119,61 @@ def greedy(points: DataFrame, centers: DataFrame, room: int, by: list[str]) -> D
         plan = F.broadcast(plan) if groups <= tables.BROADCAST_ROWS else plan
         lists = _lists(ordered.filter(F.col("folder").between(low, high)), left, plan, share, min((rows // share + groups) * deep, 16 * cores), by, types)
         lists = _merged(lists, by) if deep > 1 else lists.drop("listed", "dist")
-        placed = tables.saved(lists.groupBy(*by).applyInArrow(_walk(by), f"{types}, key_id long, node_id long"), "placed", f"{root}/turn={turn}")
-        used = placed.groupBy(*by, "node_id").agg(F.count(F.lit(1)).cast("int").alias("used"))
-        left = left.join(used, [*by, "node_id"], "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
+        placed = tables.saved(lists.groupBy(*by).applyInArrow(_walk(by), f"{types}, key_id long, seat long"), "placed", f"{root}/turn={turn}")
+        used = placed.groupBy(*by, "seat").agg(F.count(F.lit(1)).cast("int").alias("used"))
+        left = left.join(used, [*by, "seat"], "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
         left = tables.saved(left.filter("room > 0").drop("used"), "room")
         # who was stopped tries about twice what was placed
         next_size = F.when(F.col("got").isNull(), F.col("size")).otherwise(F.least(F.lit(LISTED // SHORT), 2 * F.col("got")))
         state = state.drop("open").join(count(placed, "got"), by, "left").join(count(left, "open"), by, "left")
         state = tables.saved(state.select(*by, "n", F.coalesce("open", F.lit(0)).alias("open"), (F.col("done") + F.coalesce("got", F.lit(0))).alias("done"), next_size.alias("size")), "state")
         turn += 1
-    without = ordered.join(state.filter("done < n"), by).filter("place > done").select(*by, "key_id", F.lit(None).cast("long").alias("node_id"))
+    without = ordered.join(state.filter("done < n"), by).filter("place > done").select(*by, "key_id", F.lit(None).cast("long").alias("seat"))
     tables.saved(without, "placed", f"{root}/turn={turn}")
-    return spark.read.schema(f"{types}, key_id long, node_id long").parquet(root).select(*by, "key_id", "node_id")
+    placed = spark.read.schema(f"{types}, key_id long, seat long").parquet(root)
+    return placed.join(seats.select(*by, "seat", "node_id"), [*by, "seat"], "left").select(*by, "key_id", "node_id")
 
 
 def _lists(ordered: DataFrame, left: DataFrame, plan: DataFrame, share: int, parts: int, by: list[str], types: str) -> DataFrame:
-    """by, place, key_id, listed, whole, node, room, dist: the nearest centers of a batch's points, a row for each point and block."""
+    """by, place, key_id, listed, whole, seat, room, dist: the nearest centers of a batch's points, a row for each point and block."""
     group = [*by, "block", "share"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     points = ordered.join(plan, by).filter("place > done and place <= done + batch").withColumn("share", F.floor((F.col("place") - F.col("done") - 1) / share).cast("int")).withColumn("block", every("blocks"))
     points = points.select(*group, "place", "key_id", "key", "listed", (F.col("listed") >= F.col("open")).alias("whole"))
-    centers = left.join(plan, by).withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("share", every("shares")).select(*group, "node_id", "center", "room")
+    centers = left.join(plan, by).withColumn("block", F.pmod("seat", F.col("blocks")).cast("int")).withColumn("share", every("shares")).select(*group, "seat", "center", "room")
 
     def near(p: pa.Table, c: pa.Table) -> pa.Table:
         if not p.num_rows or not c.num_rows:
             place, dist, c = np.empty((0, 0), np.int64), np.empty((0, 0)), c.slice(0, 0)
             p = p.slice(0, 0)
         else:
-            c = c.sort_by("node_id").combine_chunks()
+            c = c.sort_by("seat").combine_chunks()
             x, y = _matrix(p, "key"), _matrix(c, "center")
             if x.shape[1] != y.shape[1]:
                 raise ValueError("points and centers have different dimensions")
             place, dist = first(x, y, p["listed"][0].as_py())
         ends = pa.array(np.arange(p.num_rows + 1) * place.shape[1], pa.int32())
-        lists = [c["node_id"].to_numpy()[place.ravel()], c["room"].to_numpy()[place.ravel()], dist.ravel()]
+        lists = [c["seat"].to_numpy()[place.ravel()], c["room"].to_numpy()[place.ravel()], dist.ravel()]
         columns = [p[name] for name in (*by, "place", "key_id", "listed", "whole")] + [pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists]
-        return pa.table(columns, names=[*by, "place", "key_id", "listed", "whole", "node", "room", "dist"])
+        return pa.table(columns, names=[*by, "place", "key_id", "listed", "whole", "seat", "room", "dist"])
 
     points = points.withColumn("place", F.col("place").cast("long")).repartition(parts, *group)
-    schema = f"{types}, place long, key_id long, listed long, whole boolean, node array<long>, room array<int>, dist array<double>"
+    schema = f"{types}, place long, key_id long, listed long, whole boolean, seat array<long>, room array<int>, dist array<double>"
     return points.groupBy(*group).cogroup(centers.repartition(parts, *group).groupBy(*group)).applyInArrow(near, schema)
 
 
 def _merged(lists: DataFrame, by: list[str]) -> DataFrame:
     """Lists of several blocks as one."""
-    nearest = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("dist", "node", "room")))), F.lit(1), F.first("listed").cast("int"))
-    return lists.groupBy(*by, "place", "key_id", "whole").agg(nearest.alias("near")).select(*by, "place", "key_id", "whole", F.col("near.node").alias("node"), F.col("near.room").alias("room"))
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("dist", "seat", "room")))), F.lit(1), F.first("listed").cast("int"))
+    return lists.groupBy(*by, "place", "key_id", "whole").agg(nearest.alias("near")).select(*by, "place", "key_id", "whole", F.col("near.seat").alias("seat"), F.col("near.room").alias("room"))
 
 
 def _walk(by: list[str]):
     def walk(t: pa.Table) -> pa.Table:
         t = t.sort_by("place").combine_chunks()
-        node, room = blocks.one_array(t["node"]), blocks.one_array(t["room"])
-        has = dict(zip(node.flatten().to_pylist(), room.flatten().to_pylist(), strict=True))
-        got = walked(node.flatten().to_numpy().reshape(len(node), -1), has, t["whole"][0].as_py())
-        return t.slice(0, len(got)).select([*by, "key_id"]).append_column("node_id", pa.array(got, pa.int64()))
+        seat, room = (blocks.one_array(t[c]).flatten().to_numpy() for c in ("seat", "room"))
+        has = dict(zip(seat.tolist(), room.tolist(), strict=True))
+        got = walked(seat.reshape(t.num_rows, -1), has, t["whole"][0].as_py())
+        return t.slice(0, len(got)).select([*by, "key_id"]).append_column("seat", pa.array(got, pa.int64()))
 
     return walk

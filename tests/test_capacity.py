@@ -73,6 +73,14 @@ def test_equal_distances_go_to_the_smaller_id(spark, monkeypatch, sides):
     assert taken(spark, points, centers, 3) == one_by_one(points, centers, 3)
 
 
+def test_ids_that_come_twice_keep_all_their_room(spark, monkeypatch):
+    small(monkeypatch)
+    points = grid(40, 2, 50, 0, 4)
+    twice = spark.createDataFrame(points + points, POINTS)
+    got = clustering.greedy_capacity(twice, spark.createDataFrame(points[:10] + points[:10], CENTERS), 4, ["g"])
+    assert {tuple(r) for r in got.groupBy("node_id").count().collect()} == {(i, 8) for i in range(10)}
+
+
 def test_points_beyond_all_room_take_none(spark, monkeypatch):
     points, centers = grid(50, 2, 9, 0, 5), grid(6, 2, 9, 0, 6)
     want = one_by_one(points, centers, 3)
